@@ -179,3 +179,67 @@ def p27_leakage(spark, sf):
 @query("p29_findings")
 def p29_findings(spark, sf):
     return rnd(P.findings(table(spark, sf, "dl"), target="l_returnflag"))
+
+
+# ---------------------------------------------------------------- post-read cleanup, repair
+
+from tabprep.sources import cleanup as C  # noqa: E402
+from tabprep.operators import repair as V  # noqa: E402
+
+
+@query("s07_na_tokens")
+def s07_na_tokens(spark, sf):
+    return P.missing(C.na_tokens_to_null(table(spark, sf, "raw_li")))
+
+
+@query("s14_repeated_headers")
+def s14_repeated_headers(spark, sf):
+    raw = table(spark, sf, "raw_li_hdr")
+    kept = C.drop_repeated_headers(raw)
+    n_all = raw.agg(F.count(F.lit(1)).alias("n"))
+    return kept.agg(F.count(F.lit(1)).cast("long").alias("n_rows")).join(n_all, how="cross") \
+               .select("n_rows", (F.col("n") - F.col("n_rows")).cast("long").alias("n_header_rows"))
+
+
+@query("s11_drop_empty_rows")
+def s11_drop_empty_rows(spark, sf):
+    t = C.drop_empty_rows(C.na_tokens_to_null(C.drop_repeated_headers(table(spark, sf, "raw_li_hdr"))))
+    return t.agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+
+
+@query("s08_type_inference")
+def s08_type_inference(spark, sf):
+    _, decisions = C.cleanup(table(spark, sf, "raw_li_hdr"))
+    return decisions
+
+
+@query("s16_ingest_cleanup")
+def s16_ingest_cleanup(spark, sf):
+    typed, _ = C.cleanup(table(spark, sf, "raw_li_hdr"))
+    return typed
+
+
+@query("p06_semantic_types")
+def p06_semantic_types(spark, sf):
+    return P.semantic_types(C.na_tokens_to_null(table(spark, sf, "raw_li")))
+
+
+def _clean_li(spark, sf):
+    typed, _ = C.cleanup(table(spark, sf, "raw_li_hdr"))
+    return typed
+
+
+@query("v06_repair_decisions")
+def v06_repair_decisions(spark, sf):
+    return V.repair_decisions(_clean_li(spark, sf))
+
+
+@query("v06_repair_units_ok")
+def v06_repair_units_ok(spark, sf):
+    return V.repair_decisions(_clean_li(spark, sf), units_ok=True)
+
+
+@query("v03_repaired_table")
+def v03_repaired_table(spark, sf):
+    repaired, _ = V.repair_columns(_clean_li(spark, sf))
+    return repaired

@@ -41,26 +41,27 @@ SELECT * FROM dl WHERE l_linenumber = 1 AND l_discount = 0
 """
 
 # Lineitem as a delimited file would deliver it: every field a string, with NA
-# tokens, currency symbols, units, padded yes/no words, on/off flags, blanks and
-# one column that is never filled.
+# tokens, currency symbols, units, padded yes/no words, on/off flags, blanks,
+# one column that is never filled, and (line 7 of 'N' items) rows made only of
+# NA tokens. Note 'N' itself is an NA token, so l_returnflag loses its N.
 RAW_LINEITEM = """
 SELECT
-  CAST(l_orderkey AS STRING) AS l_orderkey,
-  CASE WHEN l_linenumber = 2 THEN 'N/A'
+  CASE WHEN e THEN 'NA' ELSE CAST(l_orderkey AS STRING) END AS l_orderkey,
+  CASE WHEN e THEN '' WHEN l_linenumber = 2 THEN 'N/A'
        WHEN l_linenumber = 3 AND l_returnflag = 'A' THEN '?'
        ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS l_quantity,
-  CASE WHEN l_linenumber = 4 THEN concat('$', CAST(l_extendedprice AS STRING))
+  CASE WHEN e THEN 'null' WHEN l_linenumber = 4 THEN concat('$', CAST(l_extendedprice AS STRING))
        ELSE CAST(l_extendedprice AS STRING) END AS l_extendedprice,
-  CASE WHEN l_linenumber = 5 THEN concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), 'kg')
+  CASE WHEN e THEN '--' WHEN l_linenumber = 5 THEN concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), 'kg')
        ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS l_weight,
-  CASE WHEN l_linenumber = 6 THEN 'missing' ELSE CAST(l_discount AS STRING) END AS l_discount,
-  CASE WHEN l_returnflag = 'R' THEN ' yes' WHEN l_returnflag = 'A' THEN 'No ' ELSE 'n' END AS l_returned,
-  CASE WHEN l_linestatus = 'O' THEN 'on' ELSE 'off' END AS l_open,
+  CASE WHEN e THEN 'NaN' WHEN l_linenumber = 6 THEN 'missing' ELSE CAST(l_discount AS STRING) END AS l_discount,
+  CASE WHEN e THEN '?' WHEN l_returnflag = 'R' THEN ' yes' WHEN l_returnflag = 'A' THEN 'No ' ELSE 'n' END AS l_returned,
+  CASE WHEN e THEN 'None' WHEN l_linestatus = 'O' THEN 'on' ELSE 'off' END AS l_open,
   l_returnflag,
   CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS l_shipdate,
-  CASE WHEN l_linenumber = 1 THEN '  ' ELSE 'x' END AS l_pad,
+  CASE WHEN e THEN 'unknown' WHEN l_linenumber = 1 THEN '  ' ELSE 'x' END AS l_pad,
   CASE WHEN l_quantity > 50 THEN 'never' END AS l_empty
-FROM lineitem
+FROM (SELECT *, l_linenumber = 7 AND l_returnflag = 'N' AS e FROM lineitem) AS li
 """
 
 # The raw table with the header line repeated inside the data (as files

@@ -173,3 +173,173 @@ i AS (
 SELECT "column", 'target_correlation' AS reason, 'high' AS severity, round(r, 3) AS measured FROM r WHERE abs(r) > 0.99
 UNION ALL
 SELECT "column", 'id_like' AS reason, 'medium' AS severity, round(ratio, 4) AS measured FROM i WHERE ratio > 0.95""")
+
+
+# ---------------------------------------------------------------- post-read cleanup, repair
+
+from tabprep.config import DEFAULT_SETTINGS  # noqa: E402
+
+RAW_COLS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_weight", "l_discount", "l_returned",
+            "l_open", "l_returnflag", "l_shipdate", "l_pad", "l_empty"]
+NUM_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+INT_RE = r"^[+-]?\d+$"
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+TOKENS = "(" + ", ".join(lit(t) for t in DEFAULT_SETTINGS.missing_tokens) + ")"
+
+
+def strip(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def na(c: str) -> str:
+    return f"CASE WHEN {c} IN {TOKENS} THEN NULL ELSE {c} END"
+
+
+HEADER_FREE = "NOT (" + " AND ".join(f"coalesce(lower(trim({c})) = {lit(c)}, false)" for c in RAW_COLS) + ")"
+NA_SELECT = ", ".join(f"{na(c)} AS {c}" for c in RAW_COLS)
+NOT_EMPTY = "NOT (" + " AND ".join(f"{c} IS NULL" for c in RAW_COLS) + ")"
+CLEAN_CTES = ctes("raw_li_hdr") + f"""h AS (SELECT * FROM raw_li_hdr WHERE {HEADER_FREE}),
+nt AS (SELECT {NA_SELECT} FROM h),
+ne AS (SELECT * FROM nt WHERE {NOT_EMPTY}),
+census AS ({union([
+    f"SELECT '{c}' AS \"column\", count({c}) AS nn, count(*) FILTER (WHERE regexp_matches({strip(c)}, '{INT_RE}')) AS n_int, "
+    f"count(*) FILTER (WHERE regexp_matches({strip(c)}, '{NUM_RE}')) AS n_num, "
+    f"count(*) FILTER (WHERE lower({strip(c)}) IN ('true', 'false')) AS n_bool, count(*) AS n FROM ne" for c in RAW_COLS])}),
+decisions AS (
+  SELECT "column", CASE WHEN nn = 0 THEN 'drop_empty_column' ELSE 'type' END AS action,
+         CASE WHEN nn = 0 THEN NULL
+              WHEN n_int = nn THEN CASE WHEN nn = n THEN 'bigint' ELSE 'double' END
+              WHEN n_num = nn THEN 'double'
+              WHEN n_bool = nn AND nn = n THEN 'boolean'
+              ELSE 'string' END AS detail
+  FROM census)
+"""
+
+# Types the inference assigns to the raw table (checked by s08_type_inference).
+CLEAN_TYPES = {"l_orderkey": "BIGINT", "l_quantity": "DOUBLE", "l_extendedprice": None, "l_weight": None,
+               "l_discount": "DOUBLE", "l_returned": None, "l_open": None, "l_returnflag": None,
+               "l_shipdate": None, "l_pad": None}
+TYPED_SELECT = ", ".join(
+    (f"TRY_CAST({strip(c)} AS {t}) AS {c}" if t else c) for c, t in CLEAN_TYPES.items())
+
+sql("s07_na_tokens", ctes("raw_li") + f"nt AS (SELECT {NA_SELECT} FROM raw_li)\n" + missing_sql(RAW_COLS, "nt"))
+sql("s14_repeated_headers", with_clause("raw_li_hdr") + f"""
+SELECT CAST(count(*) FILTER (WHERE {HEADER_FREE}) AS BIGINT) AS n_rows,
+       CAST(count(*) FILTER (WHERE NOT ({HEADER_FREE})) AS BIGINT) AS n_header_rows FROM raw_li_hdr""")
+sql("s11_drop_empty_rows", CLEAN_CTES + "SELECT CAST(count(*) AS BIGINT) AS n_rows FROM ne")
+sql("s08_type_inference", CLEAN_CTES + "SELECT * FROM decisions")
+sql("s16_ingest_cleanup", CLEAN_CTES + f"SELECT {TYPED_SELECT} FROM ne")
+
+DT_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d-%m-%Y", "%d.%m.%Y"]
+DT_LIST = "[" + ", ".join(lit(f) for f in DT_FORMATS) + "]"
+BOOL_INFER = "('true', 'false', '1', '0', 'yes', 'no', 't', 'f', 'y', 'n')"
+sql("p06_semantic_types", ctes("raw_li") + f"""nt AS (SELECT {NA_SELECT} FROM raw_li),
+c AS ({union([
+    f"SELECT '{c}' AS \"column\", count({c}) AS nn, count(*) FILTER (WHERE regexp_matches({strip(c)}, '{NUM_RE}')) AS n_num, "
+    f"count(*) FILTER (WHERE try_strptime({strip(c)}, {DT_LIST}) IS NOT NULL) AS n_dt, "
+    f"count(*) FILTER (WHERE lower({strip(c)}) IN {BOOL_INFER}) AS n_bool, count(DISTINCT {c}) AS nu FROM nt" for c in RAW_COLS])})
+SELECT "column", 'string' AS dtype, 'categorical' AS dtype_group,
+       CASE WHEN nn = 0 THEN 'empty' WHEN n_num = nn THEN 'numeric'
+            WHEN CAST(n_num AS DOUBLE) / nn > 0.8 THEN 'numeric_with_noise'
+            WHEN n_dt = nn THEN 'datetime' WHEN n_bool = nn THEN 'boolean' ELSE 'categorical' END AS inferred_type,
+       CAST(nu AS BIGINT) AS n_unique FROM c""")
+
+STRING_CLEAN = [c for c, t in CLEAN_TYPES.items() if t is None]
+
+
+def looks_numeric_sql(c: str) -> str:
+    return f"regexp_matches(regexp_replace({c}, '[,$%€£¥\\s]', '', 'g'), '{NUM_RE}')"
+
+
+def clean_numeric_sql(c: str) -> str:
+    v = strip(c)
+    v = f"regexp_replace({v}, '[,$%€£¥]', '', 'g')"
+    v = f"regexp_replace({v}, '[a-zA-Z]+$', '', 'g')"
+    v = f"replace({v}, ' ', '')"
+    return f"CASE WHEN regexp_matches({v}, '{NUM_RE}') THEN TRY_CAST({v} AS DOUBLE) END"
+
+
+BOOL_REPAIR = "('true', '1', 'yes', 't', 'y', 'on', 'false', '0', 'no', 'f', 'n', 'off')"
+
+
+def repair_sql(units_ok: bool) -> str:
+    parts = []
+    for c in STRING_CLEAN:
+        gate = f"regexp_replace({c}, '[a-zA-Z]+\\s*$', '', 'g')" if units_ok else c
+        parts.append(
+            f"SELECT '{c}' AS \"column\", count({c}) AS nn, "
+            f"count(*) FILTER (WHERE {c} IS NOT NULL AND {looks_numeric_sql(gate)}) AS n_look, "
+            f"count(*) FILTER (WHERE ({clean_numeric_sql(c)}) IS NOT NULL) AS n_conv, "
+            f"count(*) FILTER (WHERE {c} IS NOT NULL AND lower({strip(c)}) NOT IN {BOOL_REPAIR}) AS n_nonbool FROM typed")
+    return CLEAN_CTES + f""", typed AS (SELECT {TYPED_SELECT} FROM ne),
+r AS ({union(parts)})
+SELECT "column", CAST(nn AS BIGINT) AS nn, round(CAST(n_look AS DOUBLE) / nn, 4) AS share_looks_numeric,
+       round(CAST(n_conv AS DOUBLE) / nn, 4) AS share_converted,
+       CASE WHEN nn = 0 THEN 'unchanged'
+            WHEN CAST(n_look AS DOUBLE) / nn >= 0.7 AND CAST(n_conv AS DOUBLE) / nn > 0.8 THEN 'numeric'
+            WHEN n_nonbool = 0 THEN 'boolean' ELSE 'unchanged' END AS kind
+FROM r"""
+
+
+sql("v06_repair_decisions", repair_sql(False))
+sql("v06_repair_units_ok", repair_sql(True))
+
+
+def to_bool_sql(c: str) -> str:
+    v = f"lower({strip(c)})"
+    return (f"CASE WHEN {v} IN ('true', '1', 'yes', 't', 'y', 'on') THEN 1 "
+            f"WHEN {v} IN ('false', '0', 'no', 'f', 'n', 'off') THEN 0 END")
+
+
+# Decisions taken by v06_repair_decisions on this table.
+REPAIRED = {"l_extendedprice": clean_numeric_sql("l_extendedprice"), "l_weight": clean_numeric_sql("l_weight"),
+            "l_returned": to_bool_sql("l_returned"), "l_open": to_bool_sql("l_open")}
+sql("v03_repaired_table", CLEAN_CTES + f""", typed AS (SELECT {TYPED_SELECT} FROM ne)
+SELECT {", ".join((REPAIRED[c] + " AS " + c) if c in REPAIRED else c for c in CLEAN_TYPES)} FROM typed""")
+
+
+# ---------------------------------------------------------------- all findings
+
+DL_STRINGS = ["l_returnflag", "l_linestatus"]
+sql("p29_findings", ctes("dl") + missing_flags_sql(DL_COLS, "dl").replace(
+    "\nSELECT \"column\", pct_missing,", ",\nmf AS (SELECT \"column\", pct_missing,", 1) + ")," + f"""
+card AS ({cardinality_sql(DL_COLS, "dl")}),
+""" + outlier_ctes(DL_ALL_NUMERIC, "dl") + f""",
+corrs AS ({corr_pairs_sql(DL_ALL_NUMERIC, "dl", 12)}),
+cls AS (SELECT l_returnflag, count(*) AS n FROM dl WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag),
+bal AS (SELECT count(*) AS k, max(n) AS mx, min(n) AS mn FROM cls)
+SELECT 'missing' AS rule, "column", severity, pct_missing AS measured FROM mf
+UNION ALL
+SELECT 'sparse_rows', NULL, 'warning', CAST(n_sparse_rows AS DOUBLE) FROM ({sparse_sql(DL_COLS, "dl")}) WHERE n_sparse_rows > 0
+UNION ALL
+SELECT 'id_column', "column", 'warning', round(ratio_raw, 4) FROM card WHERE ratio_raw > 0.95 AND n_distinct > 100
+UNION ALL
+SELECT 'high_cardinality', "column", 'info', CAST(n_distinct AS DOUBLE) FROM card
+  WHERE "column" IN ({", ".join(lit(c) for c in DL_STRINGS)}) AND n_distinct > 50
+UNION ALL
+SELECT CASE WHEN n_distinct = 1 THEN 'constant' ELSE 'low_variance' END, "column",
+       CASE WHEN n_distinct = 1 THEN 'warning' ELSE 'info' END, CAST(n_distinct AS DOUBLE)
+  FROM card WHERE n_distinct = 1 OR (ratio_raw < 0.01 AND n_distinct < 5)
+UNION ALL
+SELECT 'duplicates', NULL, 'warning', CAST(d AS DOUBLE) FROM
+  (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dl)) AS d FROM dl) WHERE d > 0
+UNION ALL
+SELECT 'age_range', "column", 'warning', round(max, 6) FROM t WHERE lower("column") = 'age' AND (min < 0 OR max > 150)
+UNION ALL
+SELECT 'many_outliers', "column", 'warning', round(CAST(iqr_outliers AS DOUBLE) / n, 6) FROM t WHERE iqr_outliers > n * 0.1
+UNION ALL
+SELECT 'high_correlation', feature1 || ' ~ ' || feature2, 'warning', round(r, 3) FROM corrs WHERE abs(r) > 0.9
+UNION ALL
+SELECT 'target_missing', 'l_returnflag', 'critical', CAST(count(*) AS DOUBLE) FROM dl WHERE l_returnflag IS NULL HAVING count(*) > 0
+UNION ALL
+SELECT 'imbalanced', 'l_returnflag', 'warning', round(CAST(mx AS DOUBLE) / mn, 4) FROM bal WHERE NOT (k < 2 OR CAST(mx AS DOUBLE) / mn < 3)
+UNION ALL
+SELECT 'tiny_class', 'l_returnflag', 'critical', CAST(mn AS DOUBLE) FROM bal WHERE mn < 2
+UNION ALL
+SELECT 'leakage_id_like', "column", 'info', round(ratio_raw, 4) FROM card
+  WHERE "column" IN ('l_orderkey', 'l_partkey', 'l_suppkey') AND ratio_raw > 0.95""")
