@@ -243,3 +243,225 @@ def v06_repair_units_ok(spark, sf):
 def v03_repaired_table(spark, sf):
     repaired, _ = V.repair_columns(_clean_li(spark, sf))
     return repaired
+
+
+# ---------------------------------------------------------------- EDA
+
+from tabprep.operators import eda as E  # noqa: E402
+from tabprep.operators import prepare as T  # noqa: E402
+from tabprep.operators import clean as CL  # noqa: E402
+from tabprep.operators import encode as EN  # noqa: E402
+
+
+@query("e01_feasibility")
+def e01_feasibility(spark, sf):
+    return E.feasibility(table(spark, sf, "benchmark"))
+
+
+@query("e02_dimensionality")
+def e02_dimensionality(spark, sf):
+    return E.dimensionality(table(spark, sf, "benchmark"))
+
+
+@query("e03_outliers_iqr15")
+def e03_outliers_iqr15(spark, sf):
+    return E.iqr_outlier_counts(table(spark, sf, "events"), cols=["event_id", "user_id", "value"])
+
+
+@query("e03_outlier_issue")
+def e03_outlier_issue(spark, sf):
+    docs = table(spark, sf, "documents")
+    return E.outlier_issue(E.iqr_outlier_counts(docs))
+
+
+@query("e04_imbalance")
+def e04_imbalance(spark, sf):
+    return E.imbalance(table(spark, sf, "labels"), "quality")
+
+
+@query("e05_missing_table")
+def e05_missing_table(spark, sf):
+    return E.missing_table(table(spark, sf, "dl"))
+
+
+@query("e06_histogram")
+def e06_histogram(spark, sf):
+    return rnd(E.histogram(table(spark, sf, "events"), cols=["user_id", "value"]))
+
+
+@query("e07_top_values")
+def e07_top_values(spark, sf):
+    o = table(spark, sf, "orders")
+    return top_values(frequency_table(o, ["o_orderstatus", "o_orderpriority"]), 10) \
+        .withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("e08_missing_advice")
+def e08_missing_advice(spark, sf):
+    return E.missing_advice(table(spark, sf, "dl"), threshold=50.0)
+
+
+@query("e09_apply_decisions")
+def e09_apply_decisions(spark, sf):
+    dl = table(spark, sf, "dl")
+    advice = {r["column"]: r["action"] for r in E.missing_advice(dl).collect()}
+    advice["l_tax"] = "drop_rows"
+    return E.apply_missing_decisions(dl, advice)
+
+
+@query("e10_input_ranges")
+def e10_input_ranges(spark, sf):
+    return rnd(E.input_ranges(table(spark, sf, "part")))
+
+
+@query("e10_category_domains")
+def e10_category_domains(spark, sf):
+    return E.category_domains(table(spark, sf, "part"), ["p_brand", "p_type"])
+
+
+# ---------------------------------------------------------------- preparation and cleaning
+
+
+@query("t01_drop_null_target")
+def t01_drop_null_target(spark, sf):
+    return T.drop_null_target(table(spark, sf, "dl"), "l_returnflag")
+
+
+@query("t02_drop_duplicates")
+def t02_drop_duplicates(spark, sf):
+    return T.drop_duplicate_rows(table(spark, sf, "dl_dup"))
+
+
+@query("t04_prepare_data")
+def t04_prepare_data(spark, sf):
+    prepared, _ = T.prepare_data(table(spark, sf, "cust_x"), "c_mktsegment")
+    return prepared
+
+
+@query("t06_impute")
+def t06_impute(spark, sf):
+    dl = table(spark, sf, "dl")
+    return rnd(CL.MissingValueImputer().fit(dl).transform(dl))
+
+
+@query("t07_impute_mean")
+def t07_impute_mean(spark, sf):
+    dl = table(spark, sf, "dl")
+    return rnd(CL.MissingValueImputer(strategy="mean").fit(dl).transform(dl))
+
+
+@query("t08_cap_iqr")
+def t08_cap_iqr(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "value")
+    return rnd(CL.OutlierCapper(method="iqr", cols=["value"]).fit(ev).transform(ev))
+
+
+@query("t09_cap_zscore")
+def t09_cap_zscore(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return rnd(CL.OutlierCapper(method="zscore", cols=["n_chars"]).fit(docs).transform(docs))
+
+
+@query("t10_drop_constants")
+def t10_drop_constants(spark, sf):
+    t = table(spark, sf, "dl_c")
+    return CL.ConstantRemover().fit(t).transform(t)
+
+
+@query("t11_high_cardinality")
+def t11_high_cardinality(spark, sf):
+    t = table(spark, sf, "customer")
+    return CL.HighCardinalityRemover().fit(t).transform(t)
+
+
+@query("t12_type_convert")
+def t12_type_convert(spark, sf):
+    t = C.na_tokens_to_null(table(spark, sf, "raw_li"))
+    return CL.TypeConverter(null_as_text=True).fit(t).transform(t)
+
+
+@query("t13_rare_categories")
+def t13_rare_categories(spark, sf):
+    t = table(spark, sf, "events").select("event_id", "event_type", "props")
+    return CL.RareCategoryCollapser().fit(t).transform(t)
+
+
+# ---------------------------------------------------------------- encoding and scaling
+
+
+@query("t14_binary_encode")
+def t14_binary_encode(spark, sf):
+    t = table(spark, sf, "dl").select("l_orderkey", "l_linenumber", "l_linestatus")
+    return EN.CategoricalEncoder().fit(t).transform(t)
+
+
+@query("t15_onehot_encode")
+def t15_onehot_encode(spark, sf):
+    t = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return EN.CategoricalEncoder().fit(t).transform(t)
+
+
+@query("t16_ordinal_encode")
+def t16_ordinal_encode(spark, sf):
+    # c_name has more distinct values than a literal map takes: dense index + join
+    t = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return EN.CategoricalEncoder().fit(t).transform(t)
+
+
+@query("t16_ordinal_small")
+def t16_ordinal_small(spark, sf):
+    t = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    return EN.CategoricalEncoder().fit(t).transform(t)
+
+
+@query("t17_ordinal_all")
+def t17_ordinal_all(spark, sf):
+    t = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return EN.CategoricalEncoder(mode="ordinal").fit(t).transform(t)
+
+
+def _scaled(spark, sf, method):
+    t = table(spark, sf, "dl").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_gross")
+    cols = ["l_quantity", "l_discount", "l_gross"]
+    return rnd(EN.NumericScaler(method=method, cols=cols).fit(t).transform(t))
+
+
+@query("t18_scale_standard")
+def t18_scale_standard(spark, sf):
+    return _scaled(spark, sf, "standard")
+
+
+@query("t19_scale_minmax")
+def t19_scale_minmax(spark, sf):
+    return _scaled(spark, sf, "minmax")
+
+
+@query("t20_scale_robust")
+def t20_scale_robust(spark, sf):
+    return _scaled(spark, sf, "robust")
+
+
+@query("t21_ratio_features")
+def t21_ratio_features(spark, sf):
+    t = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    return rnd(EN.FeatureEngineer(interactions=True, polynomials=False).fit(t).transform(t))
+
+
+@query("t22_square_features")
+def t22_square_features(spark, sf):
+    t = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    return rnd(EN.FeatureEngineer(interactions=False, polynomials=True).fit(t).transform(t))
+
+
+@query("t23_target_encode")
+def t23_target_encode(spark, sf):
+    t = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
+    return rnd(EN.TargetEncoder(label="p_retailprice").fit(t).transform(t))
+
+
+@query("t24_label_encode")
+def t24_label_encode(spark, sf):
+    t = table(spark, sf, "dl").select("l_orderkey", "l_linenumber", "l_returnflag")
+    m = EN.LabelIndexer(input="l_returnflag", output="label_idx").fit(t)
+    out = m.transform(t)
+    return out.withColumn("label_back", m.inverse(F.col("label_idx")))

@@ -86,9 +86,15 @@ SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
 FROM customer
 """
 
+# Dirty lineitem with a label for the source and a zero column (constant where set).
+DIRTY_LINEITEM_CONST = """
+SELECT *, 'lineitem' AS l_source, 0.0 * l_tax AS l_zero FROM dl
+"""
+
 DERIVED = {
     "dl": (DIRTY_LINEITEM, ("lineitem",)),
     "dl_dup": (DIRTY_LINEITEM_DUP, ("dl",)),
+    "dl_c": (DIRTY_LINEITEM_CONST, ("dl",)),
     "cust_x": (CUSTOMER_EXT, ("customer",)),
     "raw_li": (RAW_LINEITEM, ("lineitem",)),
     "raw_li_hdr": (RAW_LINEITEM_HDR, ("raw_li", "lineitem")),

@@ -343,3 +343,169 @@ SELECT 'tiny_class', 'l_returnflag', 'critical', CAST(mn AS DOUBLE) FROM bal WHE
 UNION ALL
 SELECT 'leakage_id_like', "column", 'info', round(ratio_raw, 4) FROM card
   WHERE "column" IN ('l_orderkey', 'l_partkey', 'l_suppkey') AND ratio_raw > 0.95""")
+
+
+# ---------------------------------------------------------------- EDA
+
+DOC_NUMERIC = ["doc_id", "n_chars"]
+PART_NUMERIC = ["p_partkey", "p_size", "p_retailprice"]
+
+
+def iqr_counts_sql(cols: list[str], frm: str, k: float) -> str:
+    return union([
+        f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} < q1 - {k} * (q3 - q1) OR {c} > q3 + {k} * (q3 - q1)) AS BIGINT) AS n_outliers, "
+        f"round(CAST(count(*) FILTER (WHERE {c} < q1 - {k} * (q3 - q1) OR {c} > q3 + {k} * (q3 - q1)) AS DOUBLE) * 100 / count(*), 2) AS pct "
+        f"FROM {frm}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {frm}) AS q" for c in cols])
+
+
+sql("e01_feasibility", "SELECT 'dataset_too_small' AS issue, 'High' AS severity, CAST(count(*) AS DOUBLE) AS measured FROM benchmark HAVING count(*) < 50")
+sql("e02_dimensionality", "SELECT 'high_dimensionality' AS issue, 'High' AS severity, CAST(2 AS DOUBLE) AS measured FROM benchmark HAVING 2 > count(*)")
+sql("e03_outliers_iqr15", iqr_counts_sql(EVENT_NUMERIC, "events", 1.5))
+sql("e03_outlier_issue", f"""SELECT 'outliers' AS issue, 'Medium' AS severity, CAST(sum(n_outliers) AS DOUBLE) AS measured
+FROM ({iqr_counts_sql(DOC_NUMERIC, "documents", 1.5)}) HAVING sum(n_outliers) > 0""")
+sql("e04_imbalance", """SELECT 'class_imbalance' AS issue, 'Medium' AS severity, round(CAST(max(n) AS DOUBLE) / min(n), 1) AS measured
+FROM (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality) HAVING CAST(max(n) AS DOUBLE) / min(n) > 3""")
+sql("e05_missing_table", ctes("dl") + f"m AS ({missing_sql(DL_COLS, 'dl')})\nSELECT * FROM m WHERE n_missing > 0")
+sql("e06_histogram", union([f"""SELECT '{c}' AS "column", bin, round(mn + bin * ((mx - mn) / 30), 6) AS lo,
+       round(mn + (bin + 1) * ((mx - mn) / 30), 6) AS hi, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((CAST({c} AS DOUBLE) - mn) * 30 / (mx - mn)), 29) END AS INTEGER) AS bin, mn, mx
+      FROM events, (SELECT CAST(min({c}) AS DOUBLE) AS mn, CAST(max({c}) AS DOUBLE) AS mx FROM events) AS b WHERE {c} IS NOT NULL)
+GROUP BY bin, mn, mx""" for c in ["user_id", "value"]]))
+sql("e07_top_values", f"""WITH t AS ({top_sql(["o_orderstatus", "o_orderpriority"], "orders")})
+SELECT "column", value, n, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10""")
+sql("e08_missing_advice", ctes("dl") + f"m AS ({missing_sql(DL_COLS, 'dl')})\n"
+    "SELECT \"column\", pct_missing, CASE WHEN pct_missing > 50 THEN 'drop_column' ELSE 'impute' END AS action FROM m WHERE n_missing > 0")
+sql("e09_apply_decisions", with_clause("dl") + "SELECT * EXCLUDE (l_rebate) FROM dl WHERE l_tax IS NOT NULL")
+sql("e10_input_ranges", union([f"SELECT '{c}' AS \"column\", round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max, round(avg({c}), 6) AS mean FROM part" for c in PART_NUMERIC]))
+sql("e10_category_domains", union([f"SELECT DISTINCT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM part WHERE {c} IS NOT NULL" for c in ["p_brand", "p_type"]]))
+
+# ---------------------------------------------------------------- preparation and cleaning
+
+sql("t01_drop_null_target", with_clause("dl") + "SELECT * FROM dl WHERE l_returnflag IS NOT NULL")
+sql("t02_drop_duplicates", with_clause("dl_dup") + "SELECT DISTINCT * FROM dl_dup")
+sql("t04_prepare_data", with_clause("cust_x") + """
+SELECT DISTINCT c_name, c_nationkey, c_acctbal, age, c_bonus, c_bal2, c_mktsegment AS label FROM cust_x
+WHERE c_mktsegment IS NOT NULL
+  AND (SELECT CAST(count(DISTINCT c_custkey) AS DOUBLE) / count(*) FROM (SELECT DISTINCT * FROM cust_x WHERE c_mktsegment IS NOT NULL)) > 0.95""")
+
+
+def mode_sql(c: str, frm: str) -> str:
+    return f"(SELECT {c} FROM {frm} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) ASC LIMIT 1)"
+
+
+def impute_sql(stat: str) -> str:
+    num = {"l_quantity", "l_discount", "l_tax", "l_gross"}
+    cols = []
+    for c in DL_COLS:
+        if c == "l_rebate":
+            continue
+        if c in num:
+            fill = f"(SELECT {stat}({c}) FROM dl)" if stat == "avg" else f"(SELECT quantile_cont({c}, 0.5) FROM dl)"
+            cols.append(f"round(coalesce({c}, {fill}), 6) AS {c}")
+        elif c in ("l_returnflag", "l_linestatus", "l_shipdate"):
+            cols.append(f"coalesce({c}, {mode_sql(c, 'dl')}) AS {c}")
+        elif c == "l_extendedprice":
+            cols.append(f"round({c}, 6) AS {c}")
+        else:
+            cols.append(c)
+    return with_clause("dl") + f"SELECT {', '.join(cols)} FROM dl"
+
+
+sql("t06_impute", impute_sql("median"))
+sql("t07_impute_mean", impute_sql("avg"))
+sql("t08_cap_iqr", """
+SELECT event_id, round(CASE WHEN value IS NULL THEN NULL ELSE greatest(least(value, q3 + 3.0 * (q3 - q1)), q1 - 3.0 * (q3 - q1)) END, 6) AS value
+FROM events, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) AS q""")
+sql("t09_cap_zscore", """
+SELECT doc_id, round(CASE WHEN n_chars IS NULL THEN NULL ELSE greatest(least(CAST(n_chars AS DOUBLE), m + 5.0 * s), m - 5.0 * s) END, 6) AS n_chars
+FROM documents, (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS s FROM documents) AS q""")
+sql("t10_drop_constants", with_clause("dl_c") + "SELECT * EXCLUDE (l_source, l_zero) FROM dl_c")
+sql("t11_high_cardinality", """
+SELECT * EXCLUDE (c_name) FROM customer
+WHERE (SELECT count(DISTINCT c_name) > 50 AND CAST(count(DISTINCT c_name) AS DOUBLE) / count(*) >= 0.5 FROM customer)""")
+T12_NUM = ["l_orderkey", "l_quantity", "l_discount", "l_empty"]
+sql("t12_type_convert", ctes("raw_li") + f"nt AS (SELECT {NA_SELECT} FROM raw_li)\nSELECT " + ", ".join(
+    (f"CASE WHEN regexp_matches({strip(c)}, '{NUM_RE}') THEN TRY_CAST({strip(c)} AS DOUBLE) END AS {c}" if c in T12_NUM
+     else f"coalesce({c}, 'nan') AS {c}") for c in RAW_COLS) + " FROM nt")
+sql("t13_rare_categories", """
+WITH f AS (SELECT props, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY props),
+r AS (SELECT props FROM f WHERE CAST(n AS DOUBLE) / (SELECT sum(n) FROM f) < 0.01)
+SELECT event_id, event_type, CASE WHEN props IN (SELECT props FROM r) THEN 'Other' ELSE props END AS props FROM events""")
+
+# ---------------------------------------------------------------- encoding and scaling
+
+sql("t14_binary_encode", with_clause("dl") + """
+SELECT l_orderkey, l_linenumber,
+       CAST(CASE coalesce(l_linestatus, 'missing') WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'missing' THEN 2 ELSE 3 END AS BIGINT) AS l_linestatus
+FROM dl""")
+
+
+def onehot_sql(c: str, values: list[str]) -> str:
+    return ", ".join(f"CAST(coalesce({c} = {lit(v)}, false) AS INTEGER) AS \"{c}_{v}\"" for v in values)
+
+
+sql("t15_onehot_encode", "SELECT o_orderkey, " + onehot_sql("o_orderstatus", ["O", "P"]) + ", "
+    + onehot_sql("o_orderpriority", ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]) + " FROM orders")
+
+
+def ordinal_sql(c: str, frm: str) -> str:
+    """Code = position in the sorted distinct values; unseen/null → vocabulary size."""
+    return (f"CAST(coalesce((SELECT code FROM (SELECT {c} AS v, dense_rank() OVER (ORDER BY {c}) - 1 AS code "
+            f"FROM (SELECT DISTINCT {c} FROM {frm} WHERE {c} IS NOT NULL)) AS d WHERE d.v = {frm}.{c}), "
+            f"(SELECT count(DISTINCT {c}) FROM {frm})) AS BIGINT) AS {c}")
+
+
+sql("t16_ordinal_encode", "SELECT c_custkey, " + ordinal_sql("c_name", "customer") + ", "
+    + onehot_sql("c_mktsegment", ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]) + " FROM customer")
+sql("t16_ordinal_small", "SELECT p_partkey, " + ordinal_sql("p_name", "part") + ", "
+    + onehot_sql("p_type", ["LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]) + " FROM part")
+sql("t17_ordinal_all", "SELECT o_orderkey, " + ordinal_sql("o_orderstatus", "orders") + ", "
+    + ordinal_sql("o_orderpriority", "orders") + " FROM orders")
+
+SCALE_COLS = ["l_quantity", "l_discount", "l_gross"]
+
+
+def scale_sql(method: str) -> str:
+    parts = []
+    for c in SCALE_COLS:
+        if method == "standard":
+            e = f"({c} - (SELECT avg({c}) FROM dl)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM dl)"
+        elif method == "minmax":
+            e = f"({c} - (SELECT min({c}) FROM dl)) / (SELECT CASE WHEN max({c}) = min({c}) THEN 1 ELSE max({c}) - min({c}) END FROM dl)"
+        else:
+            e = (f"({c} - (SELECT quantile_cont({c}, 0.5) FROM dl)) / (SELECT CASE WHEN quantile_cont({c}, 0.75) = quantile_cont({c}, 0.25) "
+                 f"THEN 1 ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END FROM dl)")
+        parts.append(f"round({e}, 6) AS {c}")
+    return with_clause("dl") + f"SELECT l_orderkey, l_linenumber, {', '.join(parts)} FROM dl"
+
+
+sql("t18_scale_standard", scale_sql("standard"))
+sql("t19_scale_minmax", scale_sql("minmax"))
+sql("t20_scale_robust", scale_sql("robust"))
+sql("t21_ratio_features", """
+SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice,
+  round(p_partkey / CASE WHEN p_size = 0 THEN 1e-10 ELSE CAST(p_size AS DOUBLE) END, 6) AS p_partkey_div_p_size,
+  round(p_partkey / CASE WHEN p_retailprice = 0 THEN 1e-10 ELSE p_retailprice END, 6) AS p_partkey_div_p_retailprice,
+  round(p_size / CASE WHEN p_retailprice = 0 THEN 1e-10 ELSE p_retailprice END, 6) AS p_size_div_p_retailprice
+FROM part""")
+sql("t22_square_features", """
+SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice,
+  round(CAST(p_partkey AS DOUBLE) * p_partkey, 6) AS p_partkey_squared,
+  round(CAST(p_size AS DOUBLE) * p_size, 6) AS p_size_squared,
+  round(p_retailprice * p_retailprice, 6) AS p_retailprice_squared
+FROM part""")
+
+
+def target_enc_sql(c: str) -> str:
+    return (f"round(coalesce((SELECT (CAST(n AS DOUBLE) * mu + g) / (n + 1.0) FROM "
+            f"(SELECT {c} AS v, count(*) AS n, avg(p_retailprice) AS mu FROM part WHERE {c} IS NOT NULL GROUP BY {c}) AS s "
+            f"WHERE s.v = part.{c}), g), 6) AS {c}")
+
+
+sql("t23_target_encode", "SELECT p_partkey, " + target_enc_sql("p_brand") + ", " + target_enc_sql("p_type")
+    + ", round(p_retailprice, 6) AS p_retailprice FROM part, (SELECT avg(p_retailprice) AS g FROM part) AS gm")
+sql("t24_label_encode", with_clause("dl") + """
+SELECT l_orderkey, l_linenumber, l_returnflag,
+       CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS DOUBLE) AS label_idx,
+       l_returnflag AS label_back
+FROM dl""")
