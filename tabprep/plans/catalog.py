@@ -195,10 +195,8 @@ def s07_na_tokens(spark, sf):
 @query("s14_repeated_headers")
 def s14_repeated_headers(spark, sf):
     raw = table(spark, sf, "raw_li_hdr")
-    kept = C.drop_repeated_headers(raw)
-    n_all = raw.agg(F.count(F.lit(1)).alias("n"))
-    return kept.agg(F.count(F.lit(1)).cast("long").alias("n_rows")).join(n_all, how="cross") \
-               .select("n_rows", (F.col("n") - F.col("n_rows")).cast("long").alias("n_header_rows"))
+    hdr = C.is_header_row(raw)
+    return raw.agg(F.count_if(~hdr).cast("long").alias("n_rows"), F.count_if(hdr).cast("long").alias("n_header_rows"))
 
 
 @query("s11_drop_empty_rows")
@@ -465,3 +463,199 @@ def t24_label_encode(spark, sf):
     m = EN.LabelIndexer(input="l_returnflag", output="label_idx").fit(t)
     out = m.transform(t)
     return out.withColumn("label_back", m.inverse(F.col("label_idx")))
+
+
+# ---------------------------------------------------------------- split and folds
+
+from tabprep.operators import split as M  # noqa: E402
+from tabprep.operators import evaluate as X  # noqa: E402
+from tabprep.operators import learners as L  # noqa: E402
+
+
+def _li_key():
+    return F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+
+
+@query("m01_row_cap")
+def m01_row_cap(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return M.row_cap(li, _li_key(), 5000).select("l_orderkey", "l_linenumber")
+
+
+@query("m02_matrix_check")
+def m02_matrix_check(spark, sf):
+    dl = table(spark, sf, "dl")
+    return M.matrix_check(dl, DL_NUMERIC + ["l_returnflag"])
+
+
+@query("m03_split_hash")
+def m03_split_hash(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return M.train_test_split(li, _li_key()).select("l_orderkey", "l_linenumber", "is_test")
+
+
+@query("m03_split_exact")
+def m03_split_exact(spark, sf):
+    lab = table(spark, sf, "labels")
+    return M.train_test_split(lab, F.col("doc_id"), label="quality", method="exact").select("doc_id", "is_test")
+
+
+@query("m04_stratified_folds")
+def m04_stratified_folds(spark, sf):
+    lab = table(spark, sf, "labels")
+    return M.fold_ids(lab, F.col("doc_id"), label="quality", k=3, method="stratified").select("doc_id", "fold")
+
+
+@query("m05_kfold_hash")
+def m05_kfold_hash(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return M.fold_ids(li, _li_key(), k=3).select("l_orderkey", "l_linenumber", "fold")
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query("x01_accuracy")
+def x01_accuracy(spark, sf):
+    return X.accuracy(table(spark, sf, "scored_mc"))
+
+
+@query("x02_weighted_prf")
+def x02_weighted_prf(spark, sf):
+    return X.weighted_prf(table(spark, sf, "scored_mc"))
+
+
+@query("x03_roc_auc")
+def x03_roc_auc(spark, sf):
+    return X.roc_auc(table(spark, sf, "scored"))
+
+
+@query("x04_regression_metrics")
+def x04_regression_metrics(spark, sf):
+    return X.regression_metrics(table(spark, sf, "scored_reg"))
+
+
+@query("x05_confusion_matrix")
+def x05_confusion_matrix(spark, sf):
+    return X.confusion_matrix(table(spark, sf, "scored_mc"))
+
+
+@query("x06_roc_curve")
+def x06_roc_curve(spark, sf):
+    return rnd(X.roc_curve(table(spark, sf, "scored")))
+
+
+@query("x06_roc_area")
+def x06_roc_area(spark, sf):
+    return X.roc_area(X.roc_curve(table(spark, sf, "scored")))
+
+
+# ---------------------------------------------------------------- learners with closed forms
+
+
+def _li_train_test(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    sp = M.train_test_split(li, _li_key())
+    return sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
+
+
+def _fit_linear(spark, sf, kind, alpha=1.0, l1_ratio=0.5):
+    from pyspark.ml.feature import VectorAssembler
+    train, test = _li_train_test(spark, sf)
+    asm = VectorAssembler(inputCols=["l_quantity"], outputCol="features")
+    tr = asm.transform(train).withColumnRenamed("l_extendedprice", "label")
+    n, sd = L.label_std(tr)
+    model = L.linear_model(kind, n, sd, alpha, l1_ratio).fit(tr)
+    return model, asm, test
+
+
+def _coef(spark, sf, kind, **kw):
+    m, _, _ = _fit_linear(spark, sf, kind, **kw)
+    return spark.createDataFrame([(kind, float(m.intercept), float(m.coefficients[0]))],
+                                 "model string, intercept double, coef double").select(
+        "model", F.round("intercept", 3).alias("intercept"), F.round("coef", 3).alias("coef"))
+
+
+@query("l04_linear_regression")
+def l04_linear_regression(spark, sf):
+    return _coef(spark, sf, "linear")
+
+
+@query("l05_ridge")
+def l05_ridge(spark, sf):
+    return _coef(spark, sf, "ridge", alpha=1000.0)
+
+
+@query("l06_lasso")
+def l06_lasso(spark, sf):
+    return _coef(spark, sf, "lasso", alpha=1000.0)
+
+
+@query("l07_elastic_net")
+def l07_elastic_net(spark, sf):
+    return _coef(spark, sf, "elastic_net", alpha=1000.0, l1_ratio=0.5)
+
+
+@query("l01_baseline_majority")
+def l01_baseline_majority(spark, sf):
+    lab = M.train_test_split(table(spark, sf, "labels"), F.col("doc_id"))
+    v = L.majority_class(lab.where(~F.col("is_test")), "quality")
+    return X.accuracy(lab.where(F.col("is_test")).select(F.col("quality").alias("label"),
+                                                         F.lit(v).alias("prediction"))) \
+        .select(F.lit(v).cast("int").alias("majority"), "accuracy")
+
+
+@query("l02_baseline_mean")
+def l02_baseline_mean(spark, sf):
+    train, test = _li_train_test(spark, sf)
+    v = L.mean_value(train, "l_extendedprice")
+    m = X.regression_metrics(test.select(F.col("l_extendedprice").alias("label"), F.lit(v).alias("prediction")))
+    return m.select(F.round(F.lit(v), 4).alias("mean"), "rmse", "mae", "r2")
+
+
+@query("l12_knn")
+def l12_knn(spark, sf):
+    emb = M.train_test_split(table(spark, sf, "embeddings"), F.col("vec_id"))
+    train, test = emb.where(~F.col("is_test")), emb.where(F.col("is_test"))
+    return L.knn_predict(train, test, "vec_id", "embedding", "label", k=5).select(
+        "vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("l13_gaussian_nb")
+def l13_gaussian_nb(spark, sf):
+    ev = M.train_test_split(table(spark, sf, "events"), F.col("event_id"))
+    model = L.fit_gaussian_nb(ev.where(~F.col("is_test")), ["value", "user_id"], label="event_type")
+    return model.transform(ev.where(F.col("is_test"))).select("event_id", "prediction")
+
+
+# ---------------------------------------------------------------- leaderboard over the closed-form learners
+
+
+def _regression_board(spark, sf):
+    rows = []
+    train, test = _li_train_test(spark, sf)
+    mean = L.mean_value(train, "l_extendedprice")
+    base = X.regression_metrics(test.select(F.col("l_extendedprice").alias("label"),
+                                            F.lit(mean).alias("prediction"))).first()
+    rows.append(("baseline", "ok", 0, base["rmse"], base["mae"], base["r2"]))
+    for pos, (kind, kw) in enumerate([("linear", {}), ("ridge", {"alpha": 1000.0}), ("lasso", {"alpha": 1000.0}),
+                                      ("elastic_net", {"alpha": 1000.0, "l1_ratio": 0.5})], start=1):
+        m, asm, te = _fit_linear(spark, sf, kind, **kw)
+        pred = m.transform(asm.transform(te).withColumnRenamed("l_extendedprice", "label"))
+        r = X.regression_metrics(pred).first()
+        rows.append((kind, "ok", pos, r["rmse"], r["mae"], r["r2"]))
+    return spark.createDataFrame(rows, "model string, status string, position int, test_rmse double, "
+                                       "test_mae double, test_r2 double")
+
+
+@query("m09_leaderboard")
+def m09_leaderboard(spark, sf):
+    board = X.leaderboard(_regression_board(spark, sf), "regression")
+    return board.select("model", F.round("test_rmse", 2).alias("test_rmse"), F.round("test_mae", 2).alias("test_mae"),
+                        F.round("test_r2", 3).alias("test_r2"))
+
+
+@query("m10_best_model")
+def m10_best_model(spark, sf):
+    return X.best_model(_regression_board(spark, sf), "regression").select(
+        "model", F.round("score", 3).alias("score"), F.round("improvement_pct", 1).alias("improvement_pct"))

@@ -91,12 +91,46 @@ DIRTY_LINEITEM_CONST = """
 SELECT *, 'lineitem' AS l_source, 0.0 * l_tax AS l_zero FROM dl
 """
 
+# Deterministic scores and predictions derived from lineitem, for the metrics.
+SCORED = """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
+       l_discount * 5 + l_tax * 2 + CASE WHEN l_linestatus = 'O' THEN 0.1 ELSE 0 END AS score,
+       CASE WHEN l_discount * 5 + l_tax * 2 + CASE WHEN l_linestatus = 'O' THEN 0.1 ELSE 0 END >= 0.4
+            THEN 1 ELSE 0 END AS prediction
+FROM lineitem
+"""
+
+SCORED_MULTICLASS = """
+SELECT l_orderkey, l_linenumber,
+       CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label,
+       CASE WHEN l_discount < 0.03 THEN 0 WHEN l_discount < 0.07 THEN 1 ELSE 2 END AS prediction
+FROM lineitem
+"""
+
+SCORED_REGRESSION = """
+SELECT l_orderkey, l_linenumber, l_extendedprice AS label, l_quantity * 1500 AS prediction FROM lineitem
+"""
+
+# Document features with the quality label (classification learners).
+DOC_FEATURES = """
+SELECT d.doc_id, CAST(d.n_chars AS DOUBLE) AS n_chars,
+       CAST(length(d.text) - length(replace(d.text, '.', '')) AS DOUBLE) AS n_dots,
+       CASE WHEN d.lang = 'en' THEN 1.0 ELSE 0.0 END AS is_en,
+       CAST(l.quality AS DOUBLE) AS label
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+"""
+
 DERIVED = {
     "dl": (DIRTY_LINEITEM, ("lineitem",)),
     "dl_dup": (DIRTY_LINEITEM_DUP, ("dl",)),
     "dl_c": (DIRTY_LINEITEM_CONST, ("dl",)),
     "cust_x": (CUSTOMER_EXT, ("customer",)),
     "raw_li": (RAW_LINEITEM, ("lineitem",)),
+    "scored": (SCORED, ("lineitem",)),
+    "scored_mc": (SCORED_MULTICLASS, ("lineitem",)),
+    "scored_reg": (SCORED_REGRESSION, ("lineitem",)),
+    "doc_feats": (DOC_FEATURES, ("documents", "labels")),
     "raw_li_hdr": (RAW_LINEITEM_HDR, ("raw_li", "lineitem")),
 }
 

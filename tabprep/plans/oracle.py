@@ -509,3 +509,138 @@ SELECT l_orderkey, l_linenumber, l_returnflag,
        CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS DOUBLE) AS label_idx,
        l_returnflag AS label_back
 FROM dl""")
+
+
+# ---------------------------------------------------------------- split and folds
+
+LI_KEY = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
+
+
+def md5_of(key: str) -> str:
+    return f"md5('42|' || {key})"
+
+
+def bucket(h: str, start: int = 1, mod: int = 100) -> str:
+    return f"(('0x' || substr({h}, {start}, 8))::BIGINT % {mod})"
+
+
+IS_TEST_LI = f"{bucket(md5_of(LI_KEY))} < 20"
+
+sql("m01_row_cap", f"SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY {md5_of(LI_KEY)} LIMIT 5000")
+sql("m02_matrix_check", ctes("dl") + "x AS (" + union([
+    f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_null, "
+    f"CAST(count(*) FILTER (WHERE isnan({c})) AS BIGINT) AS n_nan, CAST(count(*) FILTER (WHERE isinf({c})) AS BIGINT) AS n_inf, "
+    f"true AS is_numeric FROM dl" for c in DL_NUMERIC]) + """
+UNION ALL SELECT 'l_returnflag', CAST(count(*) FILTER (WHERE l_returnflag IS NULL) AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM dl)
+SELECT * FROM x""")
+sql("m03_split_hash", f"SELECT l_orderkey, l_linenumber, {IS_TEST_LI} AS is_test FROM lineitem")
+sql("m03_split_exact", f"""
+SELECT doc_id, (row_number() OVER (PARTITION BY quality ORDER BY {md5_of('CAST(doc_id AS VARCHAR)')}) - 1)
+              < (count(*) OVER (PARTITION BY quality) * 20 + 99) // 100 AS is_test FROM labels""")
+sql("m04_stratified_folds", f"""
+SELECT doc_id, CAST((row_number() OVER (PARTITION BY quality ORDER BY {md5_of('CAST(doc_id AS VARCHAR)')}) - 1) % 3 AS INTEGER) AS fold
+FROM labels""")
+sql("m05_kfold_hash", f"SELECT l_orderkey, l_linenumber, CAST({bucket(md5_of(LI_KEY), 9, 3)} AS INTEGER) AS fold FROM lineitem")
+
+# ---------------------------------------------------------------- evaluation
+
+PRF = """
+WITH lab AS (SELECT label AS class, count(*) AS support, count(*) FILTER (WHERE label = prediction) AS tp FROM {t} GROUP BY label),
+prd AS (SELECT prediction AS class, count(*) AS predicted FROM {t} GROUP BY prediction),
+c AS (SELECT coalesce(lab.class, prd.class) AS class, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
+             coalesce(predicted, 0) AS predicted FROM lab FULL JOIN prd ON lab.class = prd.class),
+m AS (SELECT support, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0 END AS p,
+             CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS r FROM c)
+SELECT round(sum(p * support) / sum(support), 4) AS precision, round(sum(r * support) / sum(support), 4) AS recall,
+       round(sum(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END * support) / sum(support), 4) AS f1 FROM m"""
+SCORES = """s AS (SELECT CAST(score AS DOUBLE) AS score, CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS pos,
+             CAST(count(*) FILTER (WHERE label <> 1) AS DOUBLE) AS neg FROM scored GROUP BY score)"""
+
+sql("x01_accuracy", with_clause("scored_mc") + "SELECT round(avg(CAST(label = prediction AS DOUBLE)), 4) AS accuracy FROM scored_mc")
+sql("x02_weighted_prf", with_clause("scored_mc").rstrip("\n").replace("WITH ", "WITH ", 1) + PRF.replace("WITH lab", ", lab", 1).format(t="scored_mc")
+    if with_clause("scored_mc") else PRF.format(t="scored_mc"))
+sql("x03_roc_auc", ctes("scored") + SCORES + """,
+c AS (SELECT *, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM s)
+SELECT round(sum(pos * (cum_neg - neg + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS auc FROM c""")
+sql("x04_regression_metrics", with_clause("scored_reg") + """
+SELECT round(sqrt(avg((label - prediction) * (label - prediction))), 4) AS rmse, round(avg(abs(label - prediction)), 4) AS mae,
+       round(1 - sum((label - prediction) * (label - prediction)) / (var_pop(label) * count(*)), 4) AS r2 FROM scored_reg""")
+sql("x05_confusion_matrix", with_clause("scored_mc") + """
+SELECT label, CAST(round(prediction) AS BIGINT) AS prediction, CAST(count(*) AS BIGINT) AS n FROM scored_mc GROUP BY label, round(prediction)""")
+ROC = ctes("scored") + SCORES + """,
+c AS (SELECT score, sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+             sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM s),
+pts AS (SELECT score AS threshold, cn / (SELECT sum(neg) FROM s) AS fpr, cp / (SELECT sum(pos) FROM s) AS tpr FROM c
+        UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0)
+"""
+sql("x06_roc_curve", ROC + "SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM pts")
+sql("x06_roc_area", ROC + """, l AS (SELECT fpr, tpr, lag(fpr) OVER (ORDER BY fpr, tpr) AS pf, lag(tpr) OVER (ORDER BY fpr, tpr) AS pt FROM pts)
+SELECT round(sum((fpr - pf) * (tpr + pt) / 2), 6) AS area FROM l""")
+
+# ---------------------------------------------------------------- learners with closed forms
+
+LIN = f"""WITH tr AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE NOT ({IS_TEST_LI})),
+te AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE {IS_TEST_LI}),
+s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my FROM tr),
+c AS (SELECT sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) AS sxy FROM tr, s),
+w AS (
+  SELECT 'linear' AS model, 1 AS position, sxy / sxx AS w FROM c
+  UNION ALL SELECT 'ridge', 2, sxy / (sxx + 1000.0) FROM c
+  UNION ALL SELECT 'lasso', 3, sign(sxy) * greatest(abs(sxy) / n - 1000.0, 0) / (sxx / n) FROM c, s
+  UNION ALL SELECT 'elastic_net', 4, sign(sxy) * greatest(abs(sxy) / n - 500.0, 0) / (sxx / n + 500.0) FROM c, s),
+coef AS (SELECT model, position, my - w * mx AS intercept, w AS coef FROM w, s)
+"""
+
+
+def coef_sql(model: str) -> str:
+    return LIN + f"SELECT model, round(intercept, 3) AS intercept, round(coef, 3) AS coef FROM coef WHERE model = '{model}'"
+
+
+sql("l04_linear_regression", coef_sql("linear"))
+sql("l05_ridge", coef_sql("ridge"))
+sql("l06_lasso", coef_sql("lasso"))
+sql("l07_elastic_net", coef_sql("elastic_net"))
+LAB_TEST = f"{bucket(md5_of('CAST(doc_id AS VARCHAR)'))} < 20"
+sql("l01_baseline_majority", f"""
+WITH tr AS (SELECT quality FROM labels WHERE NOT ({LAB_TEST})),
+m AS (SELECT quality AS v FROM tr WHERE quality IS NOT NULL GROUP BY quality ORDER BY count(*) DESC, quality ASC LIMIT 1)
+SELECT CAST((SELECT v FROM m) AS INTEGER) AS majority, round(avg(CAST(quality = (SELECT v FROM m) AS DOUBLE)), 4) AS accuracy
+FROM labels WHERE {LAB_TEST}""")
+sql("l02_baseline_mean", LIN + """, b AS (SELECT my AS m FROM s)
+SELECT round((SELECT m FROM b), 4) AS mean, round(sqrt(avg((y - (SELECT m FROM b)) * (y - (SELECT m FROM b)))), 4) AS rmse,
+       round(avg(abs(y - (SELECT m FROM b))), 4) AS mae,
+       round(1 - sum((y - (SELECT m FROM b)) * (y - (SELECT m FROM b))) / (var_pop(y) * count(*)), 4) AS r2 FROM te""")
+EMB_TEST = f"{bucket(md5_of('CAST(vec_id AS VARCHAR)'))} < 20"
+sql("l12_knn", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, {EMB_TEST} AS is_test FROM embeddings),
+d AS (SELECT q.vec_id AS q, t.vec_id AS t, t.label AS y, list_distance(q.v, t.v) AS dist
+      FROM e q JOIN e t ON q.is_test AND NOT t.is_test),
+k AS (SELECT q, y, row_number() OVER (PARTITION BY q ORDER BY dist, t) AS r FROM d),
+v AS (SELECT q, y, count(*) AS c FROM k WHERE r <= 5 GROUP BY q, y)
+SELECT q AS vec_id, CAST(y AS INTEGER) AS prediction
+FROM (SELECT q, y, row_number() OVER (PARTITION BY q ORDER BY c DESC, y ASC) AS rr FROM v) WHERE rr = 1""")
+EV_TEST = f"{bucket(md5_of('CAST(event_id AS VARCHAR)'))} < 20"
+sql("l13_gaussian_nb", f"""
+WITH ev AS (SELECT *, {EV_TEST} AS is_test FROM events),
+tr AS (SELECT * FROM ev WHERE NOT is_test),
+g AS (SELECT 1e-9 * greatest(var_pop(value), var_pop(user_id)) AS eps, count(*) AS n FROM tr),
+c AS (SELECT event_type AS cls, count(*) AS nc, avg(value) AS m1, var_pop(value) AS v1, avg(user_id) AS m2,
+             var_pop(user_id) AS v2 FROM tr GROUP BY event_type),
+p AS (SELECT te.event_id, c.cls,
+             ln(CAST(c.nc AS DOUBLE) / g.n) - 0.5 * ln(2 * pi() * (c.v1 + g.eps)) - (te.value - c.m1) ^ 2 / (2 * (c.v1 + g.eps))
+             - 0.5 * ln(2 * pi() * (c.v2 + g.eps)) - (te.user_id - c.m2) ^ 2 / (2 * (c.v2 + g.eps)) AS ll
+      FROM ev te, c, g WHERE te.is_test)
+SELECT event_id, cls AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ll DESC, cls ASC) AS r FROM p)
+WHERE r = 1""")
+
+BOARD = LIN + """, b AS (SELECT my AS m FROM s),
+pred AS (SELECT 'baseline' AS model, 0 AS position, y, (SELECT m FROM b) AS p FROM te
+         UNION ALL SELECT coef.model, coef.position, te.y, coef.intercept + coef.coef * te.x FROM te, coef),
+met AS (SELECT model, position, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(avg(abs(y - p)), 4) AS mae,
+               round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 4) AS r2 FROM pred GROUP BY model, position)
+"""
+sql("m09_leaderboard", BOARD + "SELECT model, round(rmse, 2) AS test_rmse, round(mae, 2) AS test_mae, round(r2, 3) AS test_r2 FROM met")
+sql("m10_best_model", BOARD + """, best AS (SELECT model, r2 FROM met WHERE model <> 'baseline' ORDER BY r2 DESC, position LIMIT 1),
+base AS (SELECT r2 AS b FROM met WHERE model = 'baseline')
+SELECT model, round(r2, 3) AS score,
+       round(round(CASE WHEN b = 0 THEN 0 ELSE (r2 - b) / abs(b) * 100 END, 4), 1) AS improvement_pct FROM best, base""")

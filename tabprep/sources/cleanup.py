@@ -18,15 +18,19 @@ from tabprep.functions.exprs import (
 from tabprep.operators._long import one_row_long
 
 
+def is_header_row(df: DataFrame):
+    """True where every cell equals its column name (lower-cased, trimmed)."""
+    cond = F.lit(len(df.columns) > 0)
+    for c in df.columns:
+        cond = cond & F.coalesce(F.lower(F.trim(qcol(c).cast("string"))) == F.lit(c.strip().lower()), F.lit(False))
+    return cond
+
+
 def drop_repeated_headers(df: DataFrame) -> DataFrame:
-    """Drop rows whose every cell equals its column name (lower-cased, trimmed)."""
+    """Drop rows equal to the header line."""
     if len(df.columns) == 0:
         return df
-    cond = None
-    for c in df.columns:
-        eq = F.coalesce(F.lower(F.trim(qcol(c).cast("string"))) == F.lit(c.strip().lower()), F.lit(False))
-        cond = eq if cond is None else (cond & eq)
-    return df.where(~cond)
+    return df.where(~is_header_row(df))
 
 
 def na_tokens_to_null(df: DataFrame, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
