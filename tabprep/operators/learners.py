@@ -300,7 +300,7 @@ def classification_learners(fast_only: bool = False, include_svm: bool = False)
         return est if k <= 2 else OneVsRest(classifier=est)
 
     def svm(n, sd, k, C=1.0):
-        est = LinearSVC(regParam=1.0 / (C * n), standardization=False, maxIter=1000)
+        est = LinearSVC(regParam=1.0 / (C * n), standardization=False, maxIter=1000, tol=1e-4)
         return est if k <= 2 else OneVsRest(classifier=est)
 
     regs = [

@@ -659,3 +659,88 @@ def m09_leaderboard(spark, sf):
 def m10_best_model(spark, sf):
     return X.best_model(_regression_board(spark, sf), "regression").select(
         "model", F.round("score", 3).alias("score"), F.round("improvement_pct", 1).alias("improvement_pct"))
+
+
+# ---------------------------------------------------------------- plan assembly and library learners (rows-only)
+
+from tabprep.plans import assemble as A  # noqa: E402
+from tabprep.plans import search as SE  # noqa: E402
+
+
+@query("t25_build_pipeline")
+def t25_build_pipeline(spark, sf):
+    cx = table(spark, sf, "dl")
+    facts = A.profile_facts(cx, "l_returnflag")
+    pipe = A.build_pipeline(facts, len(cx.columns) - 1)
+    return spark.createDataFrame(list(enumerate(A.stage_names(pipe))), "position int, stage string")
+
+
+@query("t26_fit_transform")
+def t26_fit_transform(spark, sf):
+    prepared, _ = T.prepare_data(table(spark, sf, "dl"), "l_returnflag")
+    feats = prepared.drop("label")
+    facts = A.profile_facts(table(spark, sf, "dl"), "l_returnflag")
+    _, out = A.fit_transform(A.build_pipeline(facts, len(feats.columns)), feats)
+    return rnd(out)
+
+
+def _doc_split(spark, sf):
+    d = table(spark, sf, "doc_feats")
+    d = EN.NumericScaler(cols=["n_chars", "n_dots"]).fit(d).transform(d)
+    d = M.fold_ids(M.train_test_split(d, F.col("doc_id")), F.col("doc_id"), label="label", k=3, method="stratified")
+    return d.where(~F.col("is_test")), d.where(F.col("is_test"))
+
+
+DOC_FEATS = ["n_chars", "n_dots", "is_en"]
+
+
+@query("m08_train_models")
+def m08_train_models(spark, sf):
+    """M6–M8 + M13: fast-mode learners with random search on stratified folds."""
+    train, test = _doc_split(spark, sf)
+    board, _ = SE.train_models(train, test, DOC_FEATS, "classification", fast_only=True)
+    return X.leaderboard(board, "classification").select("model", "status", "test_accuracy")
+
+
+def _one_learner(spark, sf, name):
+    train, test = _doc_split(spark, sf)
+    board, _ = SE.train_models(train, test, DOC_FEATS, "classification", fast_only=False, learners=[name],
+                               s=DEFAULT_SETTINGS.__class__(search_iterations=1))
+    return board.select("model", "status", "test_accuracy")
+
+
+@query("l03_logistic_regression")
+def l03_logistic_regression(spark, sf):
+    return _one_learner(spark, sf, "logistic_regression")
+
+
+@query("l08_decision_tree")
+def l08_decision_tree(spark, sf):
+    return _one_learner(spark, sf, "decision_tree")
+
+
+@query("l09_random_forest")
+def l09_random_forest(spark, sf):
+    return _one_learner(spark, sf, "random_forest")
+
+
+@query("l10_gradient_boosting")
+def l10_gradient_boosting(spark, sf):
+    return _one_learner(spark, sf, "gradient_boosting")
+
+
+@query("l11_adaboost")
+def l11_adaboost(spark, sf):
+    return _one_learner(spark, sf, "adaboost")
+
+
+@query("l14_linear_svm")
+def l14_linear_svm(spark, sf):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import VectorAssembler
+    train, test = _doc_split(spark, sf)
+    asm = VectorAssembler(inputCols=DOC_FEATS, outputCol="features")
+    tr = asm.transform(train)
+    n = tr.count()
+    m = LinearSVC(regParam=1.0 / n, standardization=False, maxIter=100, tol=1e-4).fit(tr)
+    return X.accuracy(m.transform(asm.transform(test))).select(F.lit("svm").alias("model"), "accuracy")

@@ -73,18 +73,19 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], task: s
                 ptr, pte = tr.withColumn("prediction", F.lit(v)), te.withColumn("prediction", F.lit(v))
             elif lr.kind == "ml":
                 if len(cands) > 1:
-                    est = lr.make(n, sd, k)
                     evaluator = (MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification"
                                  else RegressionEvaluator(metricName="r2"))
-                    # one estimator per candidate (mapped parameters differ per candidate)
-                    scored = []
+                    # every candidate as a param map of one base estimator; the folds are
+                    # given (stratified ids), the candidates fit concurrently
+                    base = lr.make(n, sd, k)
+                    maps = []
                     for c in cands:
                         e = lr.make(n, sd, k, **c)
-                        cv = CrossValidator(estimator=e, estimatorParamMaps=ParamGridBuilder().build(),
-                                            evaluator=evaluator, foldCol=fold_col, parallelism=parallelism)
-                        scored.append((cv.fit(tr).avgMetrics[0], c))
-                    best = max(scored, key=lambda t: t[0])[1]
-                    del est
+                        maps.append({base.getParam(p.name): v for p, v in e.extractParamMap().items()
+                                     if e.isSet(p) and base.hasParam(p.name)})
+                    cv = CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=evaluator,
+                                        foldCol=fold_col, parallelism=parallelism).fit(tr)
+                    best = cands[int(max(range(len(maps)), key=lambda i: cv.avgMetrics[i]))]
                 else:
                     best = cands[0]
                 model = lr.make(n, sd, k, **best).fit(tr)
