@@ -744,3 +744,74 @@ def l14_linear_svm(spark, sf):
     n = tr.count()
     m = LinearSVC(regParam=1.0 / n, standardization=False, maxIter=100, tol=1e-4).fit(tr)
     return X.accuracy(m.transform(asm.transform(test))).select(F.lit("svm").alias("model"), "accuracy")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+from tabprep.sources import files as FS  # noqa: E402
+from tabprep.sources import sinks as SK  # noqa: E402
+
+
+@query("s02_content_sniff")
+def s02_content_sniff(spark, sf):
+    pages = table(spark, sf, "pages")
+    head_hex = F.hex(F.encode(F.substring("html", 1, 8), "UTF-8"))
+    return pages.select("page_id", FS.sniff_text(F.col("html")).alias("is_html"),
+                        head_hex.startswith(FS.OLE2_MAGIC_HEX).alias("is_ole2"),
+                        head_hex.startswith(FS.ZIP_MAGIC_HEX).alias("is_zip"))
+
+
+@query("s05_delimiter")
+def s05_delimiter(spark, sf):
+    docs = table(spark, sf, "documents")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return rnd(FS.delimiter_scores(lines, "doc_id"))
+
+
+def _write_raw_csv(spark, sf) -> str:
+    """The raw lineitem table as a ';'-separated file set (one header per part file)
+    in the shared checkpoint folder: data Spark derives from the driver's table."""
+    import uuid
+    from tabprep.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/raw-csv-{uuid.uuid4().hex}"
+    (table(spark, sf, "raw_li_hdr").write.mode("overwrite").option("header", True).option("sep", ";")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("nullValue", "").csv(path))
+    return path
+
+
+@query("s16_ingest_csv")
+def s16_ingest_csv(spark, sf):
+    """S1–S16 end to end: census, sniff, encoding, delimiter, header names, safe read,
+    NA tokens, header repeats, empty rows/columns, type inference, gate."""
+    typed, _ = FS.ingest(spark, _write_raw_csv(spark, sf))
+    return typed
+
+
+@query("s01_ingest_findings")
+def s01_ingest_findings(spark, sf):
+    _, findings = FS.ingest(spark, _write_raw_csv(spark, sf))
+    return findings.where(F.col("step") != "census").select("step", "detail")
+
+
+@query("s19_save_load_model")
+def s19_save_load_model(spark, sf):
+    """Fit a plan, save it with its metadata, load it back and score."""
+    import uuid
+    from pyspark.ml import Pipeline
+    from tabprep.session import ensure_checkpoint_dir
+    dl = table(spark, sf, "dl").select("l_orderkey", "l_quantity", "l_discount", "l_returnflag")
+    model = Pipeline(stages=[CL.MissingValueImputer(), EN.CategoricalEncoder(), EN.NumericScaler(
+        cols=["l_quantity", "l_discount"])]).fit(dl)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    SK.save_model(model, path, "imputer+encoder+scaler", "classification", dl.columns)
+    loaded, meta = SK.load_model(path)
+    return rnd(loaded.transform(dl))
+
+
+@query("s20_report_findings")
+def s20_report_findings(spark, sf):
+    dl = table(spark, sf, "dl")
+    t = SK.report_tables(P.findings(dl, target="l_returnflag"), P.missing(dl),
+                         spark.createDataFrame([], "model string"))
+    return rnd(t["findings"])

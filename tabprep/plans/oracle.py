@@ -644,3 +644,22 @@ sql("m10_best_model", BOARD + """, best AS (SELECT model, r2 FROM met WHERE mode
 base AS (SELECT r2 AS b FROM met WHERE model = 'baseline')
 SELECT model, round(r2, 3) AS score,
        round(round(CASE WHEN b = 0 THEN 0 ELSE (r2 - b) / abs(b) * 100 END, 4), 1) AS improvement_pct FROM best, base""")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+sql("s02_content_sniff", """
+SELECT page_id, (lower(html) LIKE '%<html%' OR lower(html) LIKE '%<!doctype%') AS is_html,
+       starts_with(hex(encode(substr(html, 1, 8))), 'D0CF11E0A1B11AE1') AS is_ole2,
+       starts_with(hex(encode(substr(html, 1, 8))), '504B0304') AS is_zip FROM pages""")
+sql("s05_delimiter", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+nb AS (SELECT * FROM l WHERE trim(line) <> ''),
+c AS (SELECT * FROM (VALUES (',', 0), (';', 1), ('|', 2), (chr(9), 3), ('^', 4), ('~', 5), (':', 6)) AS t(d, pos)),
+k AS (SELECT doc_id, d, pos, length(line) - length(replace(line, d, '')) AS k FROM nb, c),
+g AS (SELECT doc_id, d, pos, avg(k) AS a, stddev_pop(k) AS sd FROM k GROUP BY doc_id, d, pos HAVING avg(k) > 0),
+s AS (SELECT doc_id, d, a * a / (sd + 1) AS score,
+             row_number() OVER (PARTITION BY doc_id ORDER BY a * a / (sd + 1) DESC, pos ASC) AS r FROM g)
+SELECT docs.doc_id, coalesce(s.d, ',') AS delimiter, round(s.score, 6) AS score
+FROM (SELECT DISTINCT doc_id FROM documents) AS docs LEFT JOIN s ON docs.doc_id = s.doc_id AND s.r = 1""")
+ORACLE["s16_ingest_csv"] = ORACLE["s16_ingest_cleanup"]
