@@ -355,7 +355,21 @@ FINDINGS_SCHEMA = "rule string, column string, severity string, measured double"
 
 def findings(df: DataFrame, target: str | None = None, s: Settings = DEFAULT_SETTINGS,
              outlier_method: str = "exact") -> DataFrame:
-    """Every rule's hits gathered into one (rule, column, severity, measured) table."""
+    """Every rule's hits gathered into one (rule, column, severity, measured) table.
+
+    The input is scanned by about ten small jobs, so it is persisted for their
+    duration; the (small) result is written to the shared checkpoint folder so the
+    input can be released before returning."""
+    from pyspark import StorageLevel
+    from tabprep.session import cut_lineage
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cut_lineage(_findings(df, target, s, outlier_method))
+    finally:
+        df.unpersist()
+
+
+def _findings(df: DataFrame, target: str | None, s: Settings, outlier_method: str) -> DataFrame:
     n_rows = df.count()
     freq = frequency_table(df, df.columns).persist()
     card = cardinality(df, freq, n_rows)
@@ -408,4 +422,4 @@ def findings(df: DataFrame, target: str | None = None, s: Settings = DEFAULT_SET
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.coalesce(1)
