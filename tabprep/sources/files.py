@@ -32,10 +32,29 @@ class IngestError(ValueError):
 # ------------------------------------------------------------------ S1 census
 
 
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, length) of every file under ``path`` from the Hadoop file system listing
+    (metadata only; empty files included, which a file scan would skip)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return []
+    it = fs.listFiles(p, True)
+    out = []
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if not name.startswith(("_", ".")):
+            out.append((st.getPath().toString(), int(st.getLen())))
+    return out
+
+
 def file_census(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
     """(path, length, verdict): empty → reject, above the size cap (off by default) →
     reject, above the warning size → warn, else ok."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    files = spark.createDataFrame(list_files(spark, path), "path string, length long")
     mb = F.col("length") / (1024 * 1024)
     verdict = F.when(F.col("length") == 0, "reject_empty")
     if s.max_file_size_mb is not None:
