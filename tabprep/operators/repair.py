@@ -62,7 +62,10 @@ def apply_repair(df: DataFrame, decisions: dict[str, str]) -> DataFrame:
 
 
 def repair_columns(df: DataFrame, units_ok: bool = False) -> tuple[DataFrame, DataFrame]:
-    """V6: returns (repaired table, decisions)."""
+    """V6: returns (repaired table, decisions). The input is scanned twice (decide,
+    then project), so it is persisted; the caller may unpersist it after use."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     dec = repair_decisions(df, units_ok)
     kinds = {r["column"]: r["kind"] for r in dec.select("column", "kind").collect()}
     return apply_repair(df, kinds), dec

@@ -559,9 +559,9 @@ def _li_train_test(spark, sf):
     return sp.where(~F.col("is_test")), sp.where(F.col("is_test"))
 
 
-def _fit_linear(spark, sf, kind, alpha=1.0, l1_ratio=0.5):
+def _fit_linear(spark, sf, kind, alpha=1.0, l1_ratio=0.5, split=None):
     from pyspark.ml.feature import VectorAssembler
-    train, test = _li_train_test(spark, sf)
+    train, test = split or _li_train_test(spark, sf)
     asm = VectorAssembler(inputCols=["l_quantity"], outputCol="features")
     tr = asm.transform(train).withColumnRenamed("l_extendedprice", "label")
     n, sd = L.label_std(tr)
@@ -634,16 +634,19 @@ def l13_gaussian_nb(spark, sf):
 def _regression_board(spark, sf):
     rows = []
     train, test = _li_train_test(spark, sf)
+    train, test = train.persist(), test.persist()
     mean = L.mean_value(train, "l_extendedprice")
     base = X.regression_metrics(test.select(F.col("l_extendedprice").alias("label"),
                                             F.lit(mean).alias("prediction"))).first()
     rows.append(("baseline", "ok", 0, base["rmse"], base["mae"], base["r2"]))
     for pos, (kind, kw) in enumerate([("linear", {}), ("ridge", {"alpha": 1000.0}), ("lasso", {"alpha": 1000.0}),
                                       ("elastic_net", {"alpha": 1000.0, "l1_ratio": 0.5})], start=1):
-        m, asm, te = _fit_linear(spark, sf, kind, **kw)
+        m, asm, te = _fit_linear(spark, sf, kind, split=(train, test), **kw)
         pred = m.transform(asm.transform(te).withColumnRenamed("l_extendedprice", "label"))
         r = X.regression_metrics(pred).first()
         rows.append((kind, "ok", pos, r["rmse"], r["mae"], r["r2"]))
+    train.unpersist()
+    test.unpersist()
     return spark.createDataFrame(rows, "model string, status string, position int, test_rmse double, "
                                        "test_mae double, test_r2 double")
 

@@ -112,8 +112,10 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 def cleanup(df: DataFrame, s: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame, DataFrame]:
     """S11–S14 + S7 + S8 on a freshly read all-string table.
     Returns (typed table, decisions (column, action, detail))."""
+    from pyspark import StorageLevel
     spark = df.sparkSession
-    stage = drop_empty_rows(na_tokens_to_null(drop_repeated_headers(df), s))
+    # scanned by the census aggregate and by the typed projection: persist once
+    stage = drop_empty_rows(na_tokens_to_null(drop_repeated_headers(df), s)).persist(StorageLevel.MEMORY_AND_DISK)
     census = column_census(stage)
     drop = empty_columns(census, s)
     kept = stage.drop(*drop)
