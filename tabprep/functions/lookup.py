@@ -30,7 +30,8 @@ def dense_index(values: DataFrame, partitions: int | None = None) -> DataFrame:
     """(column, value) distinct pairs → (column, value, idx) with idx = 0-based
     position of value in sorted order within its column."""
     spark = values.sparkSession
-    n_part = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    conf = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_part = partitions or max(1, min(conf, values.rdd.getNumPartitions() * 8))
     part = (values.repartitionByRange(n_part, "column", "value")
             .sortWithinPartitions("column", "value")
             .withColumn("_pid", F.spark_partition_id())

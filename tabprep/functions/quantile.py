@@ -30,8 +30,10 @@ from tabprep.functions.exprs import qcol
 
 
 def _target_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Range partitions: the shuffle setting, but no more than 8 per input partition
+    (a one-file input does not need 200 tiny sorted ranges)."""
+    conf = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(conf, df.rdd.getNumPartitions() * 8))
 
 
 def order_statistics(long_df: DataFrame, ranks: dict[str, list[int]],

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 
 def _n_part(df: DataFrame, partitions: int | None) -> int:
-    return partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if partitions:
+        return partitions
+    conf = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(conf, df.rdd.getNumPartitions() * 8))
 
 
 def rank_within(df: DataFrame, group: str, order: list[str], out: str = "_rank",
