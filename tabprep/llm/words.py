@@ -8,6 +8,7 @@ V words share one with probability below V*V / 2**65.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,21 +151,27 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray, ordered: bool = False) -> bytes:
-    """Integers in as few whole bytes each as the largest (the largest step, if ``ordered``) needs."""
+    """Integers in as few whole bytes each as the largest (the largest step, if ``ordered``) needs; single bytes, which
+    are mostly alike, are compressed too."""
     v = np.asarray(values).astype(U64)
     if ordered and len(v):
         v = np.concatenate([v[:1], np.diff(v)])
     head, rest = (v[:1], v[1:]) if ordered else (v[:0], v)
     width = max(1, (int(rest.max()).bit_length() + 7) // 8) if len(rest) else 1
-    low = np.ascontiguousarray(rest).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width, ordered]) + head.tobytes() + low.tobytes()
+    low = np.ascontiguousarray(rest).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    if width == 1 and len(low) > 64:
+        return bytes([0, ordered]) + head.tobytes() + zlib.compress(low, 1)
+    return bytes([width, ordered]) + head.tobytes() + low
 
 
 def unpack(blob: bytes) -> np.ndarray:
     """What ``pack`` was given, as uint64."""
     width, ordered = blob[0], blob[1]
     at = 2 + 8 * (ordered and len(blob) > 2)
-    low = np.frombuffer(blob, np.uint8, offset=at).reshape(-1, width)
+    body = blob[at:]
+    if not width:
+        width, body = 1, zlib.decompress(body)
+    low = np.frombuffer(body, np.uint8).reshape(-1, width)
     out = np.zeros((len(low), 8), np.uint8)
     out[:, :width] = low
     out = out.view(U64).ravel()
