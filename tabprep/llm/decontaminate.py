@@ -66,6 +66,11 @@ def kept_hashes(hashes: Column, gram: int, window: int) -> Column:
     return F.array_distinct(out)
 
 
+def _grams(hashes: Column, n: int) -> Column:
+    """Every run of n hashes (whole) and where it starts."""
+    return F.transform(_places(F.size(hashes) - (n - 1)), lambda i: F.struct((i - 1).alias("start"), F.slice(hashes, i, F.lit(n)).alias("whole")))
+
+
 def _seeds(rows: DataFrame, gram: int, window: int, header: bool) -> DataFrame:
     """A row for each kept hash of ``rows`` (columns h and others): key and at (position). With ``header``, one more
     for each input row, of key HEADER."""
@@ -139,7 +144,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sizes = [r.n for r in short.select(F.size("h").alias("n")).distinct().collect()]  # at most span - 1
     for n in sorted(sizes):
         some = short.where(F.size("h") == n).select("item", F.col("h").alias("whole"), F.xxhash64("h").alias("key")).distinct()
-        grams = F.transform(_places(F.size("h") - (n - 1)), lambda i, n=n: F.struct((i - 1).alias("start"), F.slice("h", i, n).alias("whole")))
+        grams = _grams(F.col("h"), n)
         found = rows.select("id", "digest", "n_words", F.explode(grams).alias("g")).select("id", "digest", "n_words", F.col("g.start").alias("start"), F.col("g.whole").alias("own"), F.xxhash64("g.whole").alias("own_key"))
         few = some.count() <= BROADCAST_ROWS
         found = found.join(F.broadcast(some) if few else some, (F.col("own_key") == F.col("key")) & (F.col("own") == F.col("whole")))

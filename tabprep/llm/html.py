@@ -146,9 +146,9 @@ class Page:
             linked[e] += length * link
         out = []
         for i in range(n):
-            own = ["tag=" + self.tag[i], f"size={min(size[i], 4000).bit_length() // 2}"]
-            if size[i]:
-                own.append(f"links={4 * linked[i] // size[i]}")
+            own = []
+            if size[i]:  # an element that only holds others says nothing by itself
+                own = ["tag=" + self.tag[i], f"size={min(size[i], 4000).bit_length() // 2}", f"links={4 * linked[i] // size[i]}"]
             if self.article[i]:
                 own.append("mark=article")
             out.append(own)

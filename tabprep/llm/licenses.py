@@ -145,7 +145,7 @@ def scan_text(text: str, found: ahocorasick.Automaton, phrases: dict[str, str])
     expressions = []
     tags = [i for i, p in places if p == TAG]
     if tags:
-        ends = [m.end() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw)]
+        ends = [m.end() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw.lower())]
         for i in tags:
             after = raw[ends[i + TAG.count(" ")] :].split(b"\n", 1)[0].decode("utf-8", "replace").lstrip(" \t:")
             postfix = parse(after)
