@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tabprep.llm.words import pack
 
 #: Words of a chunk and entries of a range that a task holds at once, about.
-CHUNK_WORDS = 2 << 20
-RANGE_ENTRIES = 4 << 20
+CHUNK_WORDS = 1 << 20
+RANGE_ENTRIES = 2 << 20
 #: Bits of the fixed-size filter of row keys.
 FILTER_BITS = 1 << 23
 
