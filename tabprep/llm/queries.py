@@ -77,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op7_license_scan, op8_decontamination, op9_substring_dedup, op10_piece_encoding)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+_WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLE: dict[str, str] = {
     "op6_url_filter": r"""
@@ -86,7 +86,7 @@ WITH p AS (
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
          list_sort(list_filter(string_split(coalesce(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), ''), '&'),
-                               x -> x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS asked
+                               lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS asked
   FROM pages),
 c AS (
   SELECT *, CASE WHEN host <> '' THEN
@@ -122,7 +122,7 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
 """,
     "op9_substring_dedup": r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 g AS (
   SELECT doc_id, i, md5(array_to_string(words[i:i+49], ' ')) AS win
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50)),
@@ -131,7 +131,7 @@ gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(r
 kept AS (
   SELECT doc_id, words, coalesce(len(places), 0) AS n_removed,
          CASE WHEN places IS NULL THEN words
-              ELSE list_transform(list_sort(list_filter(range(1, len(words) + 1), i -> NOT list_contains(places, i))), i -> words[i]) END AS left_over
+              ELSE list_transform(list_sort(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i))), lambda i: words[i]) END AS left_over
   FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, n_removed, sha256(array_to_string(left_over, ' ')) AS kept_sha256 FROM kept
 """,
