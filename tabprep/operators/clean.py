@@ -75,7 +75,10 @@ class MissingValueImputerModel(TabModel):
             if c in drop:
                 continue
             if c in st["fill"] and st["fill"][c] is not None:
-                out.append(F.coalesce(qcol(c), F.lit(st["fill"][c]).cast(df.schema[c].dataType)).alias(c))
+                fill, kind = st["fill"][c], df.schema[c].dataType.typeName()
+                # an integer column with missing values is a double column: its median may lie between two
+                to = "double" if kind in ("byte", "short", "integer", "long") and isinstance(fill, float) else df.schema[c].dataType
+                out.append(F.coalesce(qcol(c).cast(to), F.lit(fill).cast(to)).alias(c))
             else:
                 out.append(qcol(c))
         return df.select(*out)

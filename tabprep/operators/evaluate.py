@@ -105,7 +105,7 @@ def leaderboard(results: DataFrame, task: str) -> DataFrame:
     return results.orderBy(F.col(key).desc_nulls_last(), F.col("position"))
 
 
-def best_model(results: DataFrame, task: str, baseline: str = "baseline") -> DataFrame:
+def best_model(results: DataFrame, task: str, baseline: str = "dummy") -> DataFrame:
     """M10 + M11: best by test accuracy / R² (first on ties), baseline only when alone;
     improvement over the baseline in percent (0 when the baseline scores 0)."""
     key = "test_accuracy" if task == "classification" else "test_r2"

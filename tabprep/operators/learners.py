@@ -56,18 +56,19 @@ def linear_model(kind: str, n: int, y_std: float, alpha: float = 1.0, l1_ratio:
     """L4–L7 with the penalty of the reproduced objective
     ``1/(2n)·RSS + alpha·l1·|w|₁ + alpha·(1−l1)/2·|w|²`` (ridge: ``RSS + alpha·|w|²``).
     Spark scales the L2 part of its penalty by the label's standard deviation when it
-    standardises the label internally, hence the ``y_std`` factor."""
+    standardises the label internally, hence the ``y_std`` factor. One pass over the data;
+    above 4 096 features set the solver to l-bfgs."""
     base = dict(featuresCol=features, labelCol=label, standardization=False, maxIter=1000, tol=1e-10)
     if kind == "linear":
         return LinearRegression(regParam=0.0, solver="normal", **base)
     if kind == "ridge":
         return LinearRegression(regParam=alpha * y_std / n, elasticNetParam=0.0, solver="normal", **base)
     if kind == "lasso":
-        return LinearRegression(regParam=alpha, elasticNetParam=1.0, solver="l-bfgs", **base)
+        return LinearRegression(regParam=alpha, elasticNetParam=1.0, solver="normal", **base)
     if kind == "elastic_net":
         l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * y_std
         reg = l1 + l2
-        return LinearRegression(regParam=reg, elasticNetParam=(l1 / reg) if reg else 0.0, solver="l-bfgs", **base)
+        return LinearRegression(regParam=reg, elasticNetParam=(l1 / reg) if reg else 0.0, solver="normal", **base)
     raise ValueError(kind)
 
 

@@ -638,7 +638,7 @@ def _regression_board(spark, sf):
     mean = L.mean_value(train, "l_extendedprice")
     base = X.regression_metrics(test.select(F.col("l_extendedprice").alias("label"),
                                             F.lit(mean).alias("prediction"))).first()
-    rows.append(("baseline", "ok", 0, base["rmse"], base["mae"], base["r2"]))
+    rows.append(("dummy", "ok", 0, base["rmse"], base["mae"], base["r2"]))
     for pos, (kind, kw) in enumerate([("linear", {}), ("ridge", {"alpha": 1000.0}), ("lasso", {"alpha": 1000.0}),
                                       ("elastic_net", {"alpha": 1000.0, "l1_ratio": 0.5})], start=1):
         m, asm, te = _fit_linear(spark, sf, kind, split=(train, test), **kw)

@@ -634,14 +634,14 @@ SELECT event_id, cls AS prediction FROM (SELECT *, row_number() OVER (PARTITION
 WHERE r = 1""")
 
 BOARD = LIN + """, b AS (SELECT my AS m FROM s),
-pred AS (SELECT 'baseline' AS model, 0 AS position, y, (SELECT m FROM b) AS p FROM te
+pred AS (SELECT 'dummy' AS model, 0 AS position, y, (SELECT m FROM b) AS p FROM te
          UNION ALL SELECT coef.model, coef.position, te.y, coef.intercept + coef.coef * te.x FROM te, coef),
 met AS (SELECT model, position, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(avg(abs(y - p)), 4) AS mae,
                round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 4) AS r2 FROM pred GROUP BY model, position)
 """
 sql("m09_leaderboard", BOARD + "SELECT model, round(rmse, 2) AS test_rmse, round(mae, 2) AS test_mae, round(r2, 3) AS test_r2 FROM met")
-sql("m10_best_model", BOARD + """, best AS (SELECT model, r2 FROM met WHERE model <> 'baseline' ORDER BY r2 DESC, position LIMIT 1),
-base AS (SELECT r2 AS b FROM met WHERE model = 'baseline')
+sql("m10_best_model", BOARD + """, best AS (SELECT model, r2 FROM met WHERE model <> 'dummy' ORDER BY r2 DESC, position LIMIT 1),
+base AS (SELECT r2 AS b FROM met WHERE model = 'dummy')
 SELECT model, round(r2, 3) AS score,
        round(round(CASE WHEN b = 0 THEN 0 ELSE (r2 - b) / abs(b) * 100 END, 4), 1) AS improvement_pct FROM best, base""")
 

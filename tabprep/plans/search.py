@@ -14,6 +14,7 @@ import time
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,28 @@ def _metrics(pred: DataFrame, task: str, prefix: str) -> dict:
     return {f"{prefix}_rmse": m["rmse"], f"{prefix}_mae": m["mae"], f"{prefix}_r2": m["r2"]}
 
 
+def _solvable(learner, features: list[str]):
+    """The one-pass solver of linear regression takes at most 4 096 features."""
+    if isinstance(learner, LinearRegression) and len(features) > 4096:
+        learner.setSolver("l-bfgs")
+    return learner
+
+
+def _search(cands: list[dict], train: DataFrame, fold_col: str, task: str, s: Settings, predict) -> dict:
+    """The candidate with the best mean accuracy / R² over the folds (the first on ties);
+    predict(candidate, fitting rows, held-out rows) -> held-out rows with a prediction."""
+    if len(cands) < 2:
+        return cands[0]
+    key = "cv_accuracy" if task == "classification" else "cv_r2"
+
+    def mean(c: dict) -> float:
+        scores = [_metrics(predict(c, train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f)), task, "cv")[key]
+                  for f in range(s.search_folds)]
+        return sum(scores) / len(scores)
+    scores = [mean(c) for c in cands]
+    return cands[scores.index(max(scores))]
+
+
 def train_models(train: DataFrame, test: DataFrame, features: list[str], task: str, s: Settings = DEFAULT_SETTINGS,
                  fast_only: bool = True, learners: list[str] | None = None, fold_col: str = "fold",
                  parallelism: int = 4) -> tuple[DataFrame, dict]:
@@ -65,6 +88,7 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], task: s
     rows, models = [], {}
     for pos, lr in enumerate(regs):
         t0 = time.time()
+        best = {}
         try:
             cands = draw_candidates(lr.grid, s)
             if lr.kind == "baseline":
@@ -77,18 +101,18 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], task: s
                                  else RegressionEvaluator(metricName="r2"))
                     # every candidate as a param map of one base estimator; the folds are
                     # given (stratified ids), the candidates fit concurrently
-                    base = lr.make(n, sd, k)
+                    base = _solvable(lr.make(n, sd, k), features)
                     maps = []
                     for c in cands:
-                        e = lr.make(n, sd, k, **c)
+                        e = _solvable(lr.make(n, sd, k, **c), features)
                         maps.append({base.getParam(p.name): v for p, v in e.extractParamMap().items()
                                      if e.isSet(p) and base.hasParam(p.name)})
                     cv = CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=evaluator,
-                                        foldCol=fold_col, parallelism=parallelism).fit(tr)
+                                        numFolds=s.search_folds, foldCol=fold_col, parallelism=parallelism).fit(tr)
                     best = cands[int(max(range(len(maps)), key=lambda i: cv.avgMetrics[i]))]
                 else:
                     best = cands[0]
-                model = lr.make(n, sd, k, **best).fit(tr)
+                model = _solvable(lr.make(n, sd, k, **best), features).fit(tr)
                 ptr, pte = model.transform(tr), model.transform(te)
             elif lr.kind == "nb":
                 names = [f"_f{i}" for i in range(len(features))]
@@ -96,17 +120,28 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], task: s
                 def expand(d):
                     a = vector_to_array("features")
                     return d.select("*", *[a[i].alias(nm) for i, nm in enumerate(names)])
-                model = L.fit_gaussian_nb(expand(tr), names, var_smoothing=cands[0].get("var_smoothing", 1e-9))
+                best = _search(cands, tr, fold_col, task, s, lambda c, fit, held: L.fit_gaussian_nb(
+                    expand(fit), names, var_smoothing=c.get("var_smoothing", 1e-9)).transform(expand(held)))
+                model = L.fit_gaussian_nb(expand(tr), names, var_smoothing=best.get("var_smoothing", 1e-9))
                 ptr, pte = model.transform(expand(tr)), model.transform(expand(te))
             elif lr.kind == "adaboost":
-                c = cands[0]
+                def boost(c, fit, held):
+                    e, k_ = L.adaboost(fit, task, n_estimators=c.get("n_estimators", 50), learning_rate=c.get("learning_rate", 1.0))
+                    return L.adaboost_predict(e, k_, held, task)
+                c = best = _search(cands, tr, fold_col, task, s, boost)
                 ens, classes = L.adaboost(tr, task, n_estimators=c.get("n_estimators", 50),
                                           learning_rate=c.get("learning_rate", 1.0))
                 model = (ens, classes)
                 ptr, pte = L.adaboost_predict(ens, classes, tr, task), L.adaboost_predict(ens, classes, te, task)
             else:  # knn
                 from pyspark.ml.functions import vector_to_array
-                c = cands[0]
+                def near(c, fit, held):
+                    a = fit.withColumn("_id", F.monotonically_increasing_id()).withColumn("vec", vector_to_array("features"))
+                    b = held.withColumn("_id", F.monotonically_increasing_id()).withColumn("vec", vector_to_array("features")).persist()
+                    p = L.knn_predict(a, b, "_id", "vec", "label", k=c.get("k", 5), weights=c.get("weights", "uniform"),
+                                      metric=c.get("metric", "euclidean"), task=task)
+                    return b.join(p, "_id")
+                c = best = _search(cands, tr, fold_col, task, s, near)
                 trk = tr.withColumn("_id", F.monotonically_increasing_id()).withColumn("vec", vector_to_array("features"))
                 tek = te.withColumn("_id", F.monotonically_increasing_id()).withColumn("vec", vector_to_array("features"))
                 model = ("knn", c)
@@ -115,7 +150,7 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], task: s
                                       metric=c.get("metric", "euclidean"), task=task)
                     return d.join(p, "_id")
                 ptr, pte = pk(trk), pk(tek)
-            row = {"model": lr.name, "status": "ok", "position": pos, "params": str(cands[0] if cands else {})}
+            row = {"model": lr.name, "status": "ok", "position": pos, "params": str(best)}
             row.update(_metrics(ptr, task, "train"))
             row.update(_metrics(pte, task, "test"))
             models[lr.name] = model
