@@ -91,7 +91,6 @@ class Settings:
     test_size: float = 0.2
     max_training_seconds: float = 300.0
     max_training_rows: int | None = None
-    max_correlation_features: int = 500
     search_method: str = "random"
     search_iterations: int = 20
     search_folds: int = 3

@@ -5,6 +5,7 @@ Everything here returns a ``Column``; nothing runs Python per row.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -72,6 +73,22 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN → null on float columns, types kept; frames without float columns are returned as they are."""
+    if not any(isinstance(f.dataType, FLOAT_TYPES) for f in df.schema.fields):
+        return df
+    return df.select(*[F.when(~F.isnan(qcol(f.name)), qcol(f.name)).alias(f.name, metadata=f.metadata)
+                       if isinstance(f.dataType, FLOAT_TYPES) else qcol(f.name) for f in df.schema.fields])
+
+
+def missing_is_null(fn):
+    """Decorator of operators on a table: they see NaN as missing."""
+    @functools.wraps(fn)
+    def run(df, *args, **kwargs):
+        return fn(nan_as_null(df), *args, **kwargs)
+    return run
+
+
 def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

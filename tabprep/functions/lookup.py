@@ -2,9 +2,8 @@
 
 Small vocabularies (≤ ``LITERAL_LIMIT`` entries) become a literal map in the
 projection — no join at all. Larger ones are materialised as a parquet table in
-the shared checkpoint folder and joined: broadcast when the stored entry count is
-≤ ``BROADCAST_LIMIT`` (the bound is known from fit, not guessed), a shuffle join
-otherwise.
+the shared checkpoint folder and joined without a hint: Spark broadcasts the table only
+while its bytes are below ``spark.sql.autoBroadcastJoinThreshold``.
 
 ``dense_index`` numbers sorted distinct values without a global single-task
 window: range partitioning + per-partition offsets (the zipWithIndex pattern
@@ -13,31 +12,27 @@ expressed with DataFrame operations).
 
 from __future__ import annotations
 
-import os
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.session import ensure_checkpoint_dir
+from tabprep.session import cut_lineage, ensure_checkpoint_dir
 
 LITERAL_LIMIT = 1000
-BROADCAST_LIMIT = 2_000_000
 
 
 def dense_index(values: DataFrame, partitions: int | None = None) -> DataFrame:
     """(column, value) distinct pairs → (column, value, idx) with idx = 0-based
     position of value in sorted order within its column."""
     spark = values.sparkSession
-    conf = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_part = partitions or max(1, min(conf, values.rdd.getNumPartitions() * 8))
-    part = (values.repartitionByRange(n_part, "column", "value")
+    n_part = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = cut_lineage(
+            values.repartitionByRange(n_part, "column", "value")
             .sortWithinPartitions("column", "value")
             .withColumn("_pid", F.spark_partition_id())
             .withColumn("_local", F.monotonically_increasing_id()
-                        - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+                        - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     blocks = part.groupBy("_pid", "column").agg(F.count(F.lit(1)).alias("c"), F.min("_local").alias("start")).collect()
     by_col: dict[str, list] = {}
     for r in blocks:
@@ -57,7 +52,7 @@ def dense_index(values: DataFrame, partitions: int | None = None) -> DataFrame:
 def store_table(df: DataFrame, prefix: str) -> str:
     """Write a fitted table under the shared checkpoint folder; returns its path."""
     base = ensure_checkpoint_dir(df.sparkSession)
-    path = os.path.join(base, f"{prefix}-{uuid.uuid4().hex}")
+    path = f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return path
 
@@ -70,12 +65,9 @@ def literal_lookup(c: Column, mapping: dict, default=None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
-def join_lookup(df: DataFrame, key: Column, table: DataFrame, value_col: str, out_name: str,
-                n_entries: int) -> DataFrame:
-    """Left join ``df`` with a (key, value_col) table; broadcast only below the bound."""
+def join_lookup(df: DataFrame, key: Column, table: DataFrame, value_col: str, out_name: str) -> DataFrame:
+    """Left join ``df`` with a (key, value_col) table."""
     t = table.select(F.col("key").alias("_lk_key"), F.col(value_col).alias(out_name))
-    if n_entries <= BROADCAST_LIMIT:
-        t = F.broadcast(t)
     return df.withColumn("_lk_probe", key).join(t, F.col("_lk_probe") == F.col("_lk_key"), "left") \
              .drop("_lk_probe", "_lk_key")
 

@@ -30,10 +30,8 @@ from tabprep.functions.exprs import qcol
 
 
 def _target_partitions(df: DataFrame) -> int:
-    """Range partitions: the shuffle setting, but no more than 8 per input partition
-    (a one-file input does not need 200 tiny sorted ranges)."""
-    conf = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(1, min(conf, df.rdd.getNumPartitions() * 8))
+    """Range partitions: the shuffle setting (asking the frame for its partitions would run its shuffles)."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def order_statistics(long_df: DataFrame, ranks: dict[str, list[int]],

@@ -4,7 +4,9 @@ A window with ``orderBy`` and no (or a low-cardinality) ``partitionBy`` sends
 every row of a group through one task. Here the rows are range-partitioned
 on (group, order, tiebreak), each partition numbers / sums its own rows, and a
 small (partitions × groups) table of per-partition totals turns local values
-into global ones through a broadcast join. The tiebreak column keeps every key
+into global ones through a broadcast join. The numbered rows are checkpointed: the
+offsets belong to one planned instance of the ranges, so neither a dropped cache nor a
+lost executor may plan them again. The tiebreak column keeps every key
 distinct so even a group holding a third of all rows is split across tasks.
 """
 
@@ -13,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabprep.session import cut_lineage
+
 
 def _n_part(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
-    conf = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(1, min(conf, df.rdd.getNumPartitions() * 8))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def rank_within(df: DataFrame, group: str, order: list[str], out: str = "_rank",
@@ -31,7 +34,7 @@ def rank_within(df: DataFrame, group: str, order: list[str], out: str = "_rank",
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_local", F.monotonically_increasing_id()
                          - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    keyed = keyed.persist()
+    keyed = cut_lineage(keyed)
     blocks = keyed.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("c"), F.min("_local").alias("s")).collect()
     acc: dict = {}
     offs = []
@@ -52,7 +55,7 @@ def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool =
     window partitioned by the range partition id, never over the whole table."""
     spark = df.sparkSession
     o = F.col(order).desc() if descending else F.col(order).asc()
-    part = df.repartitionByRange(_n_part(df, partitions), o).withColumn("_pid", F.spark_partition_id()).persist()
+    part = cut_lineage(df.repartitionByRange(_n_part(df, partitions), o).withColumn("_pid", F.spark_partition_id()))
     totals = part.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in cols]).collect()
     offs, acc = [], {c: 0 for c in cols}
     for r in sorted(totals, key=lambda r: r["_pid"]):

@@ -15,6 +15,8 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 
+from tabprep.functions.exprs import nan_as_null
+
 
 class _JsonParams(Params):
     options = Param(Params._dummy(), "options", "stage options (JSON)", typeConverter=TypeConverters.toString)
@@ -40,6 +42,9 @@ class TabEstimator(Estimator, _JsonParams, DefaultParamsReadable, DefaultParamsW
         merged.update(options)
         self._init_options(merged)
 
+    def fit(self, dataset, params=None):
+        return super().fit(nan_as_null(dataset), params)
+
 
 class TabModel(Model, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
     """Base model: the fitted state lives in the ``state`` Param as JSON."""
@@ -53,6 +58,9 @@ class TabModel(Model, _JsonParams, DefaultParamsReadable, DefaultParamsWritable)
             self._set(state=json.dumps(state, sort_keys=True, default=float))
         self._init_options(options)
 
+    def transform(self, dataset, params=None):
+        return super().transform(nan_as_null(dataset), params)
+
     @property
     def st(self) -> dict:
         return json.loads(self.getOrDefault(self.state))

@@ -217,7 +217,8 @@ class RareCategoryCollapser(TabEstimator):
             return RareCategoryModel(state={"keep": {}, "collapse": []}, options=self.opts)
         freq = frequency_table(df, cols)
         tot = freq.groupBy("column").agg(F.sum("n").alias("tot"))
-        share = freq.join(tot, "column").withColumn("share", F.col("n") / F.col("tot"))
+        share = freq.join(F.broadcast(tot), "column")  # one row per column
+        share = share.withColumn("share", F.col("n") / F.col("tot"))
         flags = share.groupBy("column").agg(
             F.collect_list(F.when(F.col("share") >= self.opts["threshold"], F.col("value"))).alias("keep"),
             F.count_if(F.col("share") < self.opts["threshold"]).alias("n_rare")).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.config import DEFAULT_SETTINGS, Settings
-from tabprep.functions.exprs import numeric_columns, qcol, string_columns
+from tabprep.functions.exprs import missing_is_null, numeric_columns, qcol, string_columns
 from tabprep.functions.freq import column_stats, frequency_table
 from tabprep.functions.quantile import quantiles
 from tabprep.operators import profile as P
@@ -15,6 +15,7 @@ from tabprep.operators._long import one_row_long
 ISSUE_SCHEMA = "issue string, severity string, measured double"
 
 
+@missing_is_null
 def feasibility(df: DataFrame, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
     """Fewer than 50 rows → High."""
     return df.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < s.feasibility_min_rows) \
@@ -30,6 +31,7 @@ def dimensionality(df: DataFrame) -> DataFrame:
                      F.lit(float(k)).alias("measured"))
 
 
+@missing_is_null
 def iqr_outlier_counts(df: DataFrame, k: float | None = None, cols: list[str] | None = None,
                        s: Settings = DEFAULT_SETTINGS, method: str = "exact") -> DataFrame:
     """Per numeric column, values outside Q1 − k·IQR, Q3 + k·IQR (k = 1.5) and their
@@ -61,6 +63,7 @@ def outlier_issue(counts: DataFrame) -> DataFrame:
                          F.col("t").cast("double").alias("measured"))
 
 
+@missing_is_null
 def imbalance(df: DataFrame, target: str, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
     """max/min class size > 3 → Medium, ratio to 1 decimal."""
     d = P.class_distribution(df, target)
@@ -69,11 +72,13 @@ def imbalance(df: DataFrame, target: str, s: Settings = DEFAULT_SETTINGS) -> Dat
                     F.round("r", 1).alias("measured"))
 
 
+@missing_is_null
 def missing_table(df: DataFrame) -> DataFrame:
     """E5: columns with any missing value and their percent (rounded 2)."""
     return P.missing(df).where(F.col("n_missing") > 0)
 
 
+@missing_is_null
 def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | None = None,
               s: Settings = DEFAULT_SETTINGS) -> DataFrame:
     """Equal-width bins between min and max (last bin closed), all numeric columns
@@ -99,6 +104,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int | None = N
                     (F.col("_min") + (F.col("bin") + 1) * w).alias("hi"), "n")
 
 
+@missing_is_null
 def missing_advice(df: DataFrame, threshold: float = 50.0) -> DataFrame:
     """Per column with missing values: drop_column above the threshold percent, else impute."""
     return missing_table(df).select("column", "pct_missing",
@@ -106,6 +112,7 @@ def missing_advice(df: DataFrame, threshold: float = 50.0) -> DataFrame:
                                     .alias("action"))
 
 
+@missing_is_null
 def apply_missing_decisions(df: DataFrame, decisions: dict[str, str]) -> DataFrame:
     """drop_column → drop; drop_rows → rows null in that column go; impute → left to the imputer."""
     out = df.drop(*[c for c, a in decisions.items() if a == "drop_column" and c in df.columns])
@@ -113,6 +120,7 @@ def apply_missing_decisions(df: DataFrame, decisions: dict[str, str]) -> DataFra
     return out.na.drop(how="any", subset=rows) if rows else out
 
 
+@missing_is_null
 def input_ranges(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, min, max, mean) of numeric columns for what-if scoring."""
     cols = numeric_columns(df) if cols is None else cols
@@ -121,6 +129,7 @@ def input_ranges(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return one_row_long(df, per)
 
 
+@missing_is_null
 def category_domains(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, value) distinct values of string columns (distributed, never collected)."""
     cols = string_columns(df) if cols is None else cols

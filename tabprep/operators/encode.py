@@ -80,6 +80,9 @@ class CategoricalEncoder(TabEstimator):
         return CategoricalEncoderModel(state={"plan": plan})
 
 
+INDICATOR = {"indicator": True}
+
+
 class CategoricalEncoderModel(TabModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         plan = self.st["plan"]
@@ -90,7 +93,7 @@ class CategoricalEncoderModel(TabModel):
                 out.append(qcol(c))
             elif p["kind"] == "onehot":
                 for v in p["values"]:
-                    out.append(F.coalesce((qcol(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}"))
+                    out.append(F.coalesce((qcol(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}", metadata=INDICATOR))
             elif "codes" in p:
                 codes = p["codes"]
                 unseen = codes.get(MISSING, p["size"])
@@ -104,11 +107,16 @@ class CategoricalEncoderModel(TabModel):
             table = read_table(df.sparkSession, p["path"]).where(F.col("column") == c) \
                 .select(F.col("value").alias("key"), "idx")
             unseen = p["missing_code"] if p.get("missing_code") is not None else p["size"]
-            res = join_lookup(res, F.coalesce(qcol(c), F.lit(MISSING)), table, "idx", f"_code_{c}", p["size"])
+            res = join_lookup(res, F.coalesce(qcol(c), F.lit(MISSING)), table, "idx", f"_code_{c}")
             res = res.withColumn(c, F.coalesce(F.col(f"_code_{c}"), F.lit(unseen)).cast("long")).drop(f"_code_{c}")
         return res
 
 
+def _measures(df: DataFrame) -> list[str]:
+    """Numeric columns but for one-hot indicators, which are neither scaled nor squared."""
+    return [c for c in numeric_columns(df) if not df.schema[c].metadata.get("indicator")]
+
+
 class NumericScaler(TabEstimator):
     """T18–T20. standard: (x − mean)/population std (0 → 1); minmax: (x − min)/(max − min)
     (0 range → 0); robust: (x − median)/IQR (0 → 1), exact quartiles."""
@@ -117,7 +125,7 @@ class NumericScaler(TabEstimator):
 
     def _fit(self, df: DataFrame) -> "NumericScalerModel":
         o = self.opts
-        cols = o["cols"] if o["cols"] is not None else numeric_columns(df)
+        cols = o["cols"] if o["cols"] is not None else _measures(df)
         st = column_stats(df, cols)
         params = {}
         if o["method"] == "standard":
@@ -159,7 +167,7 @@ class FeatureEngineer(TabEstimator):
     defaults = {"interactions": False, "polynomials": True, "cols": None}
 
     def _fit(self, df: DataFrame) -> "FeatureEngineerModel":
-        cols = self.opts["cols"] if self.opts["cols"] is not None else numeric_columns(df)
+        cols = self.opts["cols"] if self.opts["cols"] is not None else _measures(df)
         return FeatureEngineerModel(state={"cols": cols}, options=self.opts)
 
 
@@ -223,13 +231,14 @@ class TargetEncoderModel(TabModel):
         res = df.select(*out)
         for c, (path, n) in st.get("paths", {}).items():
             t = read_table(df.sparkSession, path).where(F.col("column") == c).select(F.col("value").alias("key"), "enc")
-            res = join_lookup(res, qcol(c), t, "enc", f"_enc_{c}", n)
+            res = join_lookup(res, qcol(c), t, "enc", f"_enc_{c}")
             res = res.withColumn(c, F.coalesce(F.col(f"_enc_{c}"), F.lit(g))).drop(f"_enc_{c}")
         return res
 
 
 class LabelIndexer(TabEstimator):
-    """Target classes → 0..k−1 by sorted order; ``inverse`` maps codes back."""
+    """Target classes → 0..k−1 by sorted order; ``decode`` maps codes back. Up to LITERAL_LIMIT
+    classes are literals, more are a table in the shared folder."""
 
     defaults = {"input": "label", "output": "label_idx"}
 
@@ -238,16 +247,29 @@ class LabelIndexer(TabEstimator):
         classes = [r[0] for r in df.where(qcol(c).isNotNull()).select(qcol(c).cast("string")).distinct()
                    .orderBy(1).limit(LITERAL_LIMIT + 1).collect()]
         if len(classes) > LITERAL_LIMIT:
-            raise ValueError(f"{c}: more than {LITERAL_LIMIT} classes; not a classification target")
+            every = df.where(qcol(c).isNotNull()).select(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")).distinct()
+            return LabelIndexerModel(state={"path": store_table(dense_index(every), "tabprep-classes")}, options=self.opts)
         return LabelIndexerModel(state={"classes": classes}, options=self.opts)
 
 
 class LabelIndexerModel(TabModel):
     def _transform(self, df: DataFrame) -> DataFrame:
-        o, classes = self.opts, self.st["classes"]
+        o = self.opts
+        if "path" in self.st:
+            t = read_table(df.sparkSession, self.st["path"]).select(F.col("value").alias("key"), F.col("idx").cast("double").alias("idx"))
+            return join_lookup(df, qcol(o["input"]).cast("string"), t, "idx", o["output"])
+        classes = self.st["classes"]
         code = literal_lookup(qcol(o["input"]).cast("string"), {v: i for i, v in enumerate(classes)})
         return df.withColumn(o["output"], code.cast("double"))
 
+    def decode(self, df: DataFrame, code: str, out: str) -> DataFrame:
+        """df with ``out`` = the class of each code."""
+        if "path" in self.st:
+            t = read_table(df.sparkSession, self.st["path"]).select(F.col("idx").alias("key"), "value")
+            return join_lookup(df, qcol(code).cast("long"), t, "value", out)
+        return df.withColumn(out, self.inverse(qcol(code)))
+
     def inverse(self, c) -> "F.Column":
+        """The class of a code as an expression; for at most LITERAL_LIMIT classes."""
         classes = self.st["classes"]
         return literal_lookup(c.cast("int"), {i: v for i, v in enumerate(classes)})

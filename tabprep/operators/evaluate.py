@@ -5,10 +5,10 @@ one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.functions.rank import running_sums
+from tabprep.functions.rank import rank_within, running_sums
 
 
 def accuracy(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -85,18 +85,31 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "score") -> Da
 
 def roc_area(curve: DataFrame) -> DataFrame:
     """Trapezoid area under a ROC curve table (one row per threshold)."""
-    w = Window.orderBy("fpr", "tpr")  # the curve has one row per distinct score: already aggregated
-    c = curve.withColumn("_pf", F.lag("fpr").over(w)).withColumn("_pt", F.lag("tpr").over(w))
+    c = rank_within(curve.select(F.lit(0).alias("_g"), "fpr", "tpr"), "_g", ["fpr", "tpr"]).drop("_g")
+    before = c.select((F.col("_rank") + 1).alias("_rank"), F.col("fpr").alias("_pf"), F.col("tpr").alias("_pt"))
+    c = c.join(before, "_rank")
     return c.agg(F.round(F.sum((F.col("fpr") - F.col("_pf")) * (F.col("tpr") + F.col("_pt")) / 2), 6).alias("area"))
 
 
-def feature_importance(model, feature_names: list[str], k: int = 15) -> list[tuple[str, float]]:
-    """The learner's importances zipped with the real assembled names, top k."""
-    imp = getattr(model, "featureImportances", None)
-    if imp is None:
-        return []
-    vals = imp.toArray().tolist()
-    return sorted(zip(feature_names, vals), key=lambda t: (-t[1], t[0]))[:k]
+def feature_importance(spark, predictor, k: int = 15) -> DataFrame:
+    """(feature, importance) of a trained tree learner, the k largest; empty for learners without importances."""
+    imp = getattr(predictor.model, "featureImportances", None)
+    vals = [] if imp is None else [float(v) for v in imp.toArray()]
+    top = sorted(zip(predictor.features, vals), key=lambda t: (-t[1], t[0]))[:k]
+    return spark.createDataFrame(top, "feature string, importance double")
+
+
+def summary(results: DataFrame, task: str, n_missing: int, baseline: str = "dummy") -> DataFrame:
+    """One row: best model and score by M10's metric, its quality band (above 0.9 excellent, above 0.8 good),
+    missing cells in total, learners trained and attempted, and advice."""
+    best = best_model(results, task, baseline)
+    runs = results.agg(F.count_if(F.col("status") == "ok").alias("trained"), F.count(F.lit(1)).alias("attempted"))
+    band = F.when(F.col("score") > 0.9, "excellent").when(F.col("score") > 0.8, "good").otherwise("moderate")
+    advice = F.concat_ws("; ", F.when(F.col("score") <= 0.8, "add features or rows"),
+                         F.when(F.lit(n_missing > 0), "check the source of missing values"),
+                         F.when(F.col("trained") < F.col("attempted"), "some learners failed"))
+    return runs.join(F.broadcast(best), F.lit(True), "left").select(  # one row each
+        "model", "score", band.alias("band"), F.lit(n_missing).cast("long").alias("n_missing"), "trained", "attempted", advice.alias("advice"))
 
 
 def leaderboard(results: DataFrame, task: str) -> DataFrame:

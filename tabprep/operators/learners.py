@@ -99,6 +99,13 @@ class GaussianNBModel:
         lookup = F.element_at(F.array(*[F.lit(c) for c in self.classes]), (-best["neg"] + 1).cast("int"))
         return df.withColumn(out, lookup)
 
+    def probability(self):
+        """Array of each class's posterior."""
+        ll = F.array(*[self.log_likelihood(k) for k in range(len(self.classes))])
+        shifted = F.transform(ll, lambda x: F.exp(x - F.array_max(ll)))
+        total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
+        return F.transform(shifted, lambda x: x / total)
+
 
 def fit_gaussian_nb(train: DataFrame, features: list[str], label: str = "label",
                     var_smoothing: float = 1e-9) -> GaussianNBModel:
@@ -119,64 +126,50 @@ def fit_gaussian_nb(train: DataFrame, features: list[str], label: str = "label",
 
 # --------------------------------------------------------------------------- k nearest neighbours
 
-KNN_BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def _knn_block(test: DataFrame, train_pdf: pd.DataFrame, key: str, vec: str, k: int, metric: str) -> DataFrame:
-    spark = test.sparkSession
-    X = np.stack(train_pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) if len(train_pdf) else \
-        np.zeros((0, 0))
-    ids = train_pdf["_tid"].to_numpy()
-    ys = train_pdf["_y"].to_numpy(dtype=np.float64)
-    bX = spark.sparkContext.broadcast((X, ids, ys))
-    kk = min(k, len(ids))
-
-    def run(batches):
-        Xt, idt, yt = bX.value
-        for pdf in batches:
-            if len(pdf) == 0 or kk == 0:
-                continue
-            Q = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            step = max(1, int(2e7 // max(1, Xt.shape[0] * max(1, Xt.shape[1]))))
-            keys = pdf[key].to_numpy()
-            for s0 in range(0, len(Q), step):
-                q = Q[s0:s0 + step]
-                diff = q[:, None, :] - Xt[None, :, :]
-                D = np.abs(diff).sum(axis=2) if metric == "manhattan" else np.sqrt((diff ** 2).sum(axis=2))
-                # order by (distance, train id) within the block
-                order = np.lexsort((np.broadcast_to(idt, D.shape), D), axis=1)[:, :kk]
-                cols = order.ravel()
-                yield pd.DataFrame({key: np.repeat(keys[s0:s0 + step], kk), "_tid": idt[cols],
-                                    "_d": np.take_along_axis(D, order, axis=1).ravel(), "_y": yt[cols]})
-
-    schema = T.StructType([test.schema[key], T.StructField("_tid", T.LongType()),
-                           T.StructField("_d", T.DoubleType()), T.StructField("_y", T.DoubleType())])
-    return test.select(key, vec).mapInPandas(run, schema)
+KNN_BLOCK_BYTES = 16 * 1024 * 1024
+
+
+def _nearest(k: int, metric: str, key: str, vec: str):
+    """The k nearest train rows of each test row of a pair of blocks, by (distance, train key)."""
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame({key: q[key][:0], "_tid": t["_tid"][:0], "_d": np.zeros(0), "_y": t["_y"][:0]})
+        Q, X = (np.stack([np.asarray(a, dtype=np.float64) for a in f[vec]]) for f in (q, t))
+        place = np.unique(t["_tid"].to_numpy(), return_inverse=True)[1]
+        kk, out = min(k, len(t)), []
+        step = max(1, int(4e6 // max(1, X.size)))
+        for at in range(0, len(Q), step):
+            diff = Q[at:at + step, None, :] - X[None, :, :]
+            D = np.abs(diff).sum(axis=2) if metric == "manhattan" else np.sqrt((diff ** 2).sum(axis=2))
+            order = np.lexsort((np.broadcast_to(place, D.shape), D), axis=1)[:, :kk]
+            near = t.iloc[order.ravel()]
+            out.append(pd.DataFrame({key: np.repeat(q[key].to_numpy()[at:at + step], kk), "_tid": near["_tid"].to_numpy(),
+                                     "_d": np.take_along_axis(D, order, axis=1).ravel(), "_y": near["_y"].to_numpy()}))
+        return pd.concat(out)
+    return run
 
 
 def knn_predict(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5,
                 weights: str = "uniform", metric: str = "euclidean", task: str = "classification",
-                block_rows: int | None = None) -> DataFrame:
-    """Exact kNN. The train side is cut into blocks whose broadcast size is
-    checked (rows × dimension × 8 bytes ≤ KNN_BROADCAST_BYTES); each block yields k
-    candidates per test row; the final k come from a per-test-row window that sees
-    at most k × blocks rows. Neighbour ties break on the train key; vote ties on the
-    smallest class. Returns (key, prediction)."""
-    tr = train.select(qcol(key).cast("long").alias("_tid"), qcol(vec).alias(vec), qcol(label).cast("double").alias("_y"))
+                block_rows: int | None = None, shares: bool = False) -> DataFrame:
+    """Exact kNN. Both sides are cut into blocks of rows of bounded size by a hash of the
+    key; each pair of a test and a train block is one task that yields k candidates per test row;
+    the final k come from a per-test-row window that sees k × blocks rows. Neighbour ties break on
+    the train key; vote ties on the smallest class. Returns (key, prediction), with ``shares`` also a
+    map of class to its share of the votes; keys and classes keep their types."""
+    tr = train.select(qcol(key).alias("_tid"), qcol(vec).alias(vec), qcol(label).alias("_y"))
     n_train, dim = tr.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
     if not n_train:
-        return test.select(key, F.lit(None).cast("double").alias("prediction"))
-    per_block = block_rows or max(1, KNN_BROADCAST_BYTES // max(1, (dim or 1) * 8 + 16))
-    n_blocks = max(1, math.ceil(n_train / per_block))
-    if n_blocks == 1:
-        cands = _knn_block(test, tr.toPandas(), key, vec, k, metric)
-    else:
-        tr_b = tr.withColumn("_blk", (F.xxhash64("_tid") % n_blocks + n_blocks) % n_blocks).persist()
-        parts = [_knn_block(test, tr_b.where(F.col("_blk") == b).drop("_blk").toPandas(), key, vec, k, metric)
-                 for b in range(n_blocks)]
-        cands = parts[0]
-        for p in parts[1:]:
-            cands = cands.unionByName(p)
+        return test.select(key, F.lit(None).cast(train.schema[label].dataType).alias("prediction"))
+    per_block = block_rows or max(1, KNN_BLOCK_BYTES // max(1, (dim or 1) * 8 + 16))
+    n_t, n_q = max(1, math.ceil(n_train / per_block)), max(1, math.ceil(test.count() / per_block))
+    left = test.select(key, vec, F.pmod(F.xxhash64(qcol(key)), F.lit(n_q)).alias("_qb"),
+                       F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("_tb"))
+    right = tr.select("*", F.pmod(F.xxhash64("_tid"), F.lit(n_t)).cast("int").alias("_tb"),
+                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("_qb"))
+    schema = T.StructType([test.schema[key], T.StructField("_tid", train.schema[key].dataType),
+                           T.StructField("_d", T.DoubleType()), T.StructField("_y", train.schema[label].dataType)])
+    cands = left.groupBy("_qb", "_tb").cogroup(right.groupBy("_qb", "_tb")).applyInPandas(_nearest(k, metric, key, vec), schema)
     w = Window.partitionBy(key).orderBy("_d", "_tid")
     top = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     wt = F.lit(1.0) if weights == "uniform" else F.when(F.col("_d") == 0, F.lit(1e300)).otherwise(1.0 / F.col("_d"))
@@ -184,8 +177,13 @@ def knn_predict(train: DataFrame, test: DataFrame, key: str, vec: str, label: st
     if task == "classification":
         votes = top.groupBy(key, "_y").agg(F.sum("_w").alias("_v"))
         wv = Window.partitionBy(key).orderBy(F.col("_v").desc(), F.col("_y").asc())
-        return votes.withColumn("_r", F.row_number().over(wv)).where(F.col("_r") == 1) \
+        best = votes.withColumn("_r", F.row_number().over(wv)).where(F.col("_r") == 1) \
                     .select(key, F.col("_y").alias("prediction"))
+        if shares:  # at most k classes a row
+            best = best.join(votes.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_y", "_v"))).alias("_m"),
+                                                    F.sum("_v").alias("_all")), key) \
+                       .select(key, "prediction", F.transform_values("_m", lambda _, v: v / F.col("_all")).alias("shares"))
+        return best
     return top.groupBy(key).agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("prediction"))
 
 
@@ -244,21 +242,25 @@ def adaboost(train: DataFrame, task: str, n_estimators: int = 50, learning_rate:
     return ensemble, classes
 
 
-def adaboost_predict(ensemble, classes, df: DataFrame, task: str, out: str = "prediction") -> DataFrame:
-    """Weighted vote (classification) or weighted median of the trees (regression)."""
-    res = df.withColumn("_rid", F.monotonically_increasing_id())
-    preds = []
+def adaboost_predict(ensemble, classes, df: DataFrame, task: str, out: str = "prediction",
+                     probability: str | None = None) -> DataFrame:
+    """Weighted vote (classification) or weighted median of the trees (regression); ``probability``
+    names a column for each class's share of the votes."""
+    res, preds = df, []
     for i, (a, tree) in enumerate(ensemble):
         t = tree.copy()
-        t.setPredictionCol(f"_p{i}")
+        t.setPredictionCol(f"__tree_p{i}")
         if task == "classification":
-            t.setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
+            t.setRawPredictionCol(f"__tree_r{i}").setProbabilityCol(f"__tree_q{i}")
         res = t.transform(res)
-        preds.append((a, f"_p{i}"))
+        preds.append((a, f"__tree_p{i}"))
     if task == "classification":
         scores = [F.struct(sum((F.when(F.col(p) == F.lit(c), F.lit(a)).otherwise(0.0) for a, p in preds), F.lit(0.0))
                            .alias("s"), F.lit(-j).alias("neg")) for j, c in enumerate(classes)]
         best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+        if probability:
+            total = F.lit(sum(a for a, _ in preds) or 1.0)
+            res = res.withColumn(probability, F.array(*[x["s"] / total for x in scores]))
         pred = F.element_at(F.array(*[F.lit(float(c)) for c in classes]), (-best["neg"] + 1).cast("int"))
     else:
         arr = F.array_sort(F.array(*[F.struct(F.col(p).alias("v"), F.lit(a).alias("a")) for a, p in preds]))
@@ -268,8 +270,7 @@ def adaboost_predict(ensemble, classes, df: DataFrame, task: str, out: str = "pr
                                                   F.when(acc["med"].isNull() & (acc["acc"] + x["a"] >= F.lit(half)),
                                                          x["v"]).otherwise(acc["med"]).alias("med")))
         pred = cum["med"]
-    drop = [c for c in res.columns if c.startswith(("_p", "_r", "_q")) and c[2:].isdigit()] + ["_rid"]
-    return res.withColumn(out, pred).drop(*drop)
+    return res.withColumn(out, pred).select(*[qcol(c) for c in df.columns if c != out], out, *([probability] if probability and task == "classification" else []))
 
 
 # --------------------------------------------------------------------------- registry

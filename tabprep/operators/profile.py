@@ -10,6 +10,8 @@ the bounds inlined as literals.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from tabprep.config import DEFAULT_SETTINGS, ID_KEYWORDS, Settings
 from tabprep.functions.exprs import (
-    FLOAT_TYPES, datetime_columns, in_bool_infer_set, is_numeric_type, numeric_columns,
+    missing_is_null,     FLOAT_TYPES, datetime_columns, in_bool_infer_set, is_numeric_type, numeric_columns,
     parses_as_datetime, parses_as_number, qcol, string_columns)
 from tabprep.functions.freq import column_stats, distinct_counts, frequency_table, mode_values, top_values
 from tabprep.functions.quantile import quantiles
@@ -57,6 +59,7 @@ def basic(df: DataFrame) -> DataFrame:
              .withColumn("n_cols", F.lit(len(df.columns)).cast("long"))
 
 
+@missing_is_null
 def missing(df: DataFrame) -> DataFrame:
     """(column, n_missing, pct_missing) with pct rounded to 2."""
     per = {c: {"n_missing": F.count_if(is_missing(df, c)).cast("long")} for c in df.columns}
@@ -78,6 +81,7 @@ def missing_flags(miss: DataFrame, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
                     .alias("severity")))
 
 
+@missing_is_null
 def sparse_rows(df: DataFrame) -> DataFrame:
     """P5: rows with more than half of the columns missing."""
     n_cols = len(df.columns)
@@ -97,6 +101,7 @@ def dtype_group(dt: T.DataType) -> str:
     return "other"
 
 
+@missing_is_null
 def semantic_types(df: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """(column, dtype, dtype_group, inferred_type, n_unique).
 
@@ -133,6 +138,7 @@ def semantic_types(df: DataFrame, freq: DataFrame | None = None) -> DataFrame:
                     F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_unique")))
 
 
+@missing_is_null
 def cardinality(df: DataFrame, freq: DataFrame | None = None, n_rows: int | None = None) -> DataFrame:
     """(column, n_distinct, ratio) — distinct non-null values over all rows, ratio rounded 4
     (unrounded kept as ``ratio_raw`` for the rules)."""
@@ -168,6 +174,7 @@ def low_variance(card: DataFrame) -> DataFrame:
                .select("column", "n_distinct", "kind")
 
 
+@missing_is_null
 def duplicates(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of identical rows (nulls equal)."""
     cols = [qcol(c) for c in df.columns]
@@ -186,6 +193,7 @@ class NumericFit:
     q: dict
 
 
+@missing_is_null
 def fit_numeric(df: DataFrame, cols: list[str] | None = None, probs=(0.25, 0.5, 0.75),
                 method: str = "exact") -> NumericFit:
     cols = numeric_columns(df) if cols is None else cols
@@ -194,6 +202,7 @@ def fit_numeric(df: DataFrame, cols: list[str] | None = None, probs=(0.25, 0.5,
     return NumericFit(st, qs)
 
 
+@missing_is_null
 def outliers(df: DataFrame, s: Settings = DEFAULT_SETTINGS, fit: NumericFit | None = None,
              cols: list[str] | None = None) -> DataFrame:
     """Per numeric column with ≥ 3 values: z-score outliers (|x-mean|/std_pop > 5),
@@ -230,6 +239,7 @@ def outlier_rules(out: DataFrame) -> DataFrame:
     return age.unionByName(many)
 
 
+@missing_is_null
 def numeric_summary(df: DataFrame, fit: NumericFit | None = None, cols: list[str] | None = None) -> DataFrame:
     """Count, mean, std, min, 25 %, 50 %, 75 %, max per numeric column (exact quartiles)."""
     cols = numeric_columns(df) if cols is None else cols
@@ -255,24 +265,26 @@ def string_summary(df: DataFrame, freq: DataFrame | None = None, k: int = 10) ->
     return summary, top_values(freq, k)
 
 
+PAIRS_PER_SCAN = 2000
+
+
+@missing_is_null
 def correlations(df: DataFrame, cols: list[str] | None = None, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
-    """Pairwise-complete Pearson r for every pair i < j of numeric columns, one aggregate.
-    Skipped (empty) when fewer than 2 or more than ``max_correlation_features`` columns."""
+    """Pairwise-complete Pearson r for every pair i < j of numeric columns, PAIRS_PER_SCAN
+    pairs in one aggregate; empty for fewer than 2 columns."""
     cols = numeric_columns(df) if cols is None else cols
     schema = "feature1 string, feature2 string, r double"
-    if len(cols) < 2 or len(cols) > s.max_correlation_features:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    aggs, pairs = [], []
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            a, b = qcol(cols[i]).cast("double"), qcol(cols[j]).cast("double")
-            aggs.append(F.corr(a, b).alias(f"r{len(pairs)}"))
-            pairs.append((cols[i], cols[j]))
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(p[0]).alias("feature1"), F.lit(p[1]).alias("feature2"),
-                        F.col(f"r{k}").alias("r")) for k, p in enumerate(pairs)]
-    return row.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*") \
-              .withColumn("r", F.when(F.isnan("r"), None).otherwise(F.col("r")))
+    pairs = list(itertools.combinations(cols, 2))
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_SCAN):
+        some = pairs[start:start + PAIRS_PER_SCAN]
+        row = df.agg(*[F.corr(qcol(a).cast("double"), qcol(b).cast("double")).alias(f"r{k}") for k, (a, b) in enumerate(some)])
+        structs = [F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"r{k}").alias("r"))
+                   for k, (a, b) in enumerate(some)]
+        parts.append(row.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*"))
+    return functools.reduce(DataFrame.unionByName, parts).withColumn("r", F.when(F.isnan("r"), None).otherwise(F.col("r")))
 
 
 def high_correlations(corr: DataFrame, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
@@ -280,6 +292,7 @@ def high_correlations(corr: DataFrame, s: Settings = DEFAULT_SETTINGS) -> DataFr
     return corr.where(F.abs("r") > s.high_corr).select("feature1", "feature2", F.round("r", 3).alias("r"))
 
 
+@missing_is_null
 def infer_task(df: DataFrame, target: str, n_unique: int | None = None, s: Settings = DEFAULT_SETTINGS) -> str:
     """Numeric and more than 20 distinct → regression, else classification."""
     if n_unique is None:
@@ -288,6 +301,7 @@ def infer_task(df: DataFrame, target: str, n_unique: int | None = None, s: Setti
     return "regression" if numeric and n_unique > s.regression_min_distinct else "classification"
 
 
+@missing_is_null
 def target_profile(df: DataFrame, target: str, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
     """(target, n_missing, n_unique, task_type)."""
     t = qcol(target)
@@ -299,6 +313,7 @@ def target_profile(df: DataFrame, target: str, s: Settings = DEFAULT_SETTINGS) -
     return agg.select(F.lit(target).alias("target"), "n_missing", "n_unique", task.alias("task_type"))
 
 
+@missing_is_null
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """(class, n), nulls excluded."""
     return df.where(~is_missing(df, target)).groupBy(qcol(target).cast("string").alias("class")) \
@@ -315,6 +330,7 @@ def class_balance(dist: DataFrame, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
                     (F.col("min_n") < s.min_samples_per_class).alias("min_class_critical"))
 
 
+@missing_is_null
 def regression_target(df: DataFrame, target: str) -> DataFrame:
     """Min, max, mean, sample std and bias-corrected skewness (G1)."""
     y = qcol(target).cast("double")
@@ -325,6 +341,7 @@ def regression_target(df: DataFrame, target: str) -> DataFrame:
     return g.select("min", "max", "mean", "std", g1.alias("skewness"))
 
 
+@missing_is_null
 def leakage(df: DataFrame, target: str, card: DataFrame | None = None, n_rows: int | None = None,
             s: Settings = DEFAULT_SETTINGS) -> DataFrame:
     """(column, reason, severity, measured).
@@ -353,6 +370,7 @@ def leakage(df: DataFrame, target: str, card: DataFrame | None = None, n_rows: i
 FINDINGS_SCHEMA = "rule string, column string, severity string, measured double"
 
 
+@missing_is_null
 def findings(df: DataFrame, target: str | None = None, s: Settings = DEFAULT_SETTINGS,
              outlier_method: str = "exact") -> DataFrame:
     """Every rule's hits gathered into one (rule, column, severity, measured) table.
@@ -397,7 +415,7 @@ def _findings(df: DataFrame, target: str | None, s: Settings, outlier_method: st
         fit = fit_numeric(df, num, (0.25, 0.75), method=outlier_method)
         parts.append(outlier_rules(outliers(df, s, fit, num)).select(
             "rule", "column", F.lit("warning").alias("severity"), F.col("measured").cast("double")))
-        if 2 <= len(num) <= s.max_correlation_features:
+        if len(num) >= 2:
             hc = high_correlations(correlations(df, num, s), s)
             parts.append(hc.select(F.lit("high_correlation").alias("rule"),
                                    F.concat_ws(" ~ ", "feature1", "feature2").alias("column"),

@@ -707,8 +707,7 @@ def m08_train_models(spark, sf):
 
 def _one_learner(spark, sf, name):
     train, test = _doc_split(spark, sf)
-    board, _ = SE.train_models(train, test, DOC_FEATS, "classification", fast_only=False, learners=[name],
-                               s=DEFAULT_SETTINGS.__class__(search_iterations=1))
+    board, _ = SE.train_models(train, test, DOC_FEATS, "classification", fast_only=False, learners=[name])
     return board.select("model", "status", "test_accuracy")
 
 
@@ -739,14 +738,29 @@ def l11_adaboost(spark, sf):
 
 @query("l14_linear_svm")
 def l14_linear_svm(spark, sf):
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import VectorAssembler
+    return _one_learner(spark, sf, "svm")
+
+
+@query("m12_predict_proba")
+def m12_predict_proba(spark, sf):
+    """Naive Bayes trained through the search; prediction and probability of each class for the test rows."""
+    train, test = _doc_split(spark, sf)
+    _, models = SE.train_models(train, test, DOC_FEATS, "classification", learners=["naive_bayes"])
+    out = models["naive_bayes"].transform(test)
+    return out.select("doc_id", "prediction", F.posexplode("probability").alias("class", "probability"))
+
+
+@query("x07_importance")
+def x07_importance(spark, sf):
     train, test = _doc_split(spark, sf)
-    asm = VectorAssembler(inputCols=DOC_FEATS, outputCol="features")
-    tr = asm.transform(train)
-    n = tr.count()
-    m = LinearSVC(regParam=1.0 / n, standardization=False, maxIter=100, tol=1e-4).fit(tr)
-    return X.accuracy(m.transform(asm.transform(test))).select(F.lit("svm").alias("model"), "accuracy")
+    _, models = SE.train_models(train, test, DOC_FEATS, "classification", learners=["decision_tree"])
+    return X.feature_importance(spark, models["decision_tree"])
+
+
+@query("x08_summary")
+def x08_summary(spark, sf):
+    n_missing = P.missing(table(spark, sf, "dl")).agg(F.sum("n_missing")).first()[0] or 0
+    return X.summary(_regression_board(spark, sf), "regression", n_missing).withColumn("score", F.round("score", 3))
 
 
 # ---------------------------------------------------------------- sources and sinks

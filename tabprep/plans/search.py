@@ -11,8 +11,10 @@ from __future__ import annotations
 import itertools
 import random
 import time
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from tabprep.config import DEFAULT_SETTINGS, Settings
 from tabprep.operators import evaluate as X
 from tabprep.operators import learners as L
+from tabprep.session import cut_lineage
 
 
 def draw_candidates(grid: dict, s: Settings = DEFAULT_SETTINGS) -> list[dict]:
@@ -56,103 +59,143 @@ def _solvable(learner, features: list[str]):
     return learner
 
 
-def _search(cands: list[dict], train: DataFrame, fold_col: str, task: str, s: Settings, predict) -> dict:
-    """The candidate with the best mean accuracy / R² over the folds (the first on ties);
-    predict(candidate, fitting rows, held-out rows) -> held-out rows with a prediction."""
+class Predictor:
+    """Any trained learner. ``transform`` adds ``prediction`` to a table with the feature columns and, in
+    classification, ``probability`` (an array in the order of ``classes``; null for the linear SVM, which has none)."""
+
+    def __init__(self, name: str, kind: str, task: str, features: list[str], classes: list[float], model, params: dict,
+                 train: DataFrame | None = None):
+        self.name, self.kind, self.task, self.features = name, kind, task, features
+        self.classes, self.model, self.params, self.train = classes, model, params, train
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = VectorAssembler(inputCols=self.features, outputCol="__features", handleInvalid="keep").transform(df)
+        return self.score(rows, "__features").select(*df.columns, "prediction", *(["probability"] if self.task == "classification" else []))
+
+    def score(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """df, which holds assembled features, with prediction and probability."""
+        classify = self.task == "classification"
+        if self.kind == "baseline":
+            value, shares = self.model
+            out = df.withColumn("prediction", F.lit(value))
+            return out.withColumn("probability", F.array(*[F.lit(x) for x in shares])) if classify else out
+        if self.kind == "ml":
+            model = self.model.copy()
+            model.setFeaturesCol(features)
+            out = model.transform(df)
+            if classify:
+                if "probability" in out.columns:
+                    every = vector_to_array("probability")
+                    out = out.withColumn("probability", F.array(*[F.get(every, int(c)) for c in self.classes]))
+                else:
+                    out = out.withColumn("probability", F.lit(None).cast("array<double>"))
+            return out
+        if self.kind == "nb":
+            a = vector_to_array(features)
+            wide = df.select("*", *[a[i].alias(n) for i, n in enumerate(self.model.features)])
+            return self.model.transform(wide).withColumn("probability", self.model.probability()).drop(*self.model.features)
+        if self.kind == "adaboost":
+            ensemble, classes = self.model
+            if features != "features":
+                ensemble = [(a, t.copy().setFeaturesCol(features)) for a, t in ensemble]
+            return L.adaboost_predict(ensemble, classes, df, self.task, probability="probability")
+        # the ids must not change between the search and the join
+        rows = cut_lineage(df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__vec", vector_to_array(features)))
+        found = L.knn_predict(self.train, rows, "__id", "__vec", "label", k=self.params.get("k", 5),
+                              weights=self.params.get("weights", "uniform"), metric=self.params.get("metric", "euclidean"),
+                              task=self.task, shares=classify)
+        out = rows.join(found, "__id").drop("__id", "__vec")
+        if classify:
+            out = out.withColumn("probability", F.array(*[F.coalesce(F.col("shares")[F.lit(c)], F.lit(0.0)) for c in self.classes])).drop("shares")
+        return out
+
+
+def fit_learner(lr, c: dict, rows: DataFrame, features: list[str], task: str, n: int, sd: float, classes: list[float]) -> Predictor:
+    """One learner with parameters c on rows of (features, label)."""
+    train = None
+    if lr.kind == "baseline":
+        if task == "classification":
+            counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+            model = (L.majority_class(rows), [counts.get(k, 0) / sum(counts.values()) for k in classes])
+        else:
+            model = (L.mean_value(rows), [])
+    elif lr.kind == "ml":
+        model = _solvable(lr.make(n, sd, len(classes), **c), features).fit(rows)
+    elif lr.kind == "nb":
+        names = [f"__f{i}" for i in range(len(features))]
+        a = vector_to_array("features")
+        model = L.fit_gaussian_nb(rows.select("label", *[a[i].alias(x) for i, x in enumerate(names)]), names,
+                                  var_smoothing=c.get("var_smoothing", 1e-9))
+        classes = model.classes
+    elif lr.kind == "adaboost":
+        model = L.adaboost(rows, task, n_estimators=c.get("n_estimators", 50), learning_rate=c.get("learning_rate", 1.0))
+        classes = model[1]
+    else:  # knn keeps its train rows in the shared folder
+        model = None
+        train = cut_lineage(rows.select("label", vector_to_array("features").alias("__vec"))
+                            .withColumn("__id", F.monotonically_increasing_id()))
+    return Predictor(lr.name, lr.kind, task, features, classes, model, c, train)
+
+
+def _search(lr, cands: list[dict], tr: DataFrame, fold_col: str, features: list[str], task: str, s: Settings, n, sd, classes,
+            parallelism: int) -> dict:
+    """The candidate with the best mean accuracy / R² over the folds, the first on ties."""
     if len(cands) < 2:
         return cands[0]
-    key = "cv_accuracy" if task == "classification" else "cv_r2"
-
-    def mean(c: dict) -> float:
-        scores = [_metrics(predict(c, train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f)), task, "cv")[key]
-                  for f in range(s.search_folds)]
-        return sum(scores) / len(scores)
-    scores = [mean(c) for c in cands]
-    return cands[scores.index(max(scores))]
+    if lr.kind == "ml":
+        # every candidate as a param map of one base estimator; the folds are given, the candidates fit concurrently
+        evaluator = (MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification"
+                     else RegressionEvaluator(metricName="r2"))
+        base = _solvable(lr.make(n, sd, len(classes)), features)
+        maps = []
+        for c in cands:
+            e = _solvable(lr.make(n, sd, len(classes), **c), features)
+            maps.append({base.getParam(p.name): v for p, v in e.extractParamMap().items() if e.isSet(p) and base.hasParam(p.name)})
+        scores = CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=evaluator, numFolds=s.search_folds,
+                                foldCol=fold_col, parallelism=parallelism).fit(tr).avgMetrics
+    else:
+        def score(run: tuple[dict, int]) -> float:
+            c, f = run
+            pred = fit_learner(lr, c, tr.where(F.col(fold_col) != f), features, task, n, sd, classes).score(tr.where(F.col(fold_col) == f))
+            return X.accuracy(pred).first()[0] if task == "classification" else X.regression_metrics(pred).first()["r2"]
+
+        with ThreadPool(parallelism) as pool:  # candidates are trained concurrently, as CrossValidator does
+            got = pool.map(score, [(c, f) for c in cands for f in range(s.search_folds)])
+        scores = [sum(got[i * s.search_folds:(i + 1) * s.search_folds]) for i in range(len(cands))]
+    return cands[max(range(len(cands)), key=lambda i: scores[i])]
 
 
 def train_models(train: DataFrame, test: DataFrame, features: list[str], task: str, s: Settings = DEFAULT_SETTINGS,
                  fast_only: bool = True, learners: list[str] | None = None, fold_col: str = "fold",
-                 parallelism: int = 4) -> tuple[DataFrame, dict]:
-    """M8: returns (results DataFrame, fitted models by name). ``train`` carries
-    ``features`` columns, ``label`` and ``fold``; ``test`` carries features and label."""
+                 parallelism: int = 4) -> tuple[DataFrame, dict[str, Predictor]]:
+    """M8: returns (results DataFrame, a Predictor for each trained learner). ``train`` carries
+    ``features`` columns, ``label`` and ``fold``; ``test`` carries features and label. A search that
+    fails (a fold without rows) falls back to the learner's defaults; a learner that fails is a row."""
     spark = train.sparkSession
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    tr = asm.transform(train).select("features", "label", fold_col).persist()
-    te = asm.transform(test).select("features", "label").persist()
+    tr = asm.transform(train).select("features", F.col("label").cast("double").alias("label"), fold_col).persist()
+    te = asm.transform(test).select("features", F.col("label").cast("double").alias("label")).persist()
     n, sd = L.label_std(tr)
-    k = tr.select("label").distinct().count() if task == "classification" else 0
-    regs = L.classification_learners(fast_only) if task == "classification" else L.regression_learners(fast_only)
+    classes = sorted(r[0] for r in tr.select("label").distinct().collect()) if task == "classification" else []
+    regs = L.classification_learners(fast_only, "svm" in (learners or ())) if task == "classification" else L.regression_learners(fast_only)
     if learners is not None:
         regs = [r for r in regs if r.name in learners]
     rows, models = [], {}
     for pos, lr in enumerate(regs):
         t0 = time.time()
-        best = {}
+        best, note = {}, ""
         try:
-            cands = draw_candidates(lr.grid, s)
-            if lr.kind == "baseline":
-                v = L.majority_class(tr) if task == "classification" else L.mean_value(tr)
-                model = ("constant", v)
-                ptr, pte = tr.withColumn("prediction", F.lit(v)), te.withColumn("prediction", F.lit(v))
-            elif lr.kind == "ml":
-                if len(cands) > 1:
-                    evaluator = (MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification"
-                                 else RegressionEvaluator(metricName="r2"))
-                    # every candidate as a param map of one base estimator; the folds are
-                    # given (stratified ids), the candidates fit concurrently
-                    base = _solvable(lr.make(n, sd, k), features)
-                    maps = []
-                    for c in cands:
-                        e = _solvable(lr.make(n, sd, k, **c), features)
-                        maps.append({base.getParam(p.name): v for p, v in e.extractParamMap().items()
-                                     if e.isSet(p) and base.hasParam(p.name)})
-                    cv = CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=evaluator,
-                                        numFolds=s.search_folds, foldCol=fold_col, parallelism=parallelism).fit(tr)
-                    best = cands[int(max(range(len(maps)), key=lambda i: cv.avgMetrics[i]))]
-                else:
-                    best = cands[0]
-                model = _solvable(lr.make(n, sd, k, **best), features).fit(tr)
-                ptr, pte = model.transform(tr), model.transform(te)
-            elif lr.kind == "nb":
-                names = [f"_f{i}" for i in range(len(features))]
-                from pyspark.ml.functions import vector_to_array
-                def expand(d):
-                    a = vector_to_array("features")
-                    return d.select("*", *[a[i].alias(nm) for i, nm in enumerate(names)])
-                best = _search(cands, tr, fold_col, task, s, lambda c, fit, held: L.fit_gaussian_nb(
-                    expand(fit), names, var_smoothing=c.get("var_smoothing", 1e-9)).transform(expand(held)))
-                model = L.fit_gaussian_nb(expand(tr), names, var_smoothing=best.get("var_smoothing", 1e-9))
-                ptr, pte = model.transform(expand(tr)), model.transform(expand(te))
-            elif lr.kind == "adaboost":
-                def boost(c, fit, held):
-                    e, k_ = L.adaboost(fit, task, n_estimators=c.get("n_estimators", 50), learning_rate=c.get("learning_rate", 1.0))
-                    return L.adaboost_predict(e, k_, held, task)
-                c = best = _search(cands, tr, fold_col, task, s, boost)
-                ens, classes = L.adaboost(tr, task, n_estimators=c.get("n_estimators", 50),
-                                          learning_rate=c.get("learning_rate", 1.0))
-                model = (ens, classes)
-                ptr, pte = L.adaboost_predict(ens, classes, tr, task), L.adaboost_predict(ens, classes, te, task)
-            else:  # knn
-                from pyspark.ml.functions import vector_to_array
-                def near(c, fit, held):
-                    a = fit.withColumn("_id", F.monotonically_increasing_id()).withColumn("vec", vector_to_array("features"))
-                    b = held.withColumn("_id", F.monotonically_increasing_id()).withColumn("vec", vector_to_array("features")).persist()
-                    p = L.knn_predict(a, b, "_id", "vec", "label", k=c.get("k", 5), weights=c.get("weights", "uniform"),
-                                      metric=c.get("metric", "euclidean"), task=task)
-                    return b.join(p, "_id")
-                c = best = _search(cands, tr, fold_col, task, s, near)
-                trk = tr.withColumn("_id", F.monotonically_increasing_id()).withColumn("vec", vector_to_array("features"))
-                tek = te.withColumn("_id", F.monotonically_increasing_id()).withColumn("vec", vector_to_array("features"))
-                model = ("knn", c)
-                def pk(d):
-                    p = L.knn_predict(trk, d, "_id", "vec", "label", k=c.get("k", 5), weights=c.get("weights", "uniform"),
-                                      metric=c.get("metric", "euclidean"), task=task)
-                    return d.join(p, "_id")
-                ptr, pte = pk(trk), pk(tek)
-            row = {"model": lr.name, "status": "ok", "position": pos, "params": str(best)}
-            row.update(_metrics(ptr, task, "train"))
+            try:
+                best = _search(lr, draw_candidates(lr.grid, s), tr, fold_col, features, task, s, n, sd, classes, parallelism)
+            except Exception as e:  # noqa: BLE001 - the defaults are trained instead
+                note = f" (defaults: {type(e).__name__})"
+            model = fit_learner(lr, best, tr, features, task, n, sd, classes)
+            row = {"model": lr.name, "status": "ok", "position": pos, "params": str(best) + note}
+            pte = model.score(te)
+            row.update(_metrics(model.score(tr), task, "train"))
             row.update(_metrics(pte, task, "test"))
+            if classes == [0.0, 1.0] and len(model.classes) == 2:
+                row["test_roc_auc"] = X.roc_auc(pte.where("probability is not null").withColumn("score", F.col("probability")[1])).first()[0]
             models[lr.name] = model
         except Exception as e:  # noqa: BLE001 - a failing learner becomes a row
             row = {"model": lr.name, "status": "failed", "position": pos, "params": f"{type(e).__name__}: {e}"[:200]}
@@ -161,7 +204,7 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], task: s
             row["status"] = "timeout"
         rows.append(row)
     keys = ["train_accuracy", "train_precision", "train_recall", "train_f1", "test_accuracy", "test_precision",
-            "test_recall", "test_f1"] if task == "classification" else \
+            "test_recall", "test_f1", "test_roc_auc"] if task == "classification" else \
         ["train_rmse", "train_mae", "train_r2", "test_rmse", "test_mae", "test_r2"]
     schema = "model string, status string, position int, params string, " + \
              ", ".join(f"{k} double" for k in keys) + ", seconds double"

@@ -90,3 +90,42 @@ def test_stream_scoring(spark, tmp_path):
     q = run_to_memory(score_stream(model, stream), "scored_stream", str(tmp_path / "ck"))
     q.stop()
     assert spark.table("scored_stream").count() == df.count()
+
+
+def test_ranks_outlive_the_cache(spark):
+    from tabprep.functions.rank import rank_within
+    df = spark.range(1_000_000).select(F.lit(1).alias("g"), F.xxhash64("id").alias("o"))
+    ranked = rank_within(df, "g", ["o"])
+    spark.catalog.clearCache()
+    assert ranked.agg(F.count_distinct("_rank"), F.min("_rank"), F.max("_rank")).first()[:] == (1_000_000, 0, 999_999)
+
+
+def test_labels_beyond_the_literal_limit(spark):
+    from tabprep.operators.encode import LabelIndexer
+    df = spark.range(5000).select(F.format_string("c%05d", "id").alias("label"), "id")
+    model = LabelIndexer().fit(df)
+    out = model.decode(model.transform(df), "label_idx", "back")
+    assert out.where("label_idx = id and back = label").count() == 5000
+
+
+def test_nan_is_missing_and_indicators_stay(spark):
+    from pyspark.ml import Pipeline
+    from tabprep.operators import clean, encode, profile
+    df = spark.range(10).select(F.when(F.col("id") < 5, float("nan")).otherwise(F.col("id").cast("double")).alias("x"),
+                                F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("c"))
+    assert {r["column"]: r["n_missing"] for r in profile.missing(df).collect()}["x"] == 5
+    model = Pipeline(stages=[clean.MissingValueImputer(), encode.CategoricalEncoder(), encode.NumericScaler(),
+                             encode.FeatureEngineer()]).fit(df)
+    out = model.transform(df)
+    assert out.where("isnan(x) or x is null").count() == 0
+    others = [c for c in out.columns if c not in ("x",)]
+    assert not [c for c in others if c.startswith("c_") and c.endswith("_squared")]
+    assert {r[0] for r in out.select([c for c in out.columns if c.startswith("c_")][0]).distinct().collect()} == {0, 1}
+
+
+def test_knn_with_text_classes(spark):
+    df = spark.range(40).select("id", F.array(F.col("id").cast("double")).alias("v"),
+                                F.when(F.col("id") < 20, "low").otherwise("high").alias("label"))
+    got = L.knn_predict(df, df, "id", "v", "label", k=3, block_rows=7, shares=True).collect()
+    assert len(got) == 40
+    assert all(r["prediction"] == ("low" if r["id"] < 20 else "high") for r in got if r["id"] not in (19, 20))
