@@ -6,8 +6,8 @@ restaurant of single words, whose base is uniform over the known words and one
 unknown class. In a context a customer is a training token; each of its tables
 sends one customer to the parent.
 
-Seating is kept as customers and tables of every dish. A Gibbs step takes one
-customer of a dish out (its table goes if it sat alone) and seats it again, at
+Seating is kept as customers and tables of every dish. A Gibbs sweep takes all
+customers of a dish out (a table goes with its last one) and seats them again, at
 a table of the dish or at a new one. A sweep does so for every dish of every
 restaurant at once, given the other restaurants' totals of the sweep before;
 those totals, a fixed number of them, are all that the driver sees. After the
@@ -44,6 +44,10 @@ END, START = np.uint64(0xA5A5_1234_9876_0001), np.uint64(0x5A5A_4321_6789_0003)
 SAMPLE_ROWS, SPREAD_WORDS = 4000, 2048
 #: Customers of a dish up to which the chance that one sits alone is exact.
 EXACT = 256
+#: Groups in which the customers of larger dishes are reseated, and how often a sweep does so.
+GROUPS, PASSES = 16, 4
+#: Chances that are held at once.
+DRAWN = 1 << 18
 
 
 @dataclass
@@ -64,9 +68,8 @@ class Model:
     spread_seats: list = field(default_factory=list)  # for each sweep: parent customers and tables of each spread word
 
 
-def alone(c: np.ndarray, t: np.ndarray, discount: float, _known: dict = {}) -> np.ndarray:  # noqa: B006
-    """Chance that one of ``c`` customers at ``t`` tables sits alone: S(c-1, t-1) / S(c, t) with generalised
-    Stirling numbers up to EXACT customers; beyond, its limit for many customers."""
+def stirling(discount: float, _known: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """log S(n, k) of the generalised Stirling numbers up to EXACT customers, and S(n-1, k-1) / S(n, k)."""
     if discount not in _known:
         s = np.full((EXACT + 1, EXACT + 1), -np.inf)
         s[0, 0] = 0.0
@@ -77,10 +80,16 @@ def alone(c: np.ndarray, t: np.ndarray, discount: float, _known: dict = {}) -> n
             ratio = np.zeros_like(s)
             ratio[1:, 1:] = np.exp(s[:-1, :-1] - s[1:, 1:])
         _known.clear()
-        _known[discount] = np.nan_to_num(ratio, nan=0.0)
+        _known[discount] = s, np.nan_to_num(ratio, nan=0.0)
+    return _known[discount]
+
+
+def alone(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """Chance that one of ``c`` customers at ``t`` tables sits alone: S(c-1, t-1) / S(c, t) with generalised
+    Stirling numbers up to EXACT customers; beyond, that of EXACT customers at as large a share of tables."""
     few = c <= EXACT
-    out = np.minimum(1.0, discount * t / np.maximum(c, 1))
-    out[few] = _known[discount][c[few], np.minimum(t[few], EXACT)]
+    out = np.interp((t - 1) / np.maximum(c - 1, 1), np.arange(EXACT) / (EXACT - 1), stirling(discount)[1][EXACT, 1:])
+    out[few] = stirling(discount)[1][c[few], np.minimum(t[few], EXACT)]
     return out
 
 
@@ -99,13 +108,31 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Gene
     return t
 
 
-def sweep(c: np.ndarray, t: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator, steps: int = 4) -> np.ndarray:
-    """``steps`` Gibbs steps for each dish: a customer leaves and sits down again."""
-    many = np.flatnonzero(c > 1)
-    out, c, now, w = t.copy(), c[many], t[many], weight[many]
-    for _ in range(steps):
-        now = now - (rng.random(len(now)) < alone(c, now, discount))
-        now = now + (rng.random(len(now)) * (w + c - 1 - discount * now) < w)
+def draw(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes of 1 to EXACT customers, all of them seated anew: P(t) is proportional to S(c, t) * weight**t."""
+    log_s, t = stirling(discount)[0], np.ones(len(c), np.int64)
+    for n in np.unique(c[c > 1]).tolist():
+        rows, k = np.flatnonzero(c == n), np.arange(1, n + 1)
+        for lo in range(0, len(rows), max(1, DRAWN // n)):
+            some = rows[lo : lo + max(1, DRAWN // n)]
+            p = log_s[n, 1 : n + 1] + np.log(weight[some])[:, None] * k
+            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+            t[some] = 1 + (p < rng.random(len(some))[:, None] * p[:, -1:]).sum(axis=1)
+    return t
+
+
+def sweep(c: np.ndarray, t: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """All customers of each dish leave and sit down again: up to EXACT of them at once, from the exact distribution;
+    of larger dishes a GROUPSth at a time, PASSES times over, tables counted anew after each group."""
+    out = t.copy()
+    few = np.flatnonzero((c > 1) & (c <= EXACT))
+    out[few] = draw(c[few], weight[few], discount, rng)
+    many = np.flatnonzero(c > EXACT)
+    c, now, w = c[many], t[many], weight[many]
+    size = -(-c // GROUPS)
+    for _ in range(GROUPS * PASSES if len(many) else 0):
+        now = np.clip(now - rng.binomial(size, alone(c, now, discount)), 1, c - size)
+        now = now + rng.binomial(size, w / (w + c - size - discount * now))
     out[many] = now
     return out
 
