@@ -1,17 +1,18 @@
 """Hierarchical Pitman-Yor language model over words (operator 4).
 
-Tokens are words and one end per text. Each context (the token before, hashed
-into CONTEXTS classes) is a restaurant, all of which share one parent, the
-restaurant of single words, whose base is uniform over the known words and one
+Tokens are words and one end per text. Each context (the token before, by its
+64-bit hash) is a restaurant, all of which share one parent, the restaurant of
+single words, whose base is uniform over the known words and one
 unknown class. In a context a customer is a training token; each of its tables
 sends one customer to the parent.
 
 Seating is kept as customers and tables of every dish. A Gibbs sweep takes all
 customers of a dish out (a table goes with its last one) and seats them again, at
 a table of the dish or at a new one. A sweep does so for every dish of every
-restaurant at once, given the other restaurants' totals of the sweep before;
-those totals, a fixed number of them, are all that the driver sees. After the
-burn-in each sweep gives a predictive distribution, and scores use their mean.
+restaurant at once, given the restaurants' totals of the sweep before. Totals of
+contexts stay in Spark: a range of words sends each range of the context space
+its contexts with their numbers, once each, and gets back the sums over all
+ranges. The driver sees a fixed number of other totals. After the burn-in each sweep gives a predictive distribution, and scores use their mean.
 
 Work is split by word: a range of the word-hash space holds a word's tokens of
 all contexts. Chunks of texts send a range each (word, context) once with its
@@ -37,7 +38,6 @@ from tabprep.llm.exchange import CHUNK_WORDS, chunk_name, edges, groups, ranges_
 from tabprep.llm.words import SPACE, Words, mix, pack, ragged, slices, unpack
 from tabprep.session import cut_lineage
 
-CONTEXTS = 1 << 16
 #: The hashes of the end of a text and of what stands before its first word.
 END, START = np.uint64(0xA5A5_1234_9876_0001), np.uint64(0x5A5A_4321_6789_0003)
 #: Rows of the sample that picks the words to spread, and how many at most; results don't depend on them.
@@ -61,9 +61,7 @@ class Model:
     discount: float = 0.75  # of contexts
     parent_discount: float = 0.75
     strength: float = 1.0
-    context_tokens: np.ndarray | None = None  # customers of each context
     spread_tokens: np.ndarray | None = None  # training tokens of each spread word
-    tables: list = field(default_factory=list)  # for each sweep: tables of each context
     parent: list = field(default_factory=list)  # for each sweep: customers and tables of the parent
     spread_seats: list = field(default_factory=list)  # for each sweep: parent customers and tables of each spread word
 
@@ -140,10 +138,13 @@ def sweep(c: np.ndarray, t: np.ndarray, weight: np.ndarray, discount: float, rng
 class Range:
     """The training counts of a range's words and pairs, and their seating."""
 
-    def __init__(self, number: int, words: bytes, runs: bytes, contexts: bytes, counts: bytes):
-        """Distinct sorted words, contexts that each was seen in, those contexts, training tokens of each pair."""
+    def __init__(self, number: int, words: bytes, runs: bytes, contexts: bytes, counts: bytes, names: bytes, totals: list[bytes] | None = None):
+        """Distinct sorted words, contexts that each was seen in, those contexts as places among the sorted ``names``,
+        training tokens of each pair; over all ranges, customers of each context and, for each sweep, its tables."""
         self.number, self.words, self.n = number, unpack(words), unpack(runs).astype(np.int64)
         self.context, self.count = unpack(contexts).astype(np.int64), unpack(counts).astype(np.int64)
+        self.names = unpack(names)
+        self.context_tokens, *self.tables = [unpack(x).astype(np.int64) for x in totals] if totals else [None]
         self.at = np.cumsum(self.n) - self.n
         self.of = np.repeat(np.arange(len(self.n)), self.n)
 
@@ -163,8 +164,8 @@ class Range:
         chance = np.where(spread, m.spread_tokens[index] if len(m.spread) else 0, own) + 0.5
         chance = chance / (m.tokens + 0.5 * (m.vocabulary + 1))
         tables = parent = None
-        for k in range(len(m.tables) + 1):
-            busy = m.strength + m.discount * (m.tables[k - 1] if k else first_tables(m.context_tokens, m.discount))
+        for k in range(len(self.tables) + 1):
+            busy = m.strength + m.discount * (self.tables[k - 1] if k else first_tables(self.context_tokens, m.discount))
             weight = busy[self.context] * chance[self.of]
             if tables is None:
                 tables = seat(self.count, weight, m.discount, rng)
@@ -177,7 +178,7 @@ class Range:
             parent = np.minimum(np.maximum(parent, customers > 0), customers)
             parent = sweep(customers, parent, flat, m.parent_discount, rng)
             yield tables, np.where(spread, 0, customers), np.where(spread, 0, parent), self.add(tables)
-            if k < len(m.tables):
+            if k < len(self.tables):
                 chance = self.chances(m, k, customers, parent)
 
     def chances(self, m: Model, k: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -193,13 +194,13 @@ class Range:
     def scores(self, m: Model, burn_in: int) -> np.ndarray:
         """log10 of each key's predictive probability, averaged over the sweeps after ``burn_in``."""
         total = np.zeros(len(self.context))
-        for k, (tables, customers, parent, _) in zip(range(len(m.tables)), self.sweeps(m)):
+        for k, (tables, customers, parent, _) in zip(range(len(self.tables)), self.sweeps(m)):
             if k >= burn_in:
                 chance = self.chances(m, k, customers, parent)[self.of]
                 seated = np.maximum(self.count - m.discount * tables, 0)
-                free = m.strength + m.discount * m.tables[k][self.context]
-                total += (seated + free * chance) / (m.strength + m.context_tokens[self.context])
-        return np.log10(total / (len(m.tables) - burn_in))
+                free = m.strength + m.discount * self.tables[k][self.context]
+                total += (seated + free * chance) / (m.strength + self.context_tokens[self.context])
+        return np.log10(total / (len(self.tables) - burn_in))
 
 
 def first_tables(customers: np.ndarray, discount: float) -> np.ndarray:
@@ -226,7 +227,7 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[ends - count + 1] = START
-    return token, (mix(before) % np.uint64(CONTEXTS)).astype(np.int64), count
+    return token, mix(before), count
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -246,13 +247,13 @@ def _spread_words(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.w for r in found.collect()], np.int64).view(np.uint64))
 
 
-_PAIRS = "part int, chunk long, words binary, runs binary, contexts binary, counts binary"
+_PAIRS = "part int, chunk long, words binary, runs binary, contexts binary, counts binary, names binary"
 _SENT = _PAIRS + ", other int, ids binary, tokens binary, rows binary, times binary"
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
 
 
 def _line(part: int, chunk: int, **blobs) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 4]
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int32(), *[pa.binary()] * 4]
     values = {"part": part, "chunk": chunk, **blobs}
     return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(_NAMES, types, strict=True)], names=_NAMES)
 
@@ -267,7 +268,8 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, spread: np.ndarray) ->
         out = held_out(ids)
         row = np.repeat(np.arange(len(count)), count)
         words, rank = np.unique(token, return_inverse=True)
-        key = rank * CONTEXTS + context
+        names, context = np.unique(context, return_inverse=True)
+        key = rank * len(names) + context
         order = np.argsort(key, kind="stable")  # rows ascend within a pair
         key, row = key[order], row[order]
         at, _ = groups(key)
@@ -276,9 +278,9 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, spread: np.ndarray) ->
         times = np.diff(np.append(held, len(key)))
         begin = np.searchsorted(held, at)
         rows_of_pair = np.diff(np.append(begin, len(held)))
-        word, context = key[at] // CONTEXTS, key[at] % CONTEXTS
+        word, context = key[at] // len(names), key[at] % len(names)
         own = words[word]
-        own = np.where(among(own, spread)[0], mix(own + context.astype(np.uint64)), own)
+        own = np.where(among(own, spread)[0], mix(own + names[context]), own)
         part = np.searchsorted(edges(parts, 64), own, "right")
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
@@ -287,7 +289,8 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, spread: np.ndarray) ->
         for p in np.unique(part).tolist():
             mine = np.flatnonzero(part == p)
             first, n = groups(word[mine])
-            yield _line(p, chunk, words=pack(words[word[mine][first]], True), runs=pack(n), contexts=pack(context[mine]), counts=pack(train[mine]))
+            told, place = np.unique(context[mine], return_inverse=True)
+            yield _line(p, chunk, words=pack(words[word[mine][first]], True), runs=pack(n), contexts=pack(place), counts=pack(train[mine]), names=pack(names[told], True))
             pairs = ragged(begin[mine], rows_of_pair[mine])
             yield _line(-1 - chunk % parts, chunk, other=p, counts=pack(rows_of_pair[mine]), rows=pack(row[held[pairs]]), times=pack(times[pairs]))
 
@@ -308,7 +311,11 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     own = [unpack(x) for x in rows.words]
     runs = [unpack(x).astype(np.int64) for x in rows.runs]
     words, rank = np.unique(np.concatenate(own), return_inverse=True)
-    key = np.repeat(rank, np.concatenate(runs)) * CONTEXTS + np.concatenate([unpack(x) for x in rows.contexts]).astype(np.int64)
+    told = [unpack(x) for x in rows.names]
+    names, place = np.unique(np.concatenate(told), return_inverse=True)
+    begin = np.cumsum([0, *[len(x) for x in told]])
+    context = np.concatenate([place[b + unpack(x).astype(np.int64)] for b, x in zip(begin[:-1], rows.contexts, strict=True)])
+    key = np.repeat(rank, np.concatenate(runs)) * len(names) + context
     count = np.concatenate([unpack(x) for x in rows.counts]).astype(np.int64)
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -316,32 +323,70 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     place = np.empty(len(key), np.int64)
     place[order] = np.repeat(np.arange(len(at)), n)
     cuts = np.cumsum([0, *[r.sum() for r in runs]])
-    table = pd.DataFrame({"part": [rows.part.iloc[0]], "chunk": [-1], "words": [pack(words, True)], "runs": [pack(groups(key[at] // CONTEXTS)[1])],
-                          "contexts": [pack(key[at] % CONTEXTS)], "counts": [pack(np.add.reduceat(count[order], at))]})
+    table = pd.DataFrame({"part": [rows.part.iloc[0]], "chunk": [-1], "words": [pack(words, True)], "runs": [pack(groups(key[at] // len(names))[1])],
+                          "contexts": [pack(key[at] % len(names))], "counts": [pack(np.add.reduceat(count[order], at))], "names": [pack(names, True)]})
     answers = pd.DataFrame({"part": rows.part, "chunk": rows.chunk, "words": None, "runs": None, "contexts": None,
-                            "counts": [pack(place[a:b], True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+                            "counts": [pack(place[a:b], True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "names": None})
     return pd.concat([table, answers])
 
 
-def _totals(ranges: DataFrame, m: Model, names: list[str], work) -> dict[str, np.ndarray]:
-    """Sums over all ranges of the arrays that work(range, model) returns; a task's ranges are added up first."""
+def _totals(ranges: DataFrame, m: Model, work) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """What work(range, model) returns, summed over all ranges: the number of each context, as a packed row (part,
+    total) for each range in the order of its contexts; numbers of the spread words and scalars."""
     shared = ranges.sparkSession.sparkContext.broadcast(m)
+    cuts = edges(m.parts, 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for name, values in zip(names, work(Range(*line), shared.value), strict=True):
-                    sums[name] = sums[name] + values if name in sums else np.asarray(values, np.int64)
-        for name, values in sums.items():
-            some = np.flatnonzero(values)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some), pa.array(values[some])], names=["name", "i", "n"])
-
-    size = {"context": CONTEXTS, "spread": len(m.spread)}
-    out = {n: np.zeros(size.get(n.split("_")[0], 8), np.int64) for n in names}
-    for r in ranges.mapInArrow(run, "name string, i long, n long").groupBy("name", "i").agg(F.sum("n").alias("n")).toLocalIterator():
+                r = Range(*line)
+                context, spread, scalars = work(r, shared.value)
+                at = [0, *np.searchsorted(r.names, cuts).tolist(), len(r.names)]
+                for q, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                    if lo < hi:
+                        yield _said("context", q, 0, r.number, pack(r.names[lo:hi], True), pack(context[lo:hi]))
+                for name, values in (("spread", spread), ("scalars", scalars)):
+                    for i in np.flatnonzero(values).tolist():
+                        yield _said(name, i, int(values[i]))
+
+    said = cut_lineage(ranges.mapInArrow(run, _SAID))
+    out = {"spread": np.zeros(len(m.spread), np.int64), "scalars": np.zeros(8, np.int64)}
+    for r in said.where("name <> 'context'").groupBy("name", "i").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.name][r.i] = r.n
-    return out
+    sums = said.where("name = 'context'").groupBy("i").applyInPandas(_sum_contexts, "part int, i long, numbers binary")
+    return cut_lineage(sums.groupBy("part").applyInPandas(_in_order, "part int, total binary")), out
+
+
+_SAID = "name string, i long, n long, part int, names binary, numbers binary"
+
+
+def _said(*values) -> pa.RecordBatch:
+    values = (*values, *[None] * (6 - len(values)))
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[x.split()[0] for x in _SAID.split(", ")])
+
+
+def _sum_contexts(rows: pd.DataFrame) -> pd.DataFrame:
+    """A range of contexts: their numbers added up, for each range of words that told them."""
+    told = [unpack(x) for x in rows.names]
+    names, place = np.unique(np.concatenate(told), return_inverse=True)
+    total = np.zeros(len(names), np.int64)
+    np.add.at(total, place, np.concatenate([unpack(x) for x in rows.numbers]).astype(np.int64))
+    at = np.cumsum([0, *[len(x) for x in told]])
+    return pd.DataFrame({"part": rows.part, "i": rows.i, "numbers": [pack(total[place[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]})
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("i")
+    return pd.DataFrame({"part": rows.part.iloc[:1].to_numpy(), "total": [pack(np.concatenate([unpack(x) for x in rows.numbers]))]})
+
+
+def _with(totals: DataFrame, more: DataFrame) -> DataFrame:
+    return cut_lineage(totals.join(more, "part").select("part", F.concat("totals", F.array("total")).alias("totals")))
+
+
+def _by_context(r: Range, values: np.ndarray) -> np.ndarray:
+    return np.bincount(r.context, values, len(r.names)).astype(np.int64)
 
 
 def _count(r: Range, m: Model) -> tuple:
@@ -349,7 +394,7 @@ def _count(r: Range, m: Model) -> tuple:
     own = r.add(r.count)
     hot = np.zeros(len(m.spread), np.int64)
     np.add.at(hot, index[spread], own[spread])
-    return (np.bincount(r.context, r.count, CONTEXTS).astype(np.int64), hot,
+    return (_by_context(r, r.count), hot,
             np.array([own.sum(), ((own > 0) & ~spread).sum(), (r.count == 1).sum(), (r.count == 2).sum(), 0, 0, 0, 0]))
 
 
@@ -359,14 +404,15 @@ def _seats(r: Range, m: Model) -> tuple:
     spread, index = r.spread(m)
     hot = np.zeros(len(m.spread), np.int64)
     np.add.at(hot, index[spread], sums[spread])
-    return np.bincount(r.context, tables, CONTEXTS).astype(np.int64), hot, np.array([customers.sum(), parent.sum(), (parent == 1).sum(), (customers == 1).sum(), (customers == 2).sum(), 0, 0, 0])
+    return _by_context(r, tables), hot, np.array([customers.sum(), parent.sum(), (parent == 1).sum(), (customers == 1).sum(), (customers == 2).sum(), 0, 0, 0])
 
 
-def fit(ranges: DataFrame, parts: int, spread: np.ndarray, sweeps: int, burn_in: int) -> Model:
-    """The totals of every sweep. Discounts come from the numbers of dishes with one and with two customers."""
+def fit(ranges: DataFrame, parts: int, spread: np.ndarray, sweeps: int, burn_in: int) -> tuple[Model, DataFrame]:
+    """The totals of every sweep, those of contexts as (part, totals). Discounts come from the numbers of dishes with one and with two customers."""
     m = Model(parts, spread)
-    got = _totals(ranges, m, ["context", "spread", "scalars"], _count)
-    m.context_tokens, m.spread_tokens = got["context"], got["spread"]
+    tokens, got = _totals(ranges, m, _count)
+    totals = tokens.select("part", F.array("total").alias("totals"))
+    m.spread_tokens = got["spread"]
     m.tokens = int(got["scalars"][0])
     m.vocabulary = int(got["scalars"][1] + (m.spread_tokens > 0).sum())
     one, two = got["scalars"][2:4]
@@ -374,7 +420,8 @@ def fit(ranges: DataFrame, parts: int, spread: np.ndarray, sweeps: int, burn_in:
     rng = np.random.default_rng(20240817)
     hot = None
     for k in range(sweeps):
-        got = _totals(ranges, m, ["context", "spread", "scalars"], _seats)
+        tables, got = _totals(ranges.join(totals, "part"), m, _seats)
+        totals = _with(totals, tables)
         customers = got["spread"]
         if k == 0:
             one, two = got["scalars"][3:5]
@@ -383,10 +430,9 @@ def fit(ranges: DataFrame, parts: int, spread: np.ndarray, sweeps: int, burn_in:
         flat = np.full(len(customers), base)
         hot = seat(customers, flat, m.parent_discount, rng) if hot is None else np.minimum(np.maximum(hot, customers > 0), customers)
         hot = sweep(customers, hot, flat, m.parent_discount, rng)
-        m.tables.append(got["context"])
         m.spread_seats.append((customers, hot))
         m.parent.append((int(got["scalars"][0] + customers.sum()), int(got["scalars"][1] + hot.sum())))
-    return m
+    return m, totals
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 4, burn_in: int = 1) -> DataFrame:
@@ -399,15 +445,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts, spread = ranges_for(rows, "text"), _spread_words(rows)
     sent = cut_lineage(rows.mapInArrow(lambda b: _send(b, parts, spread), _SENT))
-    merged = cut_lineage(sent.where("part >= 0").select("part", "chunk", "words", "runs", "contexts", "counts")
+    merged = cut_lineage(sent.where("part >= 0").select("part", "chunk", "words", "runs", "contexts", "counts", "names")
                          .groupBy("part").applyInPandas(_merge, _PAIRS))
     ranges = merged.where("chunk < 0").drop("chunk")
-    m = fit(ranges, parts, spread, sweeps, burn_in)
+    m, totals = fit(ranges, parts, spread, sweeps, burn_in)
     model = docs.sparkSession.sparkContext.broadcast(m)
 
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+    def answer(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         table = rows[rows.chunk < 0].iloc[0]
-        r = Range(int(table.part), table.words, table.runs, table.contexts, table["counts"])
+        r = Range(int(table.part), table.words, table.runs, table.contexts, table["counts"], table.names, list(told.totals.iloc[0]))
         score = r.scores(model.value, burn_in).astype(np.float32)
         spread, index = r.spread(model.value)
         seen = np.where(spread, model.value.spread_tokens[index] if len(model.value.spread) else 0, r.add(r.count))[r.of]
@@ -418,7 +464,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
             out.append((one.chunk, one.part, score[place].tobytes(), pack(n), pack(seen[place][run])))
         return pd.DataFrame(out, columns=["chunk", "part", "scores", "runs", "seen"])
 
-    answers = merged.groupBy("part").applyInPandas(answer, "chunk long, part int, scores binary, runs binary, seen binary")
+    answers = merged.groupBy("part").cogroup(totals.groupBy("part")).applyInPandas(answer, "chunk long, part int, scores binary, runs binary, seen binary")
 
     def add_up(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         m = model.value

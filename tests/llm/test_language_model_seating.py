@@ -2,6 +2,7 @@
 import inspect
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabprep.llm import hpylm
@@ -33,3 +34,15 @@ def test_seating_forgets_its_first_draw(c, w, d):
         for _ in range(sweeps):
             t = hpylm.sweep(np.full(1000, c), t, np.full(1000, w), d, rng)
         assert abs(t.mean() - mean) < 0.1 * mean and abs(t.std() / deviation - 1) < 0.2, (first, t.mean(), mean, t.std(), deviation)
+
+
+def test_every_word_before_has_its_own_restaurant(spark, make_docs, monkeypatch):
+    words = [f"w{i}" for i in range(100_000)]
+    _, context, _ = hpylm.tokens_of(pa.array([" ".join(words)]))
+    assert len(np.unique(context)) == len(words) + 1
+    rows = [(i, " ".join(f"v{(i * 7 + k * k) % 400}" for k in range(60))) for i in range(40)]
+    one = {r.id: r.score for r in hpylm.score(make_docs(rows)).collect()}
+    with monkeypatch.context() as patch:  # totals of contexts that many ranges hold
+        patch.setattr(hpylm, "ranges_for", lambda *_: 5)
+        many = {r.id: r.score for r in hpylm.score(make_docs(rows)).collect()}
+    assert one.keys() == many.keys() and abs(sum(one.values()) / sum(many.values()) - 1) < 0.02
