@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, html, hpylm, licenses, pieces, quality, simhash, substrings, tokens, urls
+from tabprep.llm import decontaminate, html, hpylm, licenses, pieces, quality, simhash, substrings, tokens, trie, urls
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 # Hosts of these words are listed: their pages' URLs are the list of operator 6 (fixed values).
@@ -72,9 +72,14 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.try_element_at("scores", F.lit(2)).alias("second_score"), "scores", "ids_sha256", exact.alias("exact"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.build(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_simhash, op4_lm_scoring, op5_html_extraction, op6_url_filter,
-    op7_license_scan, op8_decontamination, op9_substring_dedup, op10_piece_encoding)}
+    op7_license_scan, op8_decontamination, op9_substring_dedup, op10_piece_encoding, op13_prefix_trie)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -134,5 +139,34 @@ kept AS (
               ELSE list_transform(list_sort(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i))), lambda i: words[i]) END AS left_over
   FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, n_removed, sha256(array_to_string(left_over, ' ')) AS kept_sha256 FROM kept
+""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({'r': r, 'x': x} ORDER BY i) AS own,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+             lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 4 AS h
+  FROM t GROUP BY conv_id),
+b AS (
+  SELECT c.conv_id, list_concat(coalesce(base.own[1:c.h], []), c.own[c.h + 1:]) AS turns
+  FROM c LEFT JOIN c AS base ON base.conv_id = c.conv_id - c.conv_id % 20),
+m AS (SELECT conv_id, turns, d, turns[1:d] AS node FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM b)),
+n AS (
+  SELECT d AS depth, node, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = d), '')) AS ends_sha256
+  FROM m GROUP BY d, node),
+k AS (SELECT depth - 1 AS depth, node[1:depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(string_split_regex(node[depth].x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) END AS saved
+  FROM n LEFT JOIN k USING (depth, node)),
+s AS (
+  SELECT up AS depth, node[1:up] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (depth, node) LEFT JOIN f AS p ON p.depth = f.depth - 1 AND p.node = f.node[1:f.depth - 1]
 """,
 }
