@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, html, hpylm, licenses, pieces, quality, simhash, substrings, tokens, trie, urls
+from tabprep.llm import decontaminate, html, hpylm, licenses, packing, pieces, quality, simhash, substrings, tokens, trie, urls
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 # Hosts of these words are listed: their pages' URLs are the list of operator 6 (fixed values).
@@ -72,6 +72,12 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.try_element_at("scores", F.lit(2)).alias("second_score"), "scores", "ids_sha256", exact.alias("exact"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"))
+    digests = cut.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = trie.build(table(spark, sf_dir, "conversations"))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
@@ -79,7 +85,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_simhash, op4_lm_scoring, op5_html_extraction, op6_url_filter,
-    op7_license_scan, op8_decontamination, op9_substring_dedup, op10_piece_encoding, op13_prefix_trie)}
+    op7_license_scan, op8_decontamination, op9_substring_dedup, op10_piece_encoding, op12_packing, op13_prefix_trie)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
