@@ -1,6 +1,8 @@
 import html as entities
+import math
 import re
 
+import test_brute_force as B
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
@@ -41,29 +43,101 @@ def test_empty_tables(spark, make_docs):
 
 def test_every_operator_is_registered():
     import __spark_entry__ as E
-    assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and len(QUERIES) == 10
-
-
-def test_pipeline(spark, make_docs):
-    """Each stage against its operator's plain result on its own input."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    judged = {r.id for r in quality.assess(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.kept}
-    one = C.quality_rules(spark, docs, SF).persist()
-    assert {r.doc_id for r in one.collect()} == judged and one.columns == docs.columns
-    two = C.near_duplicates(spark, one, SF).persist()
-    component = {r.id: r.component for r in simhash.near_duplicates(one).collect()}
-    assert {r.doc_id for r in two.collect()} == {i for i, c in component.items() if i == c} and two.columns == docs.columns
-    three = C.substring_dedup(spark, two, SF).persist()
-    left = {r.id: r for r in substrings.remove_repeats(two).collect()}
-    got = {r.doc_id: r for r in three.collect()}
-    assert set(got) == {i for i, r in left.items() if r.n_removed < r.n_words} and three.columns == docs.columns
-    assert all(got[i].text == left[i].text and got[i].n_chars == len(got[i].text) for i in got)
-    four = C.benchmark_decontamination(spark, three, SF).persist()
-    bad = {r.id for r in decontaminate.decontaminate(three, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() if r.contaminated}
-    assert {r.doc_id for r in four.collect()} == set(got) - bad and four.columns == docs.columns
-    five = {r.doc_id: r for r in C.piece_encoding(spark, four, SF).collect()}
-    assert set(five) == set(got) - bad and all(r.exact for r in five.values())
-    assert {r.doc_id: r.n_pieces for r in C.run(spark, SF).collect()} == {i: r.n_pieces for i, r in five.items()}
+    assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and len(QUERIES) == 13
+
+
+def planted(spark, folder):
+    """The documents of SF with copies, shared passages and benchmark text of our own, in a folder of tables."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    long = [d for d in docs if 150 < len(d[1].split()) < 600]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 20]
+    passage = long[3][1].split()[:70]
+    made = [(90_000 + i, d[1].upper() if i % 2 else d[1] + " .") for i, d in enumerate(long[:20])]
+    made += [(91_000 + i, " ".join(d[1].split()[:120] + passage + d[1].split()[120:])) for i, d in enumerate(long[20:40])]
+    made += [(92_000 + i, long[40 + i][1] + " " + t) for i, t in enumerate(items[:10])]
+    rows = docs + [(i, t, "en", "planted", len(t)) for i, t in made]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return {r[0]: r[1] for r in rows}
+
+
+def without_repeats(texts, n=50):
+    """Texts without words of windows that a smaller id holds; what stays whole is unchanged."""
+    words = {i: B.SPACE.findall(t or "") for i, t in texts.items()}
+    first = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - n + 1):
+            first.setdefault(tuple(words[i][k:k + n]), i)
+    out = {}
+    for i, w in words.items():
+        gone = {j for k in range(len(w) - n + 1) if first[tuple(w[k:k + n])] < i for j in range(k, k + n)}
+        if len(gone) < len(w) or not w:
+            out[i] = [x for j, x in enumerate(w) if j not in gone] if gone else texts[i]
+    return out
+
+
+def contaminated(text, windows):
+    w = B.MARK.findall(B.low(text))
+    hit = {j for n in {len(x) for x in windows} for k in range(len(w) - n + 1) if tuple(w[k:k + n]) in windows for j in range(k, k + n)}
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def best_path(v, text):
+    """(score, pieces) of a text's best path by a plain forward pass over each segment."""
+    total, count = 0.0, 0
+    for segment in pieces.segments_of(v, text):
+        ends = pieces.lattice(v, segment)
+        best = {0: (0.0, 0)}
+        for end in range(1, len(segment) + 1):
+            best[end] = max(((best[a][0] + w, best[a][1] + 1) for a, _, w in ends[end] if a in best), key=lambda x: x[0], default=(-math.inf, 0))
+        total, count = total + best[len(segment)][0], count + best[len(segment)][1]
+    return total, count
+
+
+def test_pipeline(spark, tmp_path):
+    """run() against plain versions of the stages; of the first one the plain rules and the labels are known."""
+    texts = planted(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    one = {r.doc_id for r in C.quality_rules(spark, docs, str(tmp_path)).collect()}
+    for i, t in texts.items():
+        w = B.SPACE.findall(t or "")
+        assert len(w) >= 50 or i not in one
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if len(B.SPACE.findall(texts[r.doc_id] or "")) >= 50}
+    assert sum(i in one for i, q in marks.items() if q) > 0.97 * sum(marks.values())
+    left = {i: texts[i] for i in one}
+    component = B.reach({i: B.fingerprint(t) for i, t in left.items()})
+    left = {i: t for i, t in left.items() if component[i] == i}
+    assert len(one) - len(left) >= 15
+    left = without_repeats(left)
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[k:k + 13]) for w in (B.MARK.findall(B.low(t)) for t in items) if w for k in range(max(1, len(w) - 12))}
+    left = {i: t for i, t in left.items() if not contaminated(t if isinstance(t, str) else " ".join(t), windows)}
+    cut = {i: t for i, t in left.items() if not isinstance(t, str)}
+    assert any(i // 1000 == 91 for i in cut)
+    got = {r.doc_id: r for r in C.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(left) and all(r.exact for r in got.values())
+    v = pieces.load()
+    decoded = {r.doc_id: r.text for r in pieces.decode(spark.createDataFrame([(i, r.ids) for i, r in got.items()], "doc_id long, ids array<int>")).collect()}
+    for i, t in left.items():
+        assert (B.SPACE.findall(decoded[i]) if i in cut else decoded[i]) == t
+    for i in sorted(left)[::25]:
+        score, n = best_path(v, decoded[i])
+        assert math.isclose(score, got[i].score, rel_tol=1e-9) and got[i].n_pieces == len(got[i].ids) and abs(n - got[i].n_pieces) <= 2
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names of the stages' own columns clash with none of the table's."""
+    names = ["id", "digest", "row", "a", "b", "component", "kept", "__id", "__digest", "__ids", "n_removed", "n_words", "text_sha256"]
+    long = " ".join(f"w{i}" for i in range(90))
+    rows = [(i, t, *[f"{n} {i}" for n in names]) for i, t in enumerate([long, long + " more", "other " * 3 + " ".join(f"v{i}" for i in range(80)), "x " + long])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    for stage in (C.quality_rules, C.near_duplicates, C.substring_dedup, C.benchmark_decontamination):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[n] == f"{n} {r.doc_id}" for n in names)
 
 
 def test_stages_take_odd_rows(spark, make_docs):
