@@ -1,24 +1,24 @@
 """Delimited-file sources with the read safeguards.
 
-Checks run as Spark jobs over ``binaryFile`` (only ``path``/``length`` are read
-for the census; the sniff reads the first bytes of each file); the table itself
-is read by Spark's CSV reader as all-string columns, so every later decision
-(NA tokens, header repeats, types) is a column expression or one aggregate.
+The census lists files, the sniff reads their first bytes; archives, encodings and
+records are read from raw lines (``raw.py``, ``records.py``) as all-string columns,
+each file by its own dialect, so every later decision (NA tokens, header repeats,
+types) is a column expression or one aggregate.
 """
 
 from __future__ import annotations
 
-import io
+import csv
 import re
-import zipfile
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabprep.config import DEFAULT_SETTINGS, DELIMITER_ATTEMPTS, ENCODING_ATTEMPTS, INVISIBLE_CHARS, Settings
+from tabprep.config import DEFAULT_SETTINGS, DELIMITER_ATTEMPTS, INVISIBLE_CHARS, Settings
 from tabprep.sources import cleanup as C
+from tabprep.sources import raw
+from tabprep.sources.records import Dialect, _kept_lines, table
 
 OLE2_MAGIC_HEX = "D0CF11E0A1B11AE1"
 ZIP_MAGIC_HEX = "504B0304"
@@ -89,43 +89,46 @@ def sniff_files(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS)
         "path", sniff_bytes(F.col("content"), s.sniff_bytes).alias("s")).select("path", "s.*")
 
 
-# ------------------------------------------------------------------ S3 compression
+# ------------------------------------------------------------------ S3 compression, S4 encoding
+
+
+def kinds(spark: SparkSession, path: str) -> dict[str, str]:
+    """plain, zip or gzip of each file by its first bytes (``.gz`` files, which Spark inflates, are plain)."""
+    first = raw.stored_lines(spark, path).where("start = 0").groupBy("path").agg(F.first("bytes").alias("head"))
+    head = F.hex(F.substring("head", 1, 4))
+    kind = F.when(head == ZIP_MAGIC_HEX, "zip").when(head.startswith(GZIP_MAGIC_HEX), "gzip").otherwise("plain")
+    return {r.path: r.kind for r in first.select("path", kind.alias("kind")).collect()}
+
+
+def file_lines(spark: SparkSession, found: dict[str, str], members: dict[str, str | None], feeds: dict[str, str] | None = None) -> DataFrame:
+    """(path, start, bytes) of every line of plain files, chosen zip members and gzip streams, in file order within splits."""
+    parts = []
+    for feed in ("UTF-8", "UTF-16LE", "UTF-16BE"):
+        own = [p for p in found if (feeds or {}).get(p, "UTF-8") == feed]
+        if plain := [p for p in own if found[p] == "plain"]:
+            parts.append(raw.stored_lines(spark, plain, feed))
+        if packed := {p: members.get(p) for p in own if found[p] == "gzip" or members.get(p) is not None}:
+            parts.append(raw.inflated_lines(spark, packed, feed))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], raw.LINES)
 
 
 def zip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S3: (path, member, line) of the chosen member of each zip archive: the only
-    member, else the first .csv/.txt/.tsv; an archive with none yields no rows and is
-    reported by :func:`zip_members`. One archive per task (files are not split)."""
-    def explode(batches):
-        for pdf in batches:
-            out = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                zf = zipfile.ZipFile(io.BytesIO(content))
-                names = [n for n in zf.namelist() if not n.endswith("/")]
-                pick = names[0] if len(names) == 1 else next(
-                    (n for n in names if n.lower().endswith((".csv", ".txt", ".tsv"))), None)
-                if pick is None:
-                    continue
-                text = zf.read(pick).decode("utf-8", errors="replace")
-                out += [(p, pick, ln) for ln in text.splitlines()]
-            yield pd.DataFrame(out, columns=["path", "member", "line"])
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInPandas(explode, "path string, member string, line string")
-
-
-# ------------------------------------------------------------------ S4 encoding
-
-
-def detect_encoding(spark: SparkSession, path: str, n_bytes: int = 100_000) -> DataFrame:
-    """S4 (re-aimed, no statistical detector): per file, a BOM decides; else valid
-    UTF-8 → utf-8; else the first fallback that decodes (latin-1 always does)."""
-    head = F.substring(F.col("content"), 1, n_bytes)
-    hx = F.hex(F.substring(head, 1, 4))
-    enc = (F.when(hx.startswith("EFBBBF"), "utf-8-sig")
-           .when(hx.startswith("FFFE") | hx.startswith("FEFF"), "utf-16")
-           .when(F.is_valid_utf8(head), "utf-8")
-           .otherwise(ENCODING_ATTEMPTS[1]))
-    return spark.read.format("binaryFile").load(path).select("path", enc.alias("encoding"))
+    """S3: (path, member, line) of the chosen member of every zip archive under ``path``, read in chunks; archives without
+    a member to choose have no lines."""
+    archives = [p for p, k in kinds(spark, path).items() if k == "zip"]
+    chosen = {p: m for p, m in raw.choose_members(spark, archives).items() if m is not None} if archives else {}
+    if not chosen:
+        return spark.createDataFrame([], "path string, member string, line string")
+    member = F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv])[F.col("path")]
+    return raw.inflated_lines(spark, chosen).select("path", member.alias("member"), F.regexp_replace(F.make_valid_utf8(F.col("bytes").cast("string")), "\r$", "").alias("line"))
+
+
+def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding, confidence) of every file, by all of its bytes; archives by the inflated ones."""
+    found = kinds(spark, path)
+    archives = [p for p, k in found.items() if k == "zip"]
+    members = raw.choose_members(spark, archives) if archives else {}
+    return raw.encodings(raw.byte_profiles(file_lines(spark, found, members))).select("path", "encoding", "confidence")
 
 
 # ------------------------------------------------------------------ S5 delimiter
@@ -150,7 +153,7 @@ def delimiter_scores(lines: DataFrame, key: str, line: str = "line",
 
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8",
                      s: Settings = DEFAULT_SETTINGS) -> str:
-    """S5 for one file: the first ``delimiter_sample_lines`` lines."""
+    """S5 for files of one dialect: the first ``delimiter_sample_lines`` lines read."""
     lines = spark.read.option("encoding", encoding).text(path).limit(s.delimiter_sample_lines) \
                  .select(F.lit(path).alias("f"), F.col("value").alias("line"))
     row = delimiter_scores(lines, "f").first()
@@ -186,50 +189,82 @@ def dedupe_names(names: list[str]) -> list[str]:
 # ------------------------------------------------------------------ S6 read, S15 gate, S16 composition
 
 
+def read_names(header: tuple[str, ...] | list[str]) -> list[str]:
+    """Column names of a header: blank ones are numbered, as S13 expects them; the others cleaned (S9); then made unique."""
+    return dedupe_names([clean_column_name(h) if h else f"Unnamed: {i}" for i, h in enumerate(header)])
+
+
+def dialects(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) -> tuple[list[Dialect], list[tuple[str, str, str]]]:
+    """Every file's encoding, delimiter (S5) and header, and findings on files that can't be read. One row a file reaches
+    the driver, with its first lines."""
+    found = kinds(spark, path)
+    archives = [p for p, k in found.items() if k == "zip"]
+    members = raw.choose_members(spark, archives) if archives else {}
+    findings = [("zip", p, "no member that is a table") for p in archives if members[p] is None]
+    findings += [("zip", p, f"using {members[p]}") for p in archives if members[p] is not None]
+    told = raw.encodings(raw.byte_profiles(file_lines(spark, found, members))).select("path", "encoding", "confidence", "head").collect()
+    heads = {r.path: _head_text(r.head or [], r.encoding) for r in told}
+    lines = [(p, line) for p, text in heads.items() for line in text.split("\n")[: s.delimiter_sample_lines]]
+    best = {r.path: r.delimiter for r in delimiter_scores(spark.createDataFrame(lines, "path string, line string"), "path").collect()} if lines else {}
+    out = []
+    for r in told:
+        delimiter = best.get(r.path, ",")
+        rows = (row for row in csv.reader(_kept_lines(heads[r.path]), delimiter=delimiter) if any(c.strip() for c in row))
+        out.append(Dialect(r.path, r.encoding, delimiter, tuple(next(rows, ())), members.get(r.path), found[r.path], r.confidence))
+    return sorted(out, key=lambda d: d.path), findings
+
+
+def _head_text(head: list[bytes], encoding: str) -> str:
+    """The first lines of a file; lines of UTF-16 were cut at one of the two bytes of their line feed."""
+    text = b"\n".join(map(bytes, head))
+    text = text[: len(text) // 2 * 2] if encoding.startswith("utf-16") else text
+    return text.decode("utf-8" if encoding == "utf-8-sig" else encoding, "replace").removeprefix("\ufeff").replace("\r\n", "\n")
+
+
 def safe_read(spark: SparkSession, path: str, encoding: str, delimiter: str, header: list[str]) -> DataFrame:
-    """All-string read with one spare column: a row with more fields than the
-    header fills the spare and is dropped; short rows are padded with nulls;
-    undecodable bytes are replaced by the decoder."""
-    n = len(header)
-    cols = [f"_c{i}" for i in range(n + 1)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols] +
-                          [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema).option("header", "false").option("sep", delimiter)
-          .option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record")
-          .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
-          .option("nullValue", "\u0000").option("emptyValue", "")
-          .csv(path))
-    df = df.where(F.col(cols[-1]).isNull())
-    return df.select(*[F.col(c).alias(h) for c, h in zip(cols[:-1], header)])
+    """S6 for files of one known dialect: all strings, a header line being a record like others. Records with more fields
+    than ``header`` go; shorter ones are filled up with nulls; undecodable bytes are replaced; quoted fields may hold line
+    breaks."""
+    found = kinds(spark, path)
+    archives = [p for p, k in found.items() if k == "zip"]
+    members = raw.choose_members(spark, archives) if archives else {}
+    own = [Dialect(p, encoding, delimiter, tuple(header), members.get(p), k) for p, k in found.items()]
+    lines = file_lines(spark, found, members, {p: raw.line_feeds(encoding) for p in found})
+    return table(lines, own, {p: list(header) for p in found}, keep_headers=True)
+
+
+def read_files(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame | None, list[tuple[str, str, str]]]:
+    """Every file under ``path`` by its own dialect as one all-string table, and findings."""
+    own, findings = dialects(spark, path, s)
+    findings += [("encoding", d.path, d.encoding) for d in own] + [("delimiter", d.path, d.delimiter) for d in own]
+    names = {d.path: read_names(d.header) for d in own}
+    findings += [("header", d.path, f"{n} repeated or blank names") for d in own if (n := len(d.header) - len(set(d.header) - {""}))]
+    findings += [("header", d.path, "columns differ from those of the first file") for d in own[1:] if names[d.path] != names[own[0].path]]
+    if not any(names.values()):
+        return None, findings
+    kind, member = {d.path: d.kind for d in own}, {d.path: d.member for d in own if d.member is not None}
+    lines = file_lines(spark, kind, member, {d.path: raw.line_feeds(d.encoding) for d in own})
+    return table(lines, own, names), findings
 
 
 def ingest(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame | None, DataFrame]:
-    """Census → sniff → encoding → delimiter → header names (S9, S10) →
-    safe read (S6) → cleanup (S7, S8, S11–S14) → gate (S15).
-    Returns (typed table or None, findings (step, path, detail))."""
-    findings = []
+    """Census → sniff → archives (S3), encoding (S4), delimiter (S5) and header (S9, S10) of every file → records
+    → cleanup (S7, S8, S11–S14) → gate (S15). Returns (typed table or None, findings (step, path, detail))."""
+    schema = "step string, path string, detail string"
     census = file_census(spark, path, s).collect()
-    bad = [r for r in census if r["verdict"].startswith("reject")]
-    findings += [("census", r["path"], r["verdict"]) for r in census if r["verdict"] != "ok"]
+    findings = [("census", r["path"], r["verdict"]) for r in census if r["verdict"] != "ok"]
     sniff = [r for r in sniff_files(spark, path, s).collect() if r["is_html"] or r["is_ole2"]]
     findings += [("sniff", r["path"], "html" if r["is_html"] else "ole2") for r in sniff]
-    if bad or sniff or not census:
-        return None, spark.createDataFrame(findings or [("census", path, "no_files")],
-                                           "step string, path string, detail string")
-    enc_rows = detect_encoding(spark, path).collect()
-    encoding = enc_rows[0]["encoding"] if enc_rows else "utf-8"
-    delim = detect_delimiter(spark, path, encoding, s)
-    findings += [("encoding", path, encoding), ("delimiter", path, delim)]
-    first = spark.read.option("encoding", encoding).text(path).first()
-    raw_header = first["value"].split(delim) if first else []
-    header = dedupe_names([clean_column_name(h) for h in raw_header])
-    df = safe_read(spark, path, encoding, delim, header)
+    if any(r["verdict"].startswith("reject") for r in census) or sniff or not census:
+        return None, spark.createDataFrame(findings or [("census", path, "no_files")], schema)
+    df, told = read_files(spark, path, s)
+    findings += told
+    if df is None:
+        return None, spark.createDataFrame([*findings, ("gate", path, "no columns")], schema)
     typed, decisions = C.cleanup(df, s)
     if typed.limit(s.min_rows).count() < s.min_rows:
-        findings.append(("gate", path, f"fewer than {s.min_rows} rows"))
-        return None, spark.createDataFrame(findings, "step string, path string, detail string")
-    fdf = spark.createDataFrame(findings, "step string, path string, detail string")
+        return None, spark.createDataFrame([*findings, ("gate", path, f"fewer than {s.min_rows} rows")], schema)
+    fdf = spark.createDataFrame(findings, schema)
     fdf = fdf.unionByName(decisions.select(F.lit("cleanup").alias("step"), F.col("column").alias("path"),
                                            F.concat_ws(":", "action", "detail").alias("detail")))
     return typed, fdf
