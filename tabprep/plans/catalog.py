@@ -16,6 +16,7 @@ from tabprep.config import DEFAULT_SETTINGS
 from tabprep.functions.exprs import numeric_columns, string_columns
 from tabprep.functions.freq import frequency_table, top_values
 from tabprep.operators import profile as P
+from tabprep.plans import file_queries
 from tabprep.plans.inputs import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -832,3 +833,6 @@ def s20_report_findings(spark, sf):
     t = SK.report_tables(P.findings(dl, target="l_returnflag"), P.missing(dl),
                          spark.createDataFrame([], "model string"))
     return rnd(t["findings"])
+
+
+CATALOG.update(file_queries.QUERIES)

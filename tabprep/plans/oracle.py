@@ -7,6 +7,7 @@ rounding match the Spark side.
 
 from __future__ import annotations
 
+from tabprep.plans import file_queries
 from tabprep.plans.inputs import with_clause
 
 ORACLE: dict[str, str] = {}
@@ -663,3 +664,4 @@ s AS (SELECT doc_id, d, a * a / (sd + 1) AS score,
 SELECT docs.doc_id, coalesce(s.d, ',') AS delimiter, round(s.score, 6) AS score
 FROM (SELECT DISTINCT doc_id FROM documents) AS docs LEFT JOIN s ON docs.doc_id = s.doc_id AND s.r = 1""")
 ORACLE["s16_ingest_csv"] = ORACLE["s16_ingest_cleanup"]
+ORACLE.update(file_queries.ORACLE)

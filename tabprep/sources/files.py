@@ -95,9 +95,12 @@ def sniff_files(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS)
 def kinds(spark: SparkSession, path: str) -> dict[str, str]:
     """plain, zip or gzip of each file by its first bytes (``.gz`` files, which Spark inflates, are plain)."""
     first = raw.stored_lines(spark, path).where("start = 0").groupBy("path").agg(F.first("bytes").alias("head"))
-    head = F.hex(F.substring("head", 1, 4))
-    kind = F.when(head == ZIP_MAGIC_HEX, "zip").when(head.startswith(GZIP_MAGIC_HEX), "gzip").otherwise("plain")
-    return {r.path: r.kind for r in first.select("path", kind.alias("kind")).collect()}
+    return {r.path: r.kind for r in first.select("path", _kind(F.col("head")).alias("kind")).collect()}
+
+
+def _kind(first: Column) -> Column:
+    head = F.hex(F.substring(first, 1, 4))
+    return F.when(head == ZIP_MAGIC_HEX, "zip").when(head.startswith(GZIP_MAGIC_HEX), "gzip").otherwise("plain")
 
 
 def file_lines(spark: SparkSession, found: dict[str, str], members: dict[str, str | None], feeds: dict[str, str] | None = None) -> DataFrame:
@@ -123,12 +126,25 @@ def zip_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.inflated_lines(spark, chosen).select("path", member.alias("member"), F.regexp_replace(F.make_valid_utf8(F.col("bytes").cast("string")), "\r$", "").alias("line"))
 
 
-def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding, confidence) of every file, by all of its bytes; archives by the inflated ones."""
-    found = kinds(spark, path)
+def _profiled(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str], dict[str, str | None]]:
+    """Byte profiles of every file, archives by what is inflated from them; kinds, and chosen members of zip archives. One
+    pass over all files, and one more over archives."""
+    stored = raw.encodings(raw.byte_profiles(raw.stored_lines(spark, path))).withColumn("kind", _kind(F.element_at("head", 1)))
+    stored = stored.persist()  # a row a file
+    found = {r.path: r.kind for r in stored.select("path", "kind").collect()}
     archives = [p for p, k in found.items() if k == "zip"]
     members = raw.choose_members(spark, archives) if archives else {}
-    return raw.encodings(raw.byte_profiles(file_lines(spark, found, members))).select("path", "encoding", "confidence")
+    profiles = stored.where("kind = 'plain'")
+    packed = {p: k for p, k in found.items() if k == "gzip" or members.get(p) is not None}
+    if packed:
+        inflated = raw.encodings(raw.byte_profiles(file_lines(spark, packed, members)))
+        profiles = profiles.unionByName(inflated.withColumn("kind", F.lit("packed")))
+    return profiles, found, members
+
+
+def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding, confidence) of every file, by all of its bytes; archives by the inflated ones."""
+    return _profiled(spark, path)[0].select("path", "encoding", "confidence")
 
 
 # ------------------------------------------------------------------ S5 delimiter
@@ -197,12 +213,11 @@ def read_names(header: tuple[str, ...] | list[str]) -> list[str]:
 def dialects(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) -> tuple[list[Dialect], list[tuple[str, str, str]]]:
     """Every file's encoding, delimiter (S5) and header, and findings on files that can't be read. One row a file reaches
     the driver, with its first lines."""
-    found = kinds(spark, path)
+    profiles, found, members = _profiled(spark, path)
     archives = [p for p, k in found.items() if k == "zip"]
-    members = raw.choose_members(spark, archives) if archives else {}
     findings = [("zip", p, "no member that is a table") for p in archives if members[p] is None]
     findings += [("zip", p, f"using {members[p]}") for p in archives if members[p] is not None]
-    told = raw.encodings(raw.byte_profiles(file_lines(spark, found, members))).select("path", "encoding", "confidence", "head").collect()
+    told = profiles.select("path", "encoding", "confidence", "head", "n_quotes").collect()
     heads = {r.path: _head_text(r.head or [], r.encoding) for r in told}
     lines = [(p, line) for p, text in heads.items() for line in text.split("\n")[: s.delimiter_sample_lines]]
     best = {r.path: r.delimiter for r in delimiter_scores(spark.createDataFrame(lines, "path string, line string"), "path").collect()} if lines else {}
@@ -210,7 +225,7 @@ def dialects(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) ->
     for r in told:
         delimiter = best.get(r.path, ",")
         rows = (row for row in csv.reader(_kept_lines(heads[r.path]), delimiter=delimiter) if any(c.strip() for c in row))
-        out.append(Dialect(r.path, r.encoding, delimiter, tuple(next(rows, ())), members.get(r.path), found[r.path], r.confidence))
+        out.append(Dialect(r.path, r.encoding, delimiter, tuple(next(rows, ())), members.get(r.path), found[r.path], r.confidence, r.n_quotes > 0))
     return sorted(out, key=lambda d: d.path), findings
 
 

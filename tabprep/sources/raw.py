@@ -236,7 +236,7 @@ def _lines(path: str, lines: list[bytes]) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- S4 encoding
 
-_COUNTS = ["n_lines", "n_bytes", "high_lines", "bad_lines", "n_high", "n_control", "n_undefined", "n_letters", "n_nul", "nul_even", "nul_odd"]
+_COUNTS = ["n_lines", "n_bytes", "high_lines", "bad_lines", "n_high", "n_control", "n_undefined", "n_letters", "n_quotes", "n_nul", "nul_even", "nul_odd"]
 _UNDEFINED = [0x81, 0x8D, 0x8F, 0x90, 0x9D]  # bytes without a character in code page 1252 (fixed values)
 _LETTERS = np.r_[0xC0:0xD7, 0xD8:0xF7, 0xF8:0x100]
 #: Lines at the beginning of a file that tell its delimiter.
@@ -287,7 +287,7 @@ def _counts(lines: pa.Array) -> np.ndarray:
                     line.decode("utf-8")
                 except UnicodeDecodeError:
                     bad += 1
-    return np.array([len(lines), len(joined) + 1, high, bad, seen[0x80:].sum(), seen[0x80:0xA0].sum(), seen[_UNDEFINED].sum(), seen[_LETTERS].sum(), seen[0], 0, 0])
+    return np.array([len(lines), len(joined) + 1, high, bad, seen[0x80:].sum(), seen[0x80:0xA0].sum(), seen[_UNDEFINED].sum(), seen[_LETTERS].sum(), seen[ord('"')], seen[0], 0, 0])
 
 
 def byte_profiles(lines: DataFrame) -> DataFrame:

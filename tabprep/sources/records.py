@@ -39,6 +39,7 @@ class Dialect:
     member: str | None = None
     kind: str = "plain"
     confidence: float = 1.0
+    quotes: bool = True  # whether the file may hold any
 
 
 def ends_inside(line: str, delimiter: str, inside: bool) -> bool:
@@ -95,9 +96,15 @@ def _marked(dialects: dict[str, Dialect]):
 
 
 def records(lines: DataFrame, dialects: list[Dialect]) -> DataFrame:
-    """(path, start, at, record, is_first) of every record that is not blank, from raw lines (path, start, bytes) in file order
-    within their splits. One small row for each split reaches the driver."""
+    """(path, start, at, record) of every record that is not blank, from raw lines (path, start, bytes) in file order
+    within their splits. One small row for each split reaches the driver. Without any quotes every line is a record, and
+    Spark decodes the common encodings itself."""
     spark = lines.sparkSession
+    if not any(d.quotes for d in dialects) and {d.encoding for d in dialects} <= {"utf-8", "iso-8859-1"}:
+        text = F.make_valid_utf8(F.col("bytes").cast("string"))
+        if latin := [d.path for d in dialects if d.encoding != "utf-8"]:
+            text = F.when(F.col("path").isin(latin), F.decode(F.col("bytes"), "ISO-8859-1")).otherwise(text)
+        return _not_blank(lines.select("path", "start", F.lit(0).cast("long").alias("at"), text.alias("record")))
     known = {d.path: d for d in dialects}
     shared = spark.sparkContext.broadcast(known)
     marked = lines.mapInArrow(lambda batches: _marked(shared.value)(batches), _MARKED)
@@ -134,8 +141,12 @@ def records(lines: DataFrame, dialects: list[Dialect]) -> DataFrame:
     parts = parts.select("path", F.when(F.col("own").isNotNull(), F.col("start")).otherwise(F.col("from_start")).alias("s"), F.coalesce("own", "from_at").alias("a"), F.struct("start", "at", "line").alias("part"))
     long = parts.groupBy("path", "s", "a").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["line"]), "\n").alias("record"))
     every = whole.unionByName(long.select("path", F.col("s").alias("start"), F.col("a").alias("at"), "record"))
-    every = every.withColumn("record", F.regexp_replace("record", "\r$", ""))
-    return every.where(F.trim(F.translate("record", "\t\x0b\x0c\r", "    ")) != "")
+    return _not_blank(every)
+
+
+def _not_blank(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("record", F.when(F.endswith("record", F.lit("\r")), F.expr("substring(record, 1, char_length(record) - 1)")).otherwise(F.col("record")))
+    return rows.where(F.trim(F.translate("record", "\t\x0b\x0c\r", "    ")) != "")
 
 
 def _parsed(dialects: dict[str, Dialect]):
@@ -167,6 +178,8 @@ def fields(rows: DataFrame, dialects: list[Dialect]) -> DataFrame:
         some = plain if len(own) == len(dialects) else plain.join(F.broadcast(rows.sparkSession.createDataFrame([(p,) for p in own], "path string")), "path", "left_semi")
         some = some.withColumn("fields", F.split("record", "\\" + delimiter, -1))
         out = some if out is None else out.unionByName(some)
+    if not any(d.quotes for d in dialects):
+        return out
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", fields array<string>"
     return out.unionByName(rows.where(quoted).mapInArrow(lambda batches: _parsed(shared.value)(batches), schema))
 
