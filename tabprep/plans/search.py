@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.config import DEFAULT_SETTINGS, Settings
+from tabprep.operators import boosting as B
 from tabprep.operators import evaluate as X
 from tabprep.operators import learners as L
 from tabprep.session import cut_lineage
@@ -94,6 +95,8 @@ class Predictor:
             a = vector_to_array(features)
             wide = df.select("*", *[a[i].alias(n) for i, n in enumerate(self.model.features)])
             return self.model.transform(wide).withColumn("probability", self.model.probability()).drop(*self.model.features)
+        if self.kind == "adaboost" and classify:
+            return B.predict(self.model, self.classes, df, features)
         if self.kind == "adaboost":
             ensemble, classes = self.model
             if features != "features":
@@ -127,6 +130,8 @@ def fit_learner(lr, c: dict, rows: DataFrame, features: list[str], task: str, n:
         model = L.fit_gaussian_nb(rows.select("label", *[a[i].alias(x) for i, x in enumerate(names)]), names,
                                   var_smoothing=c.get("var_smoothing", 1e-9))
         classes = model.classes
+    elif lr.kind == "adaboost" and task == "classification":
+        model = B.search(rows.withColumn("__fold", F.lit(0)), [c], 0, classes, fold="__fold")[1]
     elif lr.kind == "adaboost":
         model = L.adaboost(rows, task, n_estimators=c.get("n_estimators", 50), learning_rate=c.get("learning_rate", 1.0))
         classes = model[1]
@@ -183,13 +188,17 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], task: s
     rows, models = [], {}
     for pos, lr in enumerate(regs):
         t0 = time.time()
-        best, note = {}, ""
+        best, note, model = {}, "", None
         try:
             try:
-                best = _search(lr, draw_candidates(lr.grid, s), tr, fold_col, features, task, s, n, sd, classes, parallelism)
+                if lr.kind == "adaboost" and task == "classification":  # search and final fit in one lock-step
+                    best, stumps = B.search(tr, draw_candidates(lr.grid, s), s.search_folds, classes, fold=fold_col)
+                    model = Predictor(lr.name, lr.kind, task, features, classes, stumps, best)
+                else:
+                    best = _search(lr, draw_candidates(lr.grid, s), tr, fold_col, features, task, s, n, sd, classes, parallelism)
             except Exception as e:  # noqa: BLE001 - the defaults are trained instead
                 note = f" (defaults: {type(e).__name__})"
-            model = fit_learner(lr, best, tr, features, task, n, sd, classes)
+            model = model or fit_learner(lr, best, tr, features, task, n, sd, classes)
             row = {"model": lr.name, "status": "ok", "position": pos, "params": str(best) + note}
             pte = model.score(te)
             row.update(_metrics(model.score(tr), task, "train"))

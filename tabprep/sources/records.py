@@ -193,13 +193,20 @@ def table(lines: DataFrame, dialects: list[Dialect], names: dict[str, list[str]]
     spark = lines.sparkSession
     columns = list(dict.fromkeys(n for d in dialects for n in names[d.path]))
     rows = fields(records(lines, dialects), dialects)
-    places = []
-    for d in dialects:
-        place = {n: i + 1 for i, n in enumerate(names[d.path])}
-        places.append((d.path, [place.get(c, 0) for c in columns], len(names[d.path]), [h.strip().lower() for h in d.header]))
-    known = spark.createDataFrame(places, "path string, places array<int>, width int, header array<string>")
-    rows = rows.join(F.broadcast(known), "path").where(F.size("fields") <= F.col("width"))  # a row a file
+    alike = len({(tuple(names[d.path]), d.header) for d in dialects}) == 1
+    tidy = lambda header: [h.strip().lower() for h in header]
+    if alike:  # nothing depends on the file
+        width, header = F.lit(len(columns)), F.array(*[F.lit(h) for h in tidy(dialects[0].header)]).cast("array<string>")
+        cell = lambda i: F.get("fields", F.lit(i))
+    else:
+        places = [(d.path, [names[d.path].index(c) if c in names[d.path] else -1 for c in columns], len(names[d.path]), tidy(d.header)) for d in dialects]
+        known = spark.createDataFrame(places, "path string, places array<int>, width int, header array<string>")
+        rows = rows.join(F.broadcast(known), "path")  # a row a file
+        width, header = F.col("width"), F.col("header")
+        cell = lambda i: F.get("fields", F.get("places", F.lit(i)))
+    rows = rows.where(F.size("fields") <= width)
     if not keep_headers:
-        rows = rows.where(F.transform("fields", lambda x: F.lower(F.trim(F.regexp_replace(x, "\ufeff", "")))) != F.col("header"))
-    at = lambda i: F.element_at("places", F.lit(i + 1))
-    return rows.select(*[F.when((at(i) > 0) & (at(i) <= F.size("fields")), F.get("fields", at(i) - 1)).alias(c) for i, c in enumerate(columns)])
+        plain = lambda x: F.lower(F.trim(F.translate(x, "\ufeff", "")))
+        first = plain(F.get("fields", F.lit(0))) == F.get(header, F.lit(0))
+        rows = rows.where(~(F.coalesce(first, F.lit(False)) & (F.transform("fields", plain) == header)))
+    return rows.select(*[cell(i).alias(c) for i, c in enumerate(columns)])
