@@ -24,6 +24,8 @@ from tabprep.session import ensure_checkpoint_dir
 
 #: Bins of a feature (as the library's trees have), rows of a chunk, and rounds between two writes of the weights.
 BINS, CHUNK, KEEP = 32, 20_000, 20
+#: Sums of all tasks that the driver adds up by itself, at most.
+DRIVER_BYTES = 16 << 20
 
 _CHUNKS = "bins binary, classes binary, folds binary, weights binary"
 
@@ -142,6 +144,8 @@ def lockstep(rows: DataFrame, runs: list[Run], rounds: int, classes: list[float]
     state = spark.read.schema(_CHUNKS).parquet(f"{folder}/0")
     latest: list[list[tuple[Stump, float]]] = [[] for _ in runs]
     shape = (len(runs), f, width, k)
+    # the tasks' sums are added up here if they take little, else in a second stage
+    few = state.rdd.getNumPartitions() * int(np.prod(shape)) * 8 < DRIVER_BYTES
     for m in range(rounds):
         if all(r.over for r in runs):
             break
@@ -158,9 +162,13 @@ def lockstep(rows: DataFrame, runs: list[Run], rounds: int, classes: list[float]
                 yield pa.RecordBatch.from_arrays([pa.array([out.ravel()], pa.list_(pa.float64()))], names=["sums"])
 
         sums = np.zeros(np.prod(shape))
-        parts = state.mapInArrow(add_up, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("v"))
-        for x in parts.collect():
-            sums[x.pos] = x.v
+        parts = state.mapInArrow(add_up, "sums array<double>")
+        if few:
+            for x in parts.toArrow().column("sums").to_pylist():
+                sums += x
+        else:
+            for x in parts.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("v")).collect():
+                sums[x.pos] = x.v
         for r, (run, weights) in enumerate(zip(runs, sums.reshape(shape), strict=True)):
             if run.over:
                 continue

@@ -87,35 +87,32 @@ def test_state_of_a_line(line, inside):
 CODECS = {"utf-8": "utf-8", "utf-8-sig": "utf-8-sig", "utf-16-le": "utf-16-le", "utf-16-be": "utf-16-be", "utf-16": "utf-16", "latin-1": "iso-8859-1", "cp1252": "cp1252", "ascii": "utf-8"}
 
 
-@pytest.mark.parametrize("codec", CODECS)
-@pytest.mark.parametrize("packed", [None, "gz", "gzip", "zip"])
-def test_encodings(spark, tmp_path, codec, packed):
-    word = {"ascii": "plain", "cp1252": "café €5 “x”"}.get(codec, "café über naïve")
-    text = "id;name;note\n" + "".join(f'{i};{word} {i};"a; b"\n' for i in range(300))
-    data = text.encode(codec)
-    if packed == "zip":
-        b = io.BytesIO()
-        with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("README", "read me\n")
-            z.writestr("data/table.CSV", data)
-            z.writestr("other.csv", "x,y\n")
-        put(tmp_path, "t.zip", b.getvalue())
-    elif packed:
-        put(tmp_path, "t.csv.gz" if packed == "gz" else "t.bin", gzip.compress(data))
-    else:
-        put(tmp_path, "t.csv", data)
-    want = {"utf-16": "utf-16-le"}.get(codec, CODECS[codec])
-    if want == "utf-8-sig" and packed in (None, "gz"):
-        want = "utf-8"  # the text source has taken the mark away
-    told = FS.detect_encoding(spark, str(tmp_path)).first()
-    assert told.encoding == want and 0.7 < told.confidence <= 1
+@pytest.mark.parametrize("packed", ["", "gz", "gzip", "zip"])
+def test_encodings(spark, tmp_path, packed):
+    """Every encoding in a file of its own, all read as one table."""
+    want, rows = {}, set()
+    for codec in CODECS:
+        word = {"ascii": "plain", "cp1252": "café €5 “x”"}.get(codec, "café über naïve")
+        data = ("codec;id;name;note\n" + "".join(f'{codec};{i};{word} {i};"a; b"\n' for i in range(200))).encode(codec)
+        rows |= {(codec, str(i), f"{word} {i}", "a; b") for i in range(200)}
+        if packed == "zip":
+            b = io.BytesIO()
+            with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("README", "read me\n")
+                z.writestr("data/table.CSV", data)
+                z.writestr("other.csv", "x,y\n")
+            data = b.getvalue()
+        elif packed:
+            data = gzip.compress(data)
+        put(tmp_path, codec + {"": ".csv", "gz": ".csv.gz", "gzip": ".bin", "zip": ".zip"}[packed], data)
+        want[codec] = {"utf-16": "utf-16-le"}.get(codec, CODECS[codec])
+    if packed in ("", "gz"):
+        want["utf-8-sig"] = "utf-8"  # the text source has taken the mark away
+    told = {os.path.basename(r.path).split(".")[0]: r for r in FS.detect_encoding(spark, str(tmp_path)).collect()}
+    assert {k: r.encoding for k, r in told.items()} == want and all(0.7 < r.confidence <= 1 for r in told.values())
     df, findings = FS.read_files(spark, str(tmp_path))
-    assert df.columns == ["id", "name", "note"] and rows_of(df) == rows_of_text(word)
-    assert not packed == "zip" or any(f[0] == "zip" and f[2] == "using data/table.CSV" for f in findings)
-
-
-def rows_of_text(word):
-    return sorted([(str(i), f"{word} {i}", "a; b") for i in range(300)], key=str)
+    assert df.columns == ["codec", "id", "name", "note"] and df.count() == len(rows) and set(map(tuple, df.collect())) == rows
+    assert packed != "zip" or sum(f[0] == "zip" and f[2] == "using data/table.CSV" for f in findings) == len(CODECS)
 
 
 def test_encoding_looks_at_whole_files(spark, tmp_path):
