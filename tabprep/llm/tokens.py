@@ -17,11 +17,12 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabprep.llm.bpe import PATTERN, encode_ordinary, encodings
 from tabprep.llm.words import slices
+from tabprep.session import cut_lineage
 
-#: Byte-level ranks of a public tokenizer, and the pattern that splits texts for it (fixed value).
+#: Byte-level ranks of a public tokenizer.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lengths of a histogram part that is summed by itself.
 PART = 1024
 _encoders: dict = {}
@@ -29,22 +30,27 @@ _encoders: dict = {}
 
 def encoder(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     """Of the rank file's content; one a worker."""
+    return _both(ranks, pattern)[0]
+
+
+def _both(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
     key = (hash(ranks), pattern)
     if key not in _encoders:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
-        _encoders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        _encoders[key] = encodings(table, pattern)
     return _encoders[key]
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_file: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """id and n_tokens of every row. Null and empty texts have none; whole texts are encoded."""
+    """id and n_tokens of every row. Null and empty texts have none; whole texts are encoded, long white space included.
+    A pattern of one's own splits white space before words as the given one does."""
     with open(ranks_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value, pattern).encode_ordinary
+        both = _both(shared.value, pattern)
         for batch in slices(batches, "text"):
-            n = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            n = [len(encode_ordinary(both, t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64())], names=["id", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -62,6 +68,7 @@ def histogram(encoded: DataFrame, length_col: str = "n_tokens") -> DataFrame:
     document's length over PART rows.
     """
     counts = encoded.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    counts = cut_lineage(counts)  # one row per length; the texts are encoded once
     counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("part", (F.col("n_tokens") / PART).cast("long"))
     after = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
     everything = Window.partitionBy()
