@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabprep.llm.words import slices
 
-#: Pages that train the potentials, at most.
+#: Different pages that train the potentials, at most.
 TRAINING_PAGES = 4000
 #: Prior counts of a named part being content or not.
 PRIOR = 200.0
@@ -68,6 +68,7 @@ class Page:
         self.tag, self.parent, self.pieces = ["#page"], [-1], []
         self.other, self.article = [False], [False]  # observed as another part; marked as article
         stack, at = [0], 0
+        self._open: Counter = Counter()  # elements on the stack by tag
         for m in _TAG.finditer(source):
             if m.start() < at:
                 continue
@@ -92,26 +93,35 @@ class Page:
                 at = end.end() if end else len(source)
             elif name not in VOID and not (m[3] or "").endswith("/"):
                 stack.append(len(self.tag) - 1)
+                self._open[name] += 1
             elif name in ("br", "hr"):
                 self.pieces.append((stack[-1], " "))
         if at < len(source):
             self.pieces.append((stack[-1], source[at:]))
 
     def _named(self, attributes: str) -> tuple[bool, bool]:
-        """Whether a class, id or role says another part, or article. The last word of each name counts."""
+        """Whether a class, id or role says another part (its first or last word: ad-slot, site-header), or else article."""
         other = article = False
         for m in _ATTRIBUTE.finditer(attributes):
             for name in (m[2] or m[3] or m[4] or "").lower().split():
                 words = _WORD.findall(name)
                 if words and not _RELATION & set(words):
-                    other |= words[-1] in NOT_CONTENT_WORDS
-                    article |= words[-1] in CONTENT_WORDS
+                    not_content = words[0] in NOT_CONTENT_WORDS or words[-1] in NOT_CONTENT_WORDS
+                    other |= not_content
+                    article |= words[-1] in CONTENT_WORDS and not not_content
         return other, article
 
+    def _drop(self, stack: list[int], i: int) -> None:
+        for e in stack[i:]:
+            self._open[self.tag[e]] -= 1
+        del stack[i:]
+
     def _close(self, stack: list[int], name: str) -> None:
+        if not self._open[name]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             if self.tag[stack[i]] == name:
-                del stack[i:]
+                self._drop(stack, i)
                 return
             if name not in BLOCKS and self.tag[stack[i]] in BLOCKS:
                 return
@@ -125,9 +135,11 @@ class Page:
 
     def _until(self, stack: list[int], ends, within) -> None:
         for i in range(len(stack) - 1, 0, -1):
+            if not any(self._open[e] for e in ends):
+                return
             tag = self.tag[stack[i]]
             if tag in ends:
-                del stack[i:]
+                self._drop(stack, i)
                 if tag == "p" or len(ends) == 1:
                     return
             elif tag in within:
@@ -137,13 +149,15 @@ class Page:
         """Of every element. Text counts as the element's own up to the next block."""
         n = len(self.tag)
         size, linked = [0] * n, [0] * n
+        block, link = list(range(n)), [False] * n  # the block that holds an element's text, and whether a link lies between
+        for i in range(1, n):
+            if self.tag[i] not in BLOCKS:
+                block[i] = block[self.parent[i]]
+                link[i] = link[self.parent[i]] or self.tag[i] == "a"
         for e, text in self.pieces:
-            length, link = len(text.strip()), False
-            while e > 0 and self.tag[e] not in BLOCKS:
-                link |= self.tag[e] == "a"
-                e = self.parent[e]
-            size[e] += length
-            linked[e] += length * link
+            length = len(text.strip())
+            size[block[e]] += length
+            linked[block[e]] += length * link[e]
         out = []
         for i in range(n):
             own = []
@@ -254,7 +268,10 @@ def train(pages: DataFrame, html_col: str = "html") -> Potentials:
 
     source = F.col(html_col).cast("string")
     some = pages.select(source.alias("html")).where("html rlike '(?i)<(article|main)[ >]'")
-    some = some.select(F.xxhash64("html").alias("h"), "html").orderBy("h").limit(TRAINING_PAGES).select("html").repartition(16)
+    # hashes alone are ordered; their pages are fetched by a join
+    some = some.select(F.xxhash64("html").alias("h"), "html")
+    chosen = some.select("h").distinct().orderBy("h").limit(TRAINING_PAGES)
+    some = some.join(F.broadcast(chosen), "h", "left_semi").select("html")
     rows = some.mapInArrow(run, "name string, n double").groupBy("name").agg(F.sum("n").alias("n"))
     # names are tags and a few buckets; a page can make up tags, so only those seen more than once count
     return Potentials(Counter({r.name: r.n for r in rows.where("n > 1").orderBy(F.desc("n")).limit(20_000).collect()}))
@@ -269,11 +286,12 @@ def extract(pages: DataFrame, html_col: str = "html", model: Potentials | None =
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or train(pages, html_col))
     keep = [c for c in pages.columns if c not in ("text", "n_chars", "sure")]
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).cast("string").alias("__html"))
+    whole = "_".join(["html", *keep])  # no other column's name
+    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).cast("string").alias(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__html"):
-            done = [main_text(x or "", shared.value) for x in batch.column("__html").to_pylist()]
+        for batch in slices(batches, whole):
+            done = [main_text(x or "", shared.value) for x in batch.column(whole).to_pylist()]
             arrays = [*batch.columns[:-1], pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([s for _, s in done], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "text", "n_chars", "sure"])
 
