@@ -43,9 +43,10 @@ def rank_within(df: DataFrame, group: str, order: list[str], out: str = "_rank",
         offs.append((r["_pid"], r[group], base - r["s"]))
         acc[r[group]] = base + r["c"]
     gtype = df.schema[group].dataType.simpleString()
-    off = spark.createDataFrame(offs, f"_pid int, {group} {gtype}, _shift long")
-    return keyed.join(F.broadcast(off), ["_pid", group], "left") \
-                .withColumn(out, F.col("_local") + F.col("_shift")).drop("_pid", "_local", "_shift")
+    off = spark.createDataFrame(offs, f"_opid int, _ogroup {gtype}, _shift long")
+    same = (F.col("_pid") == F.col("_opid")) & F.col(group).eqNullSafe(F.col("_ogroup"))  # null is a group like others
+    return keyed.join(F.broadcast(off), same, "left") \
+                .withColumn(out, F.col("_local") + F.col("_shift")).drop("_pid", "_local", "_shift", "_opid", "_ogroup")
 
 
 def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool = False,

@@ -63,7 +63,7 @@ def train_test_split(df: DataFrame, key: Column, label: str | None = None, s: Se
                      method: str = "hash") -> DataFrame:
     """M3: adds ``is_test``. ``hash``: bucket < 100·test_size (no shuffle).
     ``exact``: per class the ceil(test_size·n_class) rows with the smallest hash
-    (stratified when every class has ≥ 2 rows, else over all rows)."""
+    (stratified when every class has ≥ 2 rows, else over all rows); a null label is a class."""
     pct = int(round(s.test_size * 100))
     h = df.withColumn("_h", row_hash(key, s.seed))
     if method == "hash":
@@ -76,8 +76,8 @@ def train_test_split(df: DataFrame, key: Column, label: str | None = None, s: Se
         stratify = False
     h = h.withColumn(group, qcol(label).cast("string") if stratify else F.lit("all"))
     ranked = rank_within(h, group, ["_h"])
-    sizes = ranked.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    out = ranked.join(F.broadcast(sizes), group)
+    sizes = ranked.groupBy(F.col(group).alias("_size_of")).agg(F.count(F.lit(1)).alias("_n"))
+    out = ranked.join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("_size_of"))).drop("_size_of")
     return out.withColumn("is_test", F.col("_rank") < F.expr(f"(_n * {pct} + 99) div 100")) \
               .drop("_h", group, "_rank", "_n")
 
@@ -85,7 +85,7 @@ def train_test_split(df: DataFrame, key: Column, label: str | None = None, s: Se
 def fold_ids(df: DataFrame, key: Column, label: str | None = None, k: int = 3, seed: int = 42,
              method: str = "hash") -> DataFrame:
     """M4/M5: ``fold`` in [0, k). ``hash``: an independent hash bucket (no shuffle).
-    ``stratified``: position within the class by hash, modulo k (round robin)."""
+    ``stratified``: position within the class by hash, modulo k (round robin); a null label is a class."""
     h = df.withColumn("_h", row_hash(key, seed))
     if method == "hash":
         return h.withColumn("fold", hash_bucket(F.col("_h"), 9, k).cast("int")).drop("_h")

@@ -129,3 +129,12 @@ def test_knn_with_text_classes(spark):
     got = L.knn_predict(df, df, "id", "v", "label", k=3, block_rows=7, shares=True).collect()
     assert len(got) == 40
     assert all(r["prediction"] == ("low" if r["id"] < 20 else "high") for r in got if r["id"] not in (19, 20))
+
+
+def test_split_and_folds_keep_null_labels(spark):
+    from tabprep.operators import split as M
+    rows = spark.range(100).select("id", F.when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 2).cast("string")).alias("label"))
+    found = M.train_test_split(rows, F.col("id"), "label", method="exact").groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_test").alias("test")).collect()
+    assert {r.label: (r.n, r.test) for r in found} == {None: (20, 4), "0": (40, 8), "1": (40, 8)}
+    folds = M.fold_ids(rows, F.col("id"), "label", k=4, method="stratified").groupBy("label", "fold").count().collect()
+    assert {(r.label, r.fold): r["count"] for r in folds} == {(c, f): n for c, n in ((None, 5), ("0", 10), ("1", 10)) for f in range(4)}
