@@ -60,9 +60,13 @@ def _solvable(learner, features: list[str]):
     return learner
 
 
+_OWN = ("prediction", "probability", "rawPrediction")
+
+
 class Predictor:
     """Any trained learner. ``transform`` adds ``prediction`` to a table with the feature columns and, in
-    classification, ``probability`` (an array in the order of ``classes``; null for the linear SVM, which has none)."""
+    classification, ``probability`` (an array in the order of ``classes``; null for the linear SVM, which has none); columns of
+    these names, and ``rawPrediction``, are replaced."""
 
     def __init__(self, name: str, kind: str, task: str, features: list[str], classes: list[float], model, params: dict,
                  train: DataFrame | None = None):
@@ -70,8 +74,9 @@ class Predictor:
         self.classes, self.model, self.params, self.train = classes, model, params, train
 
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = VectorAssembler(inputCols=self.features, outputCol="__features", handleInvalid="keep").transform(df)
-        return self.score(rows, "__features").select(*df.columns, "prediction", *(["probability"] if self.task == "classification" else []))
+        keep = [c for c in df.columns if c not in _OWN]  # what an earlier learner added is replaced
+        rows = VectorAssembler(inputCols=self.features, outputCol="__features", handleInvalid="keep").transform(df.select(*[F.col(f"`{c}`") for c in keep]))
+        return self.score(rows, "__features").select(*[F.col(f"`{c}`") for c in keep], "prediction", *(["probability"] if self.task == "classification" else []))
 
     def score(self, df: DataFrame, features: str = "features") -> DataFrame:
         """df, which holds assembled features, with prediction and probability."""
