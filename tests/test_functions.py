@@ -27,6 +27,25 @@ def test_exact_quantiles_empty_column(spark):
     assert q["a"][0.5] == 1.5 and q["b"][0.5] is None
 
 
+def test_exact_quantiles_of_any_doubles(spark):
+    """Sizes from denormals to near the largest double, both zeros, NaN, infinities, neighbours that differ in the last bit."""
+    rng = np.random.default_rng(3)
+    wide = rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000)
+    near = 1.0 + np.arange(3000) * 2.0 ** -52
+    odd = np.concatenate([np.full(900, -np.inf), [0.0, -0.0, 5e-324, -5e-324, 1e-310, np.nan, np.inf], rng.normal(size=93), np.full(2000, 1e308)])
+    pdf = pd.DataFrame({"wide.x": wide, "near": rng.permutation(near), "odd": odd, "k": rng.integers(-40, 40, 3000)})
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.01, 0.1, 0.3, 0.31, 0.32, 0.33, 0.5, 0.9, 0.999, 1.0]
+    got = exact_quantiles(df, list(pdf.columns), probs)
+    for c in pdf.columns:
+        values = np.sort(pdf[c].dropna().to_numpy(float))
+        for p in probs:
+            at = p * (len(values) - 1)
+            a, b = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            want = a if a == b else a + (b - a) * (at - int(at))
+            assert got[c][p] == want or np.isnan(want) and np.isnan(got[c][p]), (c, p, got[c][p], want)
+
+
 def test_rank_within_and_running_sums(spark):
     pdf = pd.DataFrame({"g": ["x"] * 50 + ["y"] * 7, "k": list(range(57))})
     df = spark.createDataFrame(pdf)
