@@ -8,6 +8,8 @@ map task, not a third of the shuffle.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def distinct_counts(freq: DataFrame) -> DataFrame:
         F.sum("n").cast("long").alias("n_non_null"))
 
 
+def count_distinct_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, n_distinct, n_non_null) as ``distinct_counts`` of the frequency table, without it: columns of one type are
+    unpivoted together in that type, so that no number or date is written out as text. A column without values has no row."""
+    by_type: dict[str, list[str]] = {}
+    for c in cols:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    parts = [df.select(*[qcol(c) for c in same]).unpivot([], [qcol(c) for c in same], "column", "value").where("value is not null")
+             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_distinct"), F.sum("n").cast("long").alias("n_non_null"))
+             for same in by_type.values()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def top_values(freq: DataFrame, k: int) -> DataFrame:
     """(column, value, n, rank): k most frequent values per column, ties → smaller value.
 

@@ -68,20 +68,19 @@ def _locate(column: int, buckets: np.ndarray, ranks: dict[int, int], values: dic
     return [_Open(column, float(buckets[at][1]), float(buckets[at][2]), some) for at, some in left.items()]
 
 
-def _parts_of(rows: DataFrame, some: list[_Open]) -> DataFrame:
+def _parts_of(long: DataFrame, some: list[_Open]) -> DataFrame:
     """(open, bucket, value) of the rows inside the open ranges; a column's ranges don't overlap."""
-    by_column: dict[int, list[tuple[int, _Open]]] = defaultdict(list)
-    for i, o in enumerate(some):
-        by_column[o.column].append((i, o))
-    found = []
-    for column, ranges in by_column.items():
-        x, which, bucket = F.col(str(column)), F.lit(None).cast("int"), F.lit(None).cast("long")
-        for i, o in ranges:
-            inside = (x >= F.lit(o.lo)) & (x <= F.lit(o.hi))
-            which = F.when(inside, F.lit(i)).otherwise(which)
-            bucket = F.when(inside, F.floor((x - F.lit(o.lo)) / F.lit(o.hi - o.lo) * F.lit(float(BUCKETS)))).otherwise(bucket)
-        found.append(F.when(which.isNotNull(), F.struct(which.alias("open"), bucket.alias("bucket"), x.alias("value"))))
-    return rows.select(F.inline(F.array_compact(F.array(*found))))
+    x, own = F.col("value"), F.col("column")
+    which, lo, step = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("double")
+    for column in sorted({o.column for o in some}, reverse=True):
+        inner = [F.lit(None).cast(t) for t in ("int", "double", "double")]
+        for i, o in enumerate(some):
+            if o.column == column:
+                inside = (x >= F.lit(o.lo)) & (x <= F.lit(o.hi))
+                inner = [F.when(inside, F.lit(v)).otherwise(e) for v, e in zip((i, o.lo, o.hi - o.lo), inner, strict=True)]
+        which, lo, step = (F.when(own == str(column), e).otherwise(rest) for e, rest in zip(inner, (which, lo, step), strict=True))
+    told = long.select("value", which.alias("open"), lo.alias("lo"), step.alias("step")).where("open is not null")
+    return told.select("open", F.floor((x - F.col("lo")) / F.col("step") * F.lit(float(BUCKETS))).alias("bucket"), "value")
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
@@ -108,7 +107,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                 plan[column].append((p, low, min(low + 1, n - 1), p * (n - 1) - low))
             some += _locate(column, buckets, {r: r for _, a, b, _ in plan[column] for r in (a, b)}, values)
         while some:
-            parts = _counted(_parts_of(rows, some), "open")
+            parts = _counted(_parts_of(long, some), "open")
             some = [o for i, old in enumerate(some) for o in _locate(old.column, parts[i,], old.ranks, values)]
     finally:
         rows.unpersist()

@@ -10,8 +10,6 @@ the bounds inlined as literals.
 
 from __future__ import annotations
 
-import functools
-import itertools
 import math
 from dataclasses import dataclass
 
@@ -23,7 +21,8 @@ from tabprep.config import DEFAULT_SETTINGS, ID_KEYWORDS, Settings
 from tabprep.functions.exprs import (
     missing_is_null,     FLOAT_TYPES, datetime_columns, in_bool_infer_set, is_numeric_type, numeric_columns,
     parses_as_datetime, parses_as_number, qcol, string_columns)
-from tabprep.functions.freq import column_stats, distinct_counts, frequency_table, mode_values, top_values
+from tabprep.functions.freq import column_stats, count_distinct_values, distinct_counts, frequency_table, mode_values, top_values
+from tabprep.functions.gram import pair_correlations
 from tabprep.functions.quantile import quantiles
 from tabprep.operators._long import one_row_long
 
@@ -142,11 +141,10 @@ def semantic_types(df: DataFrame, freq: DataFrame | None = None) -> DataFrame:
 def cardinality(df: DataFrame, freq: DataFrame | None = None, n_rows: int | None = None) -> DataFrame:
     """(column, n_distinct, ratio) — distinct non-null values over all rows, ratio rounded 4
     (unrounded kept as ``ratio_raw`` for the rules)."""
-    freq = freq if freq is not None else frequency_table(df, df.columns)
     n_rows = n_rows if n_rows is not None else df.count()
     names = df.sparkSession.createDataFrame(
         [(c, dtype_group(df.schema[c].dataType)) for c in df.columns], "column string, dtype_group string")
-    dc = distinct_counts(freq).select("column", "n_distinct")
+    dc = (distinct_counts(freq) if freq is not None else count_distinct_values(df, df.columns)).select("column", "n_distinct")
     raw = (F.col("n_distinct") / F.lit(n_rows)) if n_rows else F.lit(0.0)
     return (names.join(dc, "column", "left")
             .withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)).cast("long"))
@@ -265,26 +263,19 @@ def string_summary(df: DataFrame, freq: DataFrame | None = None, k: int = 10) ->
     return summary, top_values(freq, k)
 
 
-PAIRS_PER_SCAN = 2000
-
-
 @missing_is_null
 def correlations(df: DataFrame, cols: list[str] | None = None, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
-    """Pairwise-complete Pearson r for every pair i < j of numeric columns, PAIRS_PER_SCAN
-    pairs in one aggregate; empty for fewer than 2 columns."""
+    """Pairwise-complete Pearson r for every pair i < j of numeric columns, all of them in one scan; null for a pair
+    without two values that differ. Empty for fewer than 2 columns."""
     cols = numeric_columns(df) if cols is None else cols
     schema = "feature1 string, feature2 string, r double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    pairs = list(itertools.combinations(cols, 2))
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        some = pairs[start:start + PAIRS_PER_SCAN]
-        row = df.agg(*[F.corr(qcol(a).cast("double"), qcol(b).cast("double")).alias(f"r{k}") for k, (a, b) in enumerate(some)])
-        structs = [F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"r{k}").alias("r"))
-                   for k, (a, b) in enumerate(some)]
-        parts.append(row.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*"))
-    return functools.reduce(DataFrame.unionByName, parts).withColumn("r", F.when(F.isnan("r"), None).otherwise(F.col("r")))
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("i")) \
+              .select("i", F.explode(F.expr(f"filter(sequence(0, {len(cols) - 1}), x -> x > i)")).alias("j"))
+    return pairs.join(pair_correlations(df, cols), ["i", "j"], "left") \
+                .select(F.get(names, F.col("i")).alias("feature1"), F.get(names, F.col("j")).alias("feature2"), "r")
 
 
 def high_correlations(corr: DataFrame, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
@@ -387,10 +378,14 @@ def findings(df: DataFrame, target: str | None = None, s: Settings = DEFAULT_SET
         df.unpersist()
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """A result of a row or a few for each column, computed once for all rules that read it."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def _findings(df: DataFrame, target: str | None, s: Settings, outlier_method: str) -> DataFrame:
     n_rows = df.count()
-    freq = frequency_table(df, df.columns).persist()
-    card = cardinality(df, freq, n_rows)
+    card = _held(cardinality(df, n_rows=n_rows))
     miss = missing(df)
     parts = [
         missing_flags(miss, s).select(F.lit("missing").alias("rule"), "column", "severity",
@@ -413,7 +408,7 @@ def _findings(df: DataFrame, target: str | None, s: Settings, outlier_method: st
     num = numeric_columns(df)
     if num:
         fit = fit_numeric(df, num, (0.25, 0.75), method=outlier_method)
-        parts.append(outlier_rules(outliers(df, s, fit, num)).select(
+        parts.append(outlier_rules(_held(outliers(df, s, fit, num))).select(
             "rule", "column", F.lit("warning").alias("severity"), F.col("measured").cast("double")))
         if len(num) >= 2:
             hc = high_correlations(correlations(df, num, s), s)
@@ -426,7 +421,7 @@ def _findings(df: DataFrame, target: str | None, s: Settings, outlier_method: st
             F.lit("target_missing").alias("rule"), F.col("target").alias("column"),
             F.lit("critical").alias("severity"), F.col("n_missing").cast("double").alias("measured")))
         if infer_task(df, target, s=s) == "classification":
-            bal = class_balance(class_distribution(df, target), s)
+            bal = _held(class_balance(class_distribution(df, target), s))
             parts.append(bal.where(~F.col("is_balanced")).select(
                 F.lit("imbalanced").alias("rule"), F.lit(target).alias("column"),
                 F.lit("warning").alias("severity"), F.col("ratio").cast("double").alias("measured")))

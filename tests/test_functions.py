@@ -2,6 +2,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tabprep.functions.freq import count_distinct_values
+from tabprep.functions.gram import pair_correlations
 from tabprep.functions.quantile import exact_quantiles
 from tabprep.functions.rank import rank_within, running_sums
 from tabprep.functions.lookup import dense_index
@@ -61,3 +63,35 @@ def test_dense_index(spark):
     vals = spark.createDataFrame([("c", v) for v in ["b", "a", "d", "c"]] + [("z", "q")], "column string, value string")
     got = {(r["column"], r["value"]): r["idx"] for r in dense_index(vals).collect()}
     assert got == {("c", "a"): 0, ("c", "b"): 1, ("c", "c"): 2, ("c", "d"): 3, ("z", "q"): 0}
+
+
+def test_distinct_counts_without_text(spark):
+    df = spark.createDataFrame([(1, 1.5, "a", None), (1, float("nan"), "b", None), (2, 1.5, None, None)], "k int, `x.y` double, s string, e date")
+    got = {(r["column"], r["n_distinct"], r["n_non_null"]) for r in count_distinct_values(df, ["k", "s", "e"]).collect()}
+    assert got == {("k", 2, 3), ("s", 2, 2)}
+
+
+def test_correlations_of_many_columns(spark):
+    """Nulls by pair, constants, an infinity, a column far from zero, against pandas."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 90)) @ (rng.normal(size=(90, 90)) * (rng.random((90, 90)) < 0.1))
+    pdf = pd.DataFrame(x, columns=[f"c.{i}" for i in range(90)])
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.2)
+    pdf["far"] = 1e9 + rng.normal(size=400)
+    pdf["flat"], pdf["none"] = 0.1, np.nan
+    pdf["late"] = np.where(np.arange(400) < 200, np.nan, 7.3)
+    pdf["early"] = np.where(np.arange(400) < 200, rng.normal(size=400), np.where(np.arange(400) < 300, 0.7, np.nan))
+    df = spark.createDataFrame(pdf).repartition(7)
+    got = {(r.i, r.j): (r.n, r.r) for r in pair_correlations(df, list(pdf.columns)).collect()}
+    want = pdf.corr().to_numpy()
+    known = pdf.notna().to_numpy().astype(int)
+    both = known.T @ known
+    for i in range(pdf.shape[1]):
+        for j in range(i + 1, pdf.shape[1]):
+            n, r = got.get((i, j), (0, None))
+            assert n == both[i, j]
+            assert (r is None) if np.isnan(want[i, j]) or {pdf.columns[i], pdf.columns[j]} & {"late", "flat"} else abs(r - want[i, j]) < 1e-7, (i, j, r)
+    huge = spark.createDataFrame([(1.0, 2.0, 1.0), (float("inf"), 3.0, None), (2.0, 5.0, 2.0)], "a double, b double, c double")
+    got = {(r.i, r.j): r.r for r in pair_correlations(huge, ["a", "b", "c"]).collect()}
+    assert got[0, 1] is None and abs(got[0, 2] - 1) < 1e-12 and abs(got[1, 2] - 1) < 1e-12
+    assert pair_correlations(huge.limit(0), ["a", "b"]).count() == 0
