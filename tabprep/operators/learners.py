@@ -4,8 +4,8 @@ Library learners are ``pyspark.ml`` estimators with the regulariser mapped so th
 optimum equals the reproduced objective; learners Spark lacks are plain
 DataFrame jobs: baselines (one aggregate), Gaussian naive Bayes (one grouped
 aggregate + a literal log-likelihood projection), exact k nearest neighbours
-(broadcast train blocks of checked size + Arrow batches in ``mapInPandas``;
-only k candidates per test row and block leave a task), AdaBoost (a driver loop
+(cells around pivots with triangle-inequality bounds; only k candidates per test
+row and block leave a task), AdaBoost (a driver loop
 of weighted depth-limited trees with re-weighting as column expressions).
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprep.functions.exprs import qcol
+from tabprep.session import cut_lineage
 
 # --------------------------------------------------------------------------- baselines
 
@@ -127,6 +128,22 @@ def fit_gaussian_nb(train: DataFrame, features: list[str], label: str = "label",
 # --------------------------------------------------------------------------- k nearest neighbours
 
 KNN_BLOCK_BYTES = 16 * 1024 * 1024
+#: Cells of the train rows at most; what is known of a cell (pivot, rows, radii) is sent to all tasks.
+KNN_PIVOTS = 1024
+#: Cells of the rows that take no part in distances: train rows with a NaN, and the first train rows by key for test rows with one.
+_ODD, _FIRST = -1, -2
+
+
+def _distances(Q: np.ndarray, X: np.ndarray, metric: str):
+    """(start, distances to all of X) of runs of rows of Q, a bounded number at a time."""
+    step = max(1, int(4e6 // max(1, X.size)))
+    for at in range(0, len(Q), step):
+        diff = Q[at:at + step, None, :] - X[None, :, :]
+        yield at, np.abs(diff).sum(axis=2) if metric == "manhattan" else np.sqrt((diff ** 2).sum(axis=2))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(a, dtype=np.float64) for a in column])
 
 
 def _nearest(k: int, metric: str, key: str, vec: str):
@@ -134,46 +151,141 @@ def _nearest(k: int, metric: str, key: str, vec: str):
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
             return pd.DataFrame({key: q[key][:0], "_tid": t["_tid"][:0], "_d": np.zeros(0), "_y": t["_y"][:0]})
-        Q, X = (np.stack([np.asarray(a, dtype=np.float64) for a in f[vec]]) for f in (q, t))
         place = np.unique(t["_tid"].to_numpy(), return_inverse=True)[1]
         kk, out = min(k, len(t)), []
-        step = max(1, int(4e6 // max(1, X.size)))
-        for at in range(0, len(Q), step):
-            diff = Q[at:at + step, None, :] - X[None, :, :]
-            D = np.abs(diff).sum(axis=2) if metric == "manhattan" else np.sqrt((diff ** 2).sum(axis=2))
+        for at, D in _distances(_matrix(q[vec]), _matrix(t[vec]), metric):
             order = np.lexsort((np.broadcast_to(place, D.shape), D), axis=1)[:, :kk]
             near = t.iloc[order.ravel()]
-            out.append(pd.DataFrame({key: np.repeat(q[key].to_numpy()[at:at + step], kk), "_tid": near["_tid"].to_numpy(),
+            out.append(pd.DataFrame({key: np.repeat(q[key].to_numpy()[at:at + len(D)], kk), "_tid": near["_tid"].to_numpy(),
                                      "_d": np.take_along_axis(D, order, axis=1).ravel(), "_y": near["_y"].to_numpy()}))
         return pd.concat(out)
     return run
 
 
-def knn_predict(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5,
-                weights: str = "uniform", metric: str = "euclidean", task: str = "classification",
-                block_rows: int | None = None, shares: bool = False) -> DataFrame:
-    """Exact kNN. Both sides are cut into blocks of rows of bounded size by a hash of the
-    key; each pair of a test and a train block is one task that yields k candidates per test row;
-    the final k come from a per-test-row window that sees k × blocks rows. Neighbour ties break on
-    the train key; vote ties on the smallest class. Returns (key, prediction), with ``shares`` also a
-    map of class to its share of the votes; keys and classes keep their types."""
+def _to_cells(pivots: np.ndarray, metric: str, vec: str):
+    """Train rows with the cell of their nearest pivot and the distance from it."""
+    def run(frames):
+        for f in frames:
+            cell, far = np.full(len(f), _ODD), np.zeros(len(f))
+            X = _matrix(f[vec]) if len(f) else np.zeros((0, pivots.shape[1]))
+            for at, D in _distances(X, pivots, metric):
+                known = ~np.isnan(D).any(axis=1)
+                cell[at:at + len(D)] = np.where(known, np.argmin(D, axis=1), _ODD)
+                far[at:at + len(D)] = np.where(known, D.min(axis=1), 0.0)
+            yield f.assign(_cell=cell, _far=far)
+    return run
+
+
+def _routes(pivots: np.ndarray, rows: np.ndarray, least: np.ndarray, most: np.ndarray, k: int, metric: str, vec: str, again: bool):
+    """Test rows once for each cell to visit: at first the cells of the nearest pivots that hold k rows together; ``again``:
+    the other cells that can hold a row at most _reach away, by the triangle inequality.
+
+    Of a cell with pivot p, a row x at d(x, p) between least and most, which is not nearer to q's own pivot o, is at least
+    d(q, p) - most, least - d(q, p), and (d(q, p) - d(q, o)) / 2 away from q; for Euclid the last is the distance of the
+    plane between p and o. What rounding may have changed is granted."""
+    between = np.concatenate([D for _, D in _distances(pivots, pivots, metric)])
+
+    def run(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            place, cell = [], []
+            for at, D in _distances(_matrix(f[vec]), pivots, metric):
+                odd = np.isnan(D).any(axis=1)
+                order = np.argsort(D, axis=1, kind="stable")
+                before = np.cumsum(rows[order], axis=1) - rows[order]
+                visit = np.zeros(D.shape, bool)
+                np.put_along_axis(visit, order, before < k, axis=1)
+                if again:
+                    own = order[:, :1]
+                    d_own = np.take_along_axis(D, own, axis=1)
+                    if metric == "manhattan":
+                        beyond = (D - d_own) / 2
+                    else:
+                        apart = between[own[:, 0]]
+                        beyond = np.divide(D * D - d_own * d_own, 2 * apart, out=np.zeros(D.shape), where=apart > 0)
+                    bound = np.maximum(np.maximum(D - most, least - D), beyond)
+                    reach = f["_reach"].to_numpy(float)[at:at + len(D), None]  # NaN: all cells were visited
+                    visit = ~visit & (bound <= reach + 1e-9 * (reach + D + most))
+                visit &= (rows > 0) & ~odd[:, None]
+                r, c = np.nonzero(visit)
+                place.append(r + at)
+                cell.append(c)
+                if not again:
+                    for some, where in ((np.flatnonzero(odd), _FIRST), (np.flatnonzero(~odd & (rows.sum() < k)), _ODD)):
+                        place.append(some + at)
+                        cell.append(np.full(len(some), where))
+            out = f.iloc[np.concatenate(place)].drop(columns="_reach", errors="ignore")
+            yield out.assign(_cell=np.concatenate(cell).astype(np.int32))
+    return run
+
+
+def knn_neighbours(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5, metric: str = "euclidean",
+                   block_rows: int | None = None) -> DataFrame:
+    """(key, _tid, _d, _y, _r): the k nearest train rows of each test row, ties by the smaller train key; exact.
+
+    Train rows belong to the cell of the nearest of up to KNN_PIVOTS train rows. A test row first visits the nearest cells,
+    which bounds the distance of its k-th neighbour, and then only those cells that can hold a row within it. Cells are cut
+    into blocks of bounded size on both sides, by a hash of the key, so that copies of one vector don't meet in one task; a
+    pair of blocks is one task and yields k rows for each test row. A train set of one block is one cell.
+
+    A distance from or to a vector with a NaN is NaN and comes last, ties by the train key."""
+    spark = train.sparkSession
     tr = train.select(qcol(key).alias("_tid"), qcol(vec).alias(vec), qcol(label).alias("_y"))
+    te = test.select(key, vec)
     n_train, dim = tr.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
-    if not n_train:
-        return test.select(key, F.lit(None).cast(train.schema[label].dataType).alias("prediction"))
     per_block = block_rows or max(1, KNN_BLOCK_BYTES // max(1, (dim or 1) * 8 + 16))
-    n_t, n_q = max(1, math.ceil(n_train / per_block)), max(1, math.ceil(test.count() / per_block))
-    left = test.select(key, vec, F.pmod(F.xxhash64(qcol(key)), F.lit(n_q)).alias("_qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("_tb"))
-    right = tr.select("*", F.pmod(F.xxhash64("_tid"), F.lit(n_t)).cast("int").alias("_tb"),
-                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("_qb"))
+    blocks = max(1, math.ceil(n_train / per_block))
     schema = T.StructType([test.schema[key], T.StructField("_tid", train.schema[key].dataType),
                            T.StructField("_d", T.DoubleType()), T.StructField("_y", train.schema[label].dataType)])
-    cands = left.groupBy("_qb", "_tb").cogroup(right.groupBy("_qb", "_tb")).applyInPandas(_nearest(k, metric, key, vec), schema)
-    w = Window.partitionBy(key).orderBy("_d", "_tid")
-    top = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    nearest = Window.partitionBy(key).orderBy("_d", "_tid")
+
+    def visited(routed: DataFrame, placed: DataFrame, rows: dict[int, int]) -> DataFrame:
+        """The k nearest in each cell that a test row is routed to."""
+        asked = {r["_cell"]: r["count"] for r in routed.groupBy("_cell").count().collect()}  # one row a cell
+        sizes = F.broadcast(spark.createDataFrame([(c, math.ceil(rows.get(c, 0) / per_block), math.ceil(n / per_block)) for c, n in asked.items() if rows.get(c)],
+                                                  "_cell int, _nt int, _nq int"))
+        left = routed.join(sizes, "_cell").select(key, vec, "_cell", F.expr(f"pmod(xxhash64(`{key}`), _nq)").cast("int").alias("_qb"),
+                                                  F.explode(F.expr("sequence(0, _nt - 1)")).alias("_tb"))
+        right = placed.join(sizes, "_cell").select("_tid", vec, "_y", "_cell", F.expr("pmod(xxhash64(_tid), _nt)").cast("int").alias("_tb"),
+                                                   F.explode(F.expr("sequence(0, _nq - 1)")).alias("_qb"))
+        pair = ["_cell", "_qb", "_tb"]
+        found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(_nearest(k, metric, key, vec), schema)
+        found = found.withColumn("_d", F.coalesce("_d", F.lit(float("nan"))))  # pandas hands NaN over as null, which would come first
+        return found.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
+
+    pivots = np.zeros((0, dim or 1))
+    if blocks > 1:
+        known = tr.where(~F.exists(vec, lambda x: x.isNull() | F.isnan(x)))
+        some = known.orderBy(F.xxhash64("_tid"), "_tid").limit(min(KNN_PIVOTS, 4 * blocks)).select(vec).collect()
+        pivots = np.unique(np.array([r[0] for r in some], float).reshape(len(some), dim), axis=0)
+    if len(pivots) < 2:
+        one = F.lit(0).alias("_cell")
+        return visited(te.select("*", one), tr.select("*", one), {0: n_train})
+    fields = [*tr.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_far", T.DoubleType())]
+    placed = tr.mapInPandas(_to_cells(pivots, metric, vec), T.StructType(fields))
+    rows, least, most = np.zeros((3, len(pivots)))
+    held = {_FIRST: min(k, n_train)}
+    for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_far").alias("a"), F.max("_far").alias("b")).collect():
+        held[r["_cell"]] = r["n"]
+        if r["_cell"] >= 0:
+            rows[r["_cell"]], least[r["_cell"]], most[r["_cell"]] = r["n"], r["a"], r["b"]
+    first_rows = tr.orderBy("_tid").limit(k).select("*", F.lit(_FIRST).alias("_cell"), F.lit(0.0).alias("_far"))
+    routed_schema = T.StructType([*te.schema.fields, T.StructField("_cell", T.IntegerType())])
+
+    def routes(rows_in: DataFrame, again: bool) -> DataFrame:
+        return rows_in.mapInPandas(_routes(pivots, rows, least, most, k, metric, vec, again), routed_schema)
+
+    first = cut_lineage(visited(routes(te, False), placed.unionByName(first_rows), held))
+    reach = first.where(F.col("_r") == k).select(key, F.col("_d").alias("_reach"))
+    more = visited(routes(te.join(reach, key), True), placed, held)
+    return first.drop("_r").unionByName(more.drop("_r")).withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
+
+
+def knn_vote(near: DataFrame, key: str, k: int, weights: str = "uniform", task: str = "classification", shares: bool = False) -> DataFrame:
+    """(key, prediction) from the first k neighbours of a table of ``knn_neighbours``, which may hold more."""
     wt = F.lit(1.0) if weights == "uniform" else F.when(F.col("_d") == 0, F.lit(1e300)).otherwise(1.0 / F.col("_d"))
-    top = top.withColumn("_w", wt)
+    top = near.where(F.col("_r") <= k).withColumn("_w", wt)
     if task == "classification":
         votes = top.groupBy(key, "_y").agg(F.sum("_w").alias("_v"))
         wv = Window.partitionBy(key).orderBy(F.col("_v").desc(), F.col("_y").asc())
@@ -187,6 +299,17 @@ def knn_predict(train: DataFrame, test: DataFrame, key: str, vec: str, label: st
     return top.groupBy(key).agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("prediction"))
 
 
+def knn_predict(train: DataFrame, test: DataFrame, key: str, vec: str, label: str, k: int = 5,
+                weights: str = "uniform", metric: str = "euclidean", task: str = "classification",
+                block_rows: int | None = None, shares: bool = False) -> DataFrame:
+    """Exact kNN by cells (``knn_neighbours``). Neighbour ties break on the train key; vote ties on the smallest class.
+    Returns (key, prediction), with ``shares`` also a map of class to its share of the votes; keys and classes keep their
+    types. Without train rows every prediction is null."""
+    if train.isEmpty():
+        return test.select(key, F.lit(None).cast(train.schema[label].dataType).alias("prediction"))
+    return knn_vote(knn_neighbours(train, test, key, vec, label, k, metric, block_rows), key, k, weights, task, shares)
+
+
 # --------------------------------------------------------------------------- AdaBoost
 
 
@@ -196,7 +319,6 @@ def adaboost(train: DataFrame, task: str, n_estimators: int = 50, learning_rate:
     (regression, depth-3 trees). Sample weights live in a column; each round is one
     weighted tree fit plus one aggregate; lineage is cut every few rounds with a
     reliable checkpoint. Returns a list of (weight, tree model) and the class list."""
-    from tabprep.session import cut_lineage
     df = train.select(features, label).withColumn("_w", F.lit(1.0))
     n = df.count()
     df = df.withColumn("_w", F.lit(1.0 / n))

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import itertools
 import random
+import threading
 import time
+import uuid
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -20,6 +22,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tabprep.config import DEFAULT_SETTINGS, Settings
 from tabprep.operators import boosting as B
@@ -163,6 +166,8 @@ def _search(lr, cands: list[dict], tr: DataFrame, fold_col: str, features: list[
             maps.append({base.getParam(p.name): v for p, v in e.extractParamMap().items() if e.isSet(p) and base.hasParam(p.name)})
         scores = CrossValidator(estimator=base, estimatorParamMaps=maps, evaluator=evaluator, numFolds=s.search_folds,
                                 foldCol=fold_col, parallelism=parallelism).fit(tr).avgMetrics
+    elif lr.kind == "knn":
+        scores = _knn_scores(cands, tr, fold_col, task, s, parallelism)
     else:
         def score(run: tuple[dict, int]) -> float:
             c, f = run
@@ -170,17 +175,69 @@ def _search(lr, cands: list[dict], tr: DataFrame, fold_col: str, features: list[
             return X.accuracy(pred).first()[0] if task == "classification" else X.regression_metrics(pred).first()["r2"]
 
         with ThreadPool(parallelism) as pool:  # candidates are trained concurrently, as CrossValidator does
-            got = pool.map(score, [(c, f) for c in cands for f in range(s.search_folds)])
+            got = pool.map(inheritable_thread_target(tr.sparkSession)(score), [(c, f) for c in cands for f in range(s.search_folds)])
         scores = [sum(got[i * s.search_folds:(i + 1) * s.search_folds]) for i in range(len(cands))]
     return cands[max(range(len(cands)), key=lambda i: scores[i])]
 
 
+def _knn_scores(cands: list[dict], tr: DataFrame, fold_col: str, task: str, s: Settings, parallelism: int) -> list[float]:
+    """Each candidate's score summed over the folds: one run of the largest k for each fold and metric answers all."""
+    rows = cut_lineage(tr.select("label", fold_col, vector_to_array("features").alias("__vec")).withColumn("__id", F.monotonically_increasing_id()))
+    totals = [0.0] * len(cands)
+    for metric in sorted({c.get("metric", "euclidean") for c in cands}):
+        some = [i for i, c in enumerate(cands) if c.get("metric", "euclidean") == metric]
+        for f in range(s.search_folds):
+            held = rows.where(F.col(fold_col) == f)
+            near = L.knn_neighbours(rows.where(F.col(fold_col) != f), held, "__id", "__vec", "label", max(cands[i].get("k", 5) for i in some), metric).persist()
+            near.count()
+
+            def score(i: int) -> float:
+                pred = held.join(L.knn_vote(near, "__id", cands[i].get("k", 5), cands[i].get("weights", "uniform"), task), "__id")
+                return X.accuracy(pred).first()[0] if task == "classification" else X.regression_metrics(pred).first()["r2"]
+
+            with ThreadPool(parallelism) as pool:
+                for i, x in zip(some, pool.map(inheritable_thread_target(tr.sparkSession)(score), some), strict=True):
+                    totals[i] += x
+            near.unpersist()
+    return totals
+
+
+class TimeLimit:
+    """A block whose Spark jobs, those of its threads included, are cancelled after ``seconds``; ``check`` raises from then on."""
+
+    def __init__(self, spark, seconds: float):
+        self.sc, self.seconds, self.tag = spark.sparkContext, seconds, f"tabprep-{uuid.uuid4().hex}"
+        self.over, self.left = False, threading.Event()
+
+    def _watch(self) -> None:
+        wait = self.seconds
+        while not self.left.wait(wait):  # jobs that a loop starts later are cancelled too
+            self.over, wait = True, 0.5
+            self.sc.cancelJobsWithTag(self.tag)
+
+    def check(self) -> None:
+        if self.over:
+            raise TimeoutError(f"more than {self.seconds} seconds")
+
+    def __enter__(self) -> TimeLimit:
+        self.sc.addJobTag(self.tag)
+        self.thread = threading.Thread(target=self._watch, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.left.set()
+        self.thread.join()
+        self.sc.removeJobTag(self.tag)
+
+
 def train_models(train: DataFrame, test: DataFrame, features: list[str], task: str, s: Settings = DEFAULT_SETTINGS,
                  fast_only: bool = True, learners: list[str] | None = None, fold_col: str = "fold",
                  parallelism: int = 4) -> tuple[DataFrame, dict[str, Predictor]]:
     """M8: returns (results DataFrame, a Predictor for each trained learner). ``train`` carries
     ``features`` columns, ``label`` and ``fold``; ``test`` carries features and label. A search that
-    fails (a fold without rows) falls back to the learner's defaults; a learner that fails is a row."""
+    fails (a fold without rows) falls back to the learner's defaults; a learner that fails is a row. One that takes more than
+    ``max_training_seconds`` is stopped, its jobs cancelled, and is a ``timeout`` row without metrics or a model."""
     spark = train.sparkSession
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     tr = asm.transform(train).select("features", F.col("label").cast("double").alias("label"), fold_col).persist()
@@ -194,28 +251,33 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], task: s
     for pos, lr in enumerate(regs):
         t0 = time.time()
         best, note, model = {}, "", None
-        try:
+        with TimeLimit(spark, s.max_training_seconds) as limit:
             try:
-                if lr.kind == "adaboost" and task == "classification":  # search and final fit in one lock-step
-                    best, stumps = B.search(tr, draw_candidates(lr.grid, s), s.search_folds, classes, fold=fold_col)
-                    model = Predictor(lr.name, lr.kind, task, features, classes, stumps, best)
-                else:
-                    best = _search(lr, draw_candidates(lr.grid, s), tr, fold_col, features, task, s, n, sd, classes, parallelism)
-            except Exception as e:  # noqa: BLE001 - the defaults are trained instead
-                note = f" (defaults: {type(e).__name__})"
-            model = model or fit_learner(lr, best, tr, features, task, n, sd, classes)
-            row = {"model": lr.name, "status": "ok", "position": pos, "params": str(best) + note}
-            pte = model.score(te)
-            row.update(_metrics(model.score(tr), task, "train"))
-            row.update(_metrics(pte, task, "test"))
-            if classes == [0.0, 1.0] and len(model.classes) == 2:
-                row["test_roc_auc"] = X.roc_auc(pte.where("probability is not null").withColumn("score", F.col("probability")[1])).first()[0]
-            models[lr.name] = model
-        except Exception as e:  # noqa: BLE001 - a failing learner becomes a row
-            row = {"model": lr.name, "status": "failed", "position": pos, "params": f"{type(e).__name__}: {e}"[:200]}
+                try:
+                    if lr.kind == "adaboost" and task == "classification":  # search and final fit in one lock-step
+                        best, stumps = B.search(tr, draw_candidates(lr.grid, s), s.search_folds, classes, fold=fold_col)
+                        model = Predictor(lr.name, lr.kind, task, features, classes, stumps, best)
+                    else:
+                        best = _search(lr, draw_candidates(lr.grid, s), tr, fold_col, features, task, s, n, sd, classes, parallelism)
+                except Exception as e:  # noqa: BLE001 - the defaults are trained instead
+                    limit.check()
+                    note = f" (defaults: {type(e).__name__})"
+                limit.check()
+                model = model or fit_learner(lr, best, tr, features, task, n, sd, classes)
+                limit.check()
+                row = {"model": lr.name, "status": "ok", "position": pos, "params": str(best) + note}
+                pte = model.score(te)
+                row.update(_metrics(model.score(tr), task, "train"))
+                limit.check()
+                row.update(_metrics(pte, task, "test"))
+                if classes == [0.0, 1.0] and len(model.classes) == 2:
+                    row["test_roc_auc"] = X.roc_auc(pte.where("probability is not null").withColumn("score", F.col("probability")[1])).first()[0]
+                limit.check()
+                models[lr.name] = model
+            except Exception as e:  # noqa: BLE001 - a failing learner becomes a row
+                row = {"model": lr.name, "status": "timeout" if limit.over else "failed", "position": pos,
+                       "params": f"more than {s.max_training_seconds} seconds" if limit.over else f"{type(e).__name__}: {e}"}
         row["seconds"] = round(time.time() - t0, 3)
-        if row["seconds"] > s.max_training_seconds and row["status"] == "ok":
-            row["status"] = "timeout"
         rows.append(row)
     keys = ["train_accuracy", "train_precision", "train_recall", "train_f1", "test_accuracy", "test_precision",
             "test_recall", "test_f1", "test_roc_auc"] if task == "classification" else \

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -70,6 +71,60 @@ def test_knn_matches_brute_force_across_blocks(spark):
         assert got[i] == float(np.argmax(votes))
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_knn_neighbours_over_cells(spark, metric):
+    """Clusters, copies of one vector, ties, NaN on both sides, equal to a full scan."""
+    rng = np.random.default_rng(8)
+    X = np.concatenate([rng.normal(size=(150, 3)) + 40 * rng.integers(0, 3, (150, 1)), np.full((80, 3), 2.0), rng.integers(0, 3, (60, 3)).astype(float)])
+    X[5, 1] = X[200, 0] = X[260, 2] = np.nan
+    test_ids = set(range(0, 290, 6)) | {5, 201}
+    df = spark.createDataFrame([(i, [float(x) for x in v], i % 4) for i, v in enumerate(X)], "id long, v array<double>, label int")
+    is_test = F.col("id").isin(*test_ids)
+    train, test = df.where(~is_test), df.where(is_test)
+    ids = [i for i in range(290) if i not in test_ids]
+    got = {}
+    for k, block in ((7, 11), (239 + 3, 40)):
+        for r in L.knn_neighbours(train, test, "id", "v", "label", k=k, metric=metric, block_rows=block).collect():
+            got.setdefault((k, r.id), []).append((r._r, r._tid, r._d, r._y))
+        for q in test_ids:
+            d = np.abs(X[ids] - X[q]).sum(axis=1) if metric == "manhattan" else np.sqrt(((X[ids] - X[q]) ** 2).sum(axis=1))
+            want = [ids[j] for j in np.lexsort((ids, d))[:k]]
+            assert [t for _, t, _, _ in sorted(got[k, q])] == want, (metric, k, q)
+
+
+def test_knn_routes_leave_far_cells_out():
+    pivots = np.array([[0.0, 0.0], [100.0, 0.0], [0.0, 100.0]])
+    rows, least, most = np.array([50.0, 50.0, 50.0]), np.zeros(3), np.full(3, 5.0)
+    test = pd.DataFrame({"id": [1, 2], "v": [[1.0, 1.0], [52.0, 0.0]]})
+    first = pd.concat(L._routes(pivots, rows, least, most, 5, "euclidean", "v", False)([test]))
+    assert sorted(zip(first.id, first._cell)) == [(1, 0), (2, 1)]
+    more = pd.concat(L._routes(pivots, rows, least, most, 5, "euclidean", "v", True)([test.assign(_reach=[3.0, 60.0])]))
+    assert sorted(zip(more.id, more._cell)) == [(2, 0)]
+
+
+def test_slow_learner_is_stopped(spark, monkeypatch):
+    """A learner past its limit is a row without a model, its jobs end, and the others go on."""
+    import dataclasses
+    import time
+    from tabprep.config import DEFAULT_SETTINGS
+    from tabprep.plans import search as SE
+    df = spark.range(120).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 3).cast("int").alias("fold"))
+    plain = SE._search
+
+    def slow(lr, *rest):
+        if lr.name == "decision_tree":
+            spark.range(8, numPartitions=8).mapInPandas(lambda frames: (time.sleep(120) or f for f in frames), "id long").count()
+        return plain(lr, *rest)
+
+    monkeypatch.setattr(SE, "_search", slow)
+    t = time.time()
+    board, models = SE.train_models(df, df, ["x"], "classification", dataclasses.replace(DEFAULT_SETTINGS, max_training_seconds=25), learners=["dummy", "decision_tree", "naive_bayes"])
+    got = {r.model: r for r in board.collect()}
+    assert time.time() - t < 100
+    assert got["decision_tree"].status == "timeout" and got["decision_tree"].test_accuracy is None and "decision_tree" not in models
+    assert got["dummy"].status == got["naive_bayes"].status == "ok" and {"dummy", "naive_bayes"} <= set(models)
+
+
 def test_adaboost_runs_and_predicts(spark):
     from pyspark.ml.feature import VectorAssembler
     df = spark.range(300).withColumn("x", (F.col("id") % 17).cast("double")) \
