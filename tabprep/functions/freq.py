@@ -21,7 +21,7 @@ def long_form(df: DataFrame, cols: list[str], value_type: str = "string",
     """(ids..., column, value) with one row per cell of ``cols``."""
     ids = ids or []
     proj = [qcol(i) for i in ids] + [qcol(c).cast(value_type).alias(c) for c in cols]
-    out = df.select(*proj).unpivot(ids, cols, "column", "value")
+    out = df.select(*proj).unpivot([qcol(i) for i in ids], [qcol(c) for c in cols], "column", "value")
     if not keep_nulls:
         out = out.where(F.col("value").isNotNull())
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tabprep.config import DEFAULT_SETTINGS
 from tabprep.functions.exprs import is_numeric_type, numeric_columns, parses_as_number, qcol, string_columns, strip_ws
 from tabprep.functions.freq import column_stats, distinct_counts, frequency_table, mode_values
+from tabprep.functions.heavy import frequent_values
 from tabprep.functions.quantile import quantiles
 from tabprep.operators._long import one_row_long
 from tabprep.operators.base import TabEstimator, TabModel
@@ -215,14 +216,10 @@ class RareCategoryCollapser(TabEstimator):
         cols = string_columns(df)
         if not cols:
             return RareCategoryModel(state={"keep": {}, "collapse": []}, options=self.opts)
-        freq = frequency_table(df, cols)
-        tot = freq.groupBy("column").agg(F.sum("n").alias("tot"))
-        share = freq.join(F.broadcast(tot), "column")  # one row per column
-        share = share.withColumn("share", F.col("n") / F.col("tot"))
-        flags = share.groupBy("column").agg(
-            F.collect_list(F.when(F.col("share") >= self.opts["threshold"], F.col("value"))).alias("keep"),
-            F.count_if(F.col("share") < self.opts["threshold"]).alias("n_rare")).collect()
-        keep = {r["column"]: sorted(r["keep"]) for r in flags if r["n_rare"] > 0}
+        often, totals = frequent_values(df, cols, self.opts["threshold"])
+        rows = often.collect()
+        held = {c: [r for r in rows if r["column"] == c] for c in cols}
+        keep = {c: sorted(r["value"] for r in held[c]) for c in cols if sum(r["n"] for r in held[c]) < totals[c]}
         return RareCategoryModel(state={"keep": keep}, options=self.opts)
 
 

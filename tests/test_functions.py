@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabprep.functions.freq import count_distinct_values
 from tabprep.functions.gram import pair_correlations
+from tabprep.functions.heavy import frequent_values
 from tabprep.functions.quantile import exact_quantiles
 from tabprep.functions.rank import rank_within, running_sums
 from tabprep.functions.lookup import dense_index
@@ -95,3 +96,17 @@ def test_correlations_of_many_columns(spark):
     got = {(r.i, r.j): r.r for r in pair_correlations(huge, ["a", "b", "c"]).collect()}
     assert got[0, 1] is None and abs(got[0, 2] - 1) < 1e-12 and abs(got[1, 2] - 1) < 1e-12
     assert pair_correlations(huge.limit(0), ["a", "b"]).count() == 0
+
+
+def test_frequent_values_equal_a_full_count(spark):
+    """Shares above, at and below the line among thousands of single values, over many tasks and both merges."""
+    rng = np.random.default_rng(6)
+    a = ["hot"] * 2000 + ["line"] * 60 + ["below"] * 59 + [f"u{i}" for i in range(6000 - 2119)]
+    b = [f"v{i}" for i in rng.zipf(1.3, 6000) % 5000]
+    pdf = pd.DataFrame({"a.x": rng.permutation(a), "b": b, "c": [None] * 6000, "d": ["one"] * 6000})
+    pdf.loc[::3, "b"] = None
+    df = spark.createDataFrame(pdf, "`a.x` string, b string, c string, d string").repartition(300)
+    found, totals = frequent_values(df, list(pdf.columns), 0.01)
+    want = {(c, v, n) for c in pdf.columns for v, n in pdf[c].value_counts().items() if n / pdf[c].count() >= 0.01}
+    assert {tuple(r) for r in found.collect()} == want and ("a.x", "line", 60) in want
+    assert totals == {c: int(pdf[c].count()) for c in pdf.columns}
