@@ -2,8 +2,9 @@
 
 A text with its spaces as piece spaces (U+2581) is a lattice: pieces of the
 vocabulary are edges between byte positions, and characters without a piece of
-their own go by byte pieces. No piece spans the start of a space, so that the
-lattice splits there into segments that can be scored one by one.
+their own go by byte pieces. Of this model's pieces none spans the start of a run of spaces, so that
+the lattice splits there into segments (the spaces and the word after them)
+that can be scored one by one; of a model with other pieces it doesn't split.
 
 Forward Viterbi scores all distinct segments of a batch at once. They are exact
 heuristics for an A-star search from the end of the lattice backwards, which
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +40,10 @@ SPACE = "\u2581".encode()
 LITERAL, CUT = b"\xff\xfd\xfb", b"\xfe"
 IS_CUT = np.arange(256) == CUT[0]
 SLOTS = 1 << 19
-#: Segments that a worker remembers, over its tasks, before it starts anew (some 30 MB), and bytes of text at once.
-REMEMBERED, AT_ONCE = 300_000, 1 << 20
+#: Segments that a worker remembers, over its tasks, before it starts anew (some 20 MB), and bytes of text at once.
+REMEMBERED, AT_ONCE = 200_000, 1 << 19
+#: Bytes of new segments that are solved at once; longer segments than LONG go one by one, WINDOW bytes of lattice at a time.
+SOLVED, LONG, WINDOW = 1 << 17, 1 << 11, 1 << 14
 _memory: dict = {}
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,6 +60,8 @@ class Vocabulary:
     slot_id: np.ndarray  # -1: only the beginning of a piece
     slot_more: np.ndarray  # whether a longer piece begins so
     newline_alone: bool
+    spaces_lead: bool  # whether all pieces have their spaces in front
+    longest: int  # bytes of the longest piece
 
 
 def _step(h, byte):
@@ -65,8 +71,8 @@ def _step(h, byte):
 
 
 def load(model_file: str = MODEL) -> Vocabulary:
-    """Of a SentencePiece model with byte pieces. Left out are pieces that the model never gives (control pieces and
-    scores below -1e8) and those with a space after their first character."""
+    """Of a SentencePiece model with byte pieces. Only control, unknown and unused pieces are left out, which stand for no
+    text. Runs of spaces are pieces of lowest rank: their merges come last."""
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     n = sp.get_piece_size()
     score, byte, decoded, pieces = np.full(n, -np.log(n + 2.0) - 5.0), np.zeros(256, np.int32), [b""] * n, {}
@@ -77,9 +83,8 @@ def load(model_file: str = MODEL) -> Vocabulary:
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             own = sp.id_to_piece(i).encode()
             decoded[i] = own.replace(SPACE, b" ")
-            if SPACE not in own[1:] and (sp.get_score(i) > -1e8 or own == SPACE):
-                pieces[own] = i
-                score[i] = -np.log(2.0 + min(n, -sp.get_score(i)))
+            pieces[own] = i
+            score[i] = -np.log(2.0 + min(n, -sp.get_score(i)))
     for literal, real in zip(LITERAL, SPACE, strict=True):
         byte[literal] = byte[real]
     begins: dict[bytes, bool] = {}
@@ -96,7 +101,8 @@ def load(model_file: str = MODEL) -> Vocabulary:
             while slots[1][at] != -2:
                 at = (at + 1) & (SLOTS - 1)
             slots[0][at], slots[1][at], slots[2][at] = h, pieces.get(p, -1), more
-    return Vocabulary(pieces, decoded, score, byte, *slots, all(b"\n" not in p for p in pieces))
+    return Vocabulary(pieces, decoded, score, byte, *slots, all(b"\n" not in p for p in pieces),
+                      all(SPACE not in p[p.count(SPACE) * len(SPACE) :] and p.startswith(SPACE * p.count(SPACE)) for p in pieces), max(map(len, pieces)))
 
 
 def _find(v: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,18 +194,58 @@ def solve(v: Vocabulary, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
 
 
 class Ends:
-    """The edges that end at each byte place of a long segment, kept as arrays."""
+    """The edges that end at each byte place of a long segment, of one window of places at a time."""
 
     def __init__(self, v: Vocabulary, segment: bytes):
-        frm, to, self.piece = edges(v, np.frombuffer(segment, np.uint8), np.full(len(segment), len(segment)))
-        order = np.argsort(to, kind="stable")
-        self.frm, self.piece, self.score = frm[order].astype(np.int32), self.piece[order], v.score
-        self.cuts = np.searchsorted(to[order], np.arange(len(segment) + 2))
+        self.v, self.raw, self.lo, self.hi = v, np.frombuffer(segment, np.uint8), 0, 0
+
+    def _open(self, place: int) -> None:
+        """The window of ``place``: its edges begin there or at most a piece before, at the first byte of a character."""
+        self.lo = place // WINDOW * WINDOW
+        self.hi = self.lo + WINDOW
+        begin = max(0, self.lo - self.v.longest - 4)
+        while begin and self.raw[begin] & 0xC0 == 0x80:
+            begin -= 1
+        end = min(len(self.raw), self.hi)
+        while end < len(self.raw) and self.raw[end] & 0xC0 == 0x80:
+            end += 1
+        raw = self.raw[begin:end]
+        frm, to, piece = edges(self.v, raw, np.full(len(raw), len(raw)))
+        frm, to = frm + begin, to + begin
+        own = (to >= self.lo) & (to < self.hi)
+        frm, to, piece = frm[own], to[own], piece[own]
+        order = np.lexsort((frm, to))
+        self.edges = list(zip(frm[order].tolist(), piece[order].tolist(), self.v.score[piece[order]].tolist(), strict=True))
+        self.cuts = np.searchsorted(to[order], np.arange(self.lo, self.hi + 1)).tolist()
 
     def __getitem__(self, place: int) -> list[tuple[int, int, float]]:
-        lo, hi = self.cuts[place], self.cuts[place + 1]
-        piece = self.piece[lo:hi]
-        return list(zip(self.frm[lo:hi].tolist(), piece.tolist(), self.score[piece].tolist(), strict=True))
+        if not self.lo <= place < self.hi:
+            self._open(place)
+        return self.edges[self.cuts[place - self.lo] : self.cuts[place - self.lo + 1]]
+
+
+def solve_long(v: Vocabulary, segment: bytes) -> tuple[np.ndarray, int, float, float]:
+    """What ``solve`` gives for one segment, place by place: memory is a few numbers a byte."""
+    ends, n = Ends(v, segment), len(segment)
+    first, second = array("d", [-math.inf]) * (n + 1), array("d", [-math.inf]) * (n + 1)
+    back, via = array("q", [-1]) * (n + 1), array("q", [-1]) * (n + 1)
+    first[0] = 0.0
+    for k in range(1, n + 1):
+        top = next_best = -math.inf
+        place = piece = -1
+        for a, p, w in ends[k]:  # from the longest piece on
+            value = first[a] + w
+            if value > top:
+                next_best, top, place, piece, after = max(top, next_best), value, a, p, second[a] + w
+            elif value > next_best:
+                next_best = value
+        if place >= 0:
+            first[k], second[k], back[k], via[k] = top, max(next_best, after), place, piece
+    ids, at = [], n
+    while at:
+        ids.append(via[at])
+        at = back[at]
+    return np.array(ids[::-1], np.int32), len(ids), first[n], max(first[n] - second[n], 0.0)
 
 
 def lattice(v: Vocabulary, segment: bytes) -> list[list[tuple[int, int, float]]] | Ends:
@@ -263,7 +309,9 @@ def lattice_bytes(v: Vocabulary, text: str) -> bytes:
     """A text's lattice with CUT before every segment: a space in front of the text, and no piece passes a CUT."""
     if not text:
         return b""
-    raw = (SPACE + text.encode("utf-8", "surrogatepass").replace(SPACE, LITERAL).replace(b" ", SPACE)).replace(SPACE, CUT + SPACE)
+    raw = SPACE + text.encode("utf-8", "surrogatepass").replace(SPACE, LITERAL).replace(b" ", SPACE)
+    if v.spaces_lead:
+        raw = raw.replace(SPACE, CUT + SPACE).replace(SPACE + CUT, SPACE)
     return raw.replace(b"\n", CUT + b"\n" + CUT).replace(CUT + CUT, CUT) if v.newline_alone else raw
 
 
@@ -289,31 +337,71 @@ class Solved:
         number[known] = self.number[at[known]]
         new = first[~known]
         if len(new):
-            size = words.end[new] - words.start[new]
-            got = solve(self.v, words.raw[ragged(words.start[new], size)], size)
             number[~known] = len(self.count) + np.arange(len(new))
-            self.ids, self.count, self.score, self.gap = (np.concatenate(x) for x in zip((self.ids, self.count, self.score, self.gap), got, strict=True))
+            got = [(self.ids, self.count, self.score, self.gap), *self._solve(words, new)]
+            self.ids, self.count, self.score, self.gap = (np.concatenate(x) for x in zip(*got, strict=True))
             at = np.searchsorted(self.keys, keys[~known])
             self.keys, self.number = np.insert(self.keys, at, keys[~known]), np.insert(self.number, at, number[~known])
         return number[back]
 
+    def _solve(self, words: Words, new: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        size = words.end[new] - words.start[new]
+        lo = 0
+        while lo < len(new):
+            if size[lo] > LONG:
+                ids, count, score, gap = solve_long(self.v, words.raw[words.start[new[lo]] : words.end[new[lo]]].tobytes())
+                yield ids, np.array([count]), np.array([score]), np.array([gap])
+                lo += 1
+                continue
+            total = np.cumsum(size[lo : lo + SOLVED])
+            stop = np.flatnonzero((size[lo : lo + SOLVED] > LONG) | (total > SOLVED))
+            hi = lo + (int(stop[0]) if len(stop) else len(total))
+            yield solve(self.v, words.raw[ragged(words.start[new[lo:hi]], size[lo:hi])], size[lo:hi])
+            lo = hi
+
 
 _ENCODED = "id long, ids array<int>, n_pieces long, scores array<double>, second array<int>, text_sha256 string"
 
 
-def encode(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL) -> DataFrame:
+def _own_pieces(size: np.ndarray, bytes_of: list[int], path: list[int]) -> list[list[int]]:
+    """The pieces of a path through several segments, by segment."""
+    out, at = [], 0
+    for n in size.tolist():
+        begin = at
+        while n > 0:
+            n -= bytes_of[path[at]]
+            at += 1
+        out.append(path[begin:at])
+    return out
+
+
+def _whole_path(ids: np.ndarray, at: np.ndarray, near: list[int], instead: list[list[int]]) -> np.ndarray:
+    """The best path with other pieces in some segments; at: where the pieces of each segment begin (one more at the end)."""
+    parts, done = [], 0
+    for j, own in zip(near, instead, strict=True):
+        parts += [ids[done : at[j]], np.array(own, np.int32)]
+        done = at[j + 1]
+    return np.concatenate([*parts, ids[done:]])
+
+
+def encode(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, paths: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ids (pieces of the best path), n_pieces, scores (log probabilities of the n best
     paths, fewer if there are fewer, best first), second (pieces of the second-best path where it differs: the whole
-    segments), text_sha256.
+    segments), text_sha256; with ``paths`` also paths (all pieces of each of the n best paths, in the order of scores).
 
     A null text has null ids, no scores and a null digest; an empty one no pieces and the one score 0. Whole texts are
     segmented, whatever their length; equal paths are ordered by their pieces from the end. Repeated rows are rows of
     their own; an empty table gives an empty result; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model_file))
+    schema = _ENCODED + (", paths array<array<int>>" if paths else "")
+    names_out = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, alternatives = shared.value, {}
+        bytes_of = [1] * len(v.decoded)
+        for p, i in v.pieces.items():
+            bytes_of[i] = len(p)
         for batch in slices(batches, "text", AT_ONCE):
             if (solved := _memory.get(model_file)) is None or len(solved.keys) > REMEMBERED:
                 solved = _memory[model_file] = Solved(v)
@@ -326,12 +414,14 @@ def encode(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str =
             ids = solved.ids[ragged(starts[place], solved.count[place])]
             pieces = np.concatenate([[0], np.cumsum(solved.count[place])])[words.first]
             gap, score = solved.gap[place], solved.score[place]
-            scores, second = [], []
+            scores, second, every = [], [], []
+            ends = np.concatenate([[0], np.cumsum(solved.count[place])])
             for i, text in enumerate(texts):
                 lo, hi = int(words.first[i]), int(words.first[i + 1])
                 if text is None or lo == hi:
                     scores.append([] if text is None else [0.0])
                     second.append(None)
+                    every.append([] if text is None else [[]])
                     continue
                 own = gap[lo:hi]
                 near = np.arange(hi - lo)
@@ -347,14 +437,21 @@ def encode(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str =
                 total = float(score[lo:hi].sum())
                 scores.append([total + s - found[0][0] for s, _ in found])
                 second.append(found[1][1] if len(found) > 1 else None)
+                if paths:
+                    best, size = ids[ends[lo] : ends[hi]], words.end[near] - words.start[near]
+                    every.append([best, *[_whole_path(best, ends[lo : hi + 1] - ends[lo], (near - lo).tolist(), _own_pieces(size, bytes_of, p)) for _, p in found[1:]]])
             gone = np.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(pieces.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(gone)) if gone.any() else pa.ListArray.from_arrays(pa.array(pieces.astype(np.int32)), pa.array(ids, pa.int32()))
             shas = [None if t is None else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(np.diff(pieces)), pa.array(scores, pa.list_(pa.float64())), pa.array(second, pa.list_(pa.int32())), pa.array(shas, pa.string())],
-                                             names=["id", "ids", "n_pieces", "scores", "second", "text_sha256"])
+            columns = [batch.column("id"), lists, pa.array(np.diff(pieces)), pa.array(scores, pa.list_(pa.float64())), pa.array(second, pa.list_(pa.int32())), pa.array(shas, pa.string())]
+            if paths:
+                flat = [p for one in every for p in one]
+                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *flat]), pa.int32()))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, every)]), pa.int32()), inner))
+            yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _ENCODED)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL) -> DataFrame:

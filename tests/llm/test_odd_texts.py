@@ -1,6 +1,11 @@
 """Very long words and pages, and columns whose names look like an operator's own."""
 import tracemalloc
 
+import math
+
+import numpy as np
+import sentencepiece
+
 from tabprep.llm import html, pieces
 
 
@@ -25,6 +30,40 @@ def test_long_word_round_trip(spark, make_docs):
     assert back == dict(rows)
 
 
+def test_runs_of_spaces_are_pieces():
+    """The model's own segmentation has pieces of several spaces, wherever no letter follows them."""
+    v, sp = pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for text in ("the     ", "the \n            \n", "a" + " " * 16):
+        segments = pieces.segments_of(v, text)
+        ids = pieces.solve(v, np.frombuffer(b"".join(segments), np.uint8), np.array([len(s) for s in segments]))[0]
+        assert ids.tolist() == sp.encode(text)
+
+
+def test_long_segments_are_solved_alike():
+    v = pieces.load()
+    rng = np.random.default_rng(5)
+    for letters in ("abe in", "theré日", "\u2581 x"):
+        segment = pieces.SPACE + "".join(rng.choice(list(letters), 30_000)).encode().replace(pieces.SPACE, pieces.LITERAL).replace(b" ", pieces.SPACE)
+        ids, count, score, gap = pieces.solve(v, np.frombuffer(segment, np.uint8), np.array([len(segment)]))
+        long = pieces.solve_long(v, segment)
+        assert long[0].tolist() == ids.tolist() and long[1] == count[0] and math.isclose(long[2], score[0]) and math.isclose(long[3], gap[0], abs_tol=1e-9)
+
+
+def test_all_paths_come_out(spark, make_docs):
+    """Each of the n paths is a segmentation of the text, has its score, and is another one."""
+    v = pieces.load()
+    rows = [(1, "the cat   sat"), (2, ""), (3, None), (4, "naïve—   \n x " * 40), (5, "ab1c" * 2000), (6, "x")]
+    text = dict(rows)
+    for r in pieces.encode(make_docs(rows), paths=True).collect():
+        if text[r.id] is None:
+            assert r.paths == [] and r.ids is None
+            continue
+        assert len(r.paths) == len(r.scores) and r.paths[0] == r.ids and len({tuple(p) for p in r.paths}) == len(r.paths)
+        for path, score in zip(r.paths, r.scores, strict=True):
+            assert b"".join(v.decoded[p] for p in path).decode()[1:] == text[r.id]
+            assert math.isclose(sum(v.score[p] for p in path), score, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_decoding_keeps_columns_of_any_name(spark):
     v = pieces.load()
     rows = spark.createDataFrame([([v.pieces[b"\xe2\x96\x81the"]], "kept", "also", 3)], "ids array<int>, __ids string, ids_x string, text int")
