@@ -89,22 +89,50 @@ def missing_is_null(fn):
     return run
 
 
+#: What ``\s`` means in a pattern, and the signs and letters that repair drops.
+WHITE_SPACE, SIGNS = " \t\n\x0b\f\r", ",$%€£¥"
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Before one of these, or a line break, at the very end ``$`` matches too.
+_TERMINATORS = ("\u0085", "\u2028", "\u2029")
+_BREAKS_RE = r"[\n\r\x{85}\x{2028}\x{2029}]"
+
+
+def _odd_end(c: Column) -> Column:
+    return F.substring(c, -1, 1).isin(*_TERMINATORS)
+
+
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at both ends; the pattern is needed only where a value ends with a terminator beyond ASCII."""
+    return F.when(_odd_end(c), F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(F.trim(c, F.lit(WHITE_SPACE)))
+
+
+def _without_cleaning(c: Column, number: Column, none: Column):
+    """Plain numbers and values without a digit need no cleaning."""
+    return F.when(c.rlike(NUMBER_RE), number).when(~c.rlike("[0-9]"), none)
 
 
-def looks_numeric(c: Column) -> Column:
-    """V1: drop , $ % € £ ¥ and whitespace, then the rest must be a number."""
-    return F.regexp_replace(c, r"[,$%€£¥\s]", "").rlike(NUMBER_RE)
+def looks_numeric(c: Column, units_ok: bool = False) -> Column:
+    """V1: drop , $ % € £ ¥ and whitespace, then the rest must be a number; ``units_ok``: letters at the end go first, with
+    the white space after them."""
+    def rest(x: Column) -> Column:
+        return F.translate(x, SIGNS + WHITE_SPACE, "").rlike(NUMBER_RE)
+    first = _without_cleaning(c, F.lit(True), F.lit(False))
+    if units_ok:
+        first = first.when(_odd_end(c), rest(F.regexp_replace(c, r"[a-zA-Z]+\s*$", "")))
+        c = F.rtrim(F.rtrim(c, F.lit(WHITE_SPACE)), F.lit(LETTERS))
+    return first.otherwise(rest(c))
 
 
 def clean_numeric_string(c: Column) -> Column:
     """V3: trim, drop symbols, drop trailing letters (units), drop spaces, parse or null."""
-    v = strip_ws(c)
-    v = F.regexp_replace(v, r"[,$%€£¥]", "")
-    v = F.regexp_replace(v, r"[a-zA-Z]+$", "")
-    v = F.regexp_replace(v, " ", "")
-    return F.when(v.rlike(NUMBER_RE), v.try_cast("double"))
+    def parsed(v: Column) -> Column:
+        return F.when(v.rlike(NUMBER_RE), v.try_cast("double"))
+    bare = F.rtrim(F.translate(F.trim(c, F.lit(WHITE_SPACE)), SIGNS, ""), F.lit(LETTERS))
+    # values with a line break go by patterns, whose $ also matches before one
+    slow = F.regexp_replace(F.translate(F.regexp_replace(c, r"^\s+|\s+$", ""), SIGNS, ""), r"[a-zA-Z]+$", "")
+    return (_without_cleaning(c, c.try_cast("double"), F.lit(None).cast("double"))
+            .when(c.rlike(_BREAKS_RE), parsed(F.replace(slow, F.lit(" "), F.lit(""))))
+            .otherwise(parsed(F.replace(bare, F.lit(" "), F.lit("")))))
 
 
 def parses_as_number(c: Column) -> Column:
@@ -120,10 +148,23 @@ def parses_as_bool_literal(c: Column) -> Column:
     return F.lower(strip_ws(c)).isin(list(BOOL_LITERAL_VALUES))
 
 
+#: What a part of a timestamp pattern can read at all: years of four digits or more, the rest of two.
+_PARTS = (("yyyy", "[+-]?[0-9]{4,19}"), ("MM", "[0-9]{2}"), ("dd", "[0-9]{2}"), ("HH", "[0-9]{2}"), ("mm", "[0-9]{2}"), ("ss", "[0-9]{2}"), ("'T'", "[Tt]"), (".", "[.]"))
+
+
+def _shape(fmt: str) -> str:
+    out = fmt.replace(".", "\0")
+    for part, pattern in _PARTS:
+        out = out.replace("\0" if part == "." else part, pattern)
+    return f"^{out}$"
+
+
 def parses_as_datetime(c: Column) -> Column:
-    """Some timestamp pattern of the fixed list reads the value."""
+    """Some timestamp pattern of the fixed list reads the value. A value is handed only to the pattern of its shape: each
+    attempt that fails costs an exception."""
     v = strip_ws(c)
-    return F.coalesce(*[F.try_to_timestamp(v, F.lit(fmt)) for fmt in DATETIME_FORMATS]).isNotNull()
+    read = F.coalesce(*[F.when(v.rlike(_shape(fmt)), F.try_to_timestamp(v, F.lit(fmt))) for fmt in DATETIME_FORMATS])
+    return F.coalesce(v.rlike("^[+-]?[0-9]+[-/.][0-9]{2}[-/.]"), F.lit(False)) & read.isNotNull()
 
 
 def in_bool_infer_set(c: Column) -> Column:
