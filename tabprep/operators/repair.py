@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabprep.functions.exprs import (
-    clean_numeric_string, in_bool_repair_set, looks_numeric, qcol, to_bool_int)
-from tabprep.operators._long import one_row_long
+    clean_numeric_string, in_bool_repair_set, looks_numeric, qcol, string_columns, to_bool_int)
+from tabprep.functions.freq import long_form
 
 NUMERIC_GATE = 0.7
 CONVERT_SHARE = 0.8
@@ -24,20 +23,18 @@ CONVERT_SHARE = 0.8
 
 def repair_decisions(df: DataFrame, units_ok: bool = False) -> DataFrame:
     """(column, nn, share_looks_numeric, share_converted, all_bool, kind) per string column."""
-    per = {}
-    for f in df.schema.fields:
-        if not isinstance(f.dataType, T.StringType):
-            continue
-        c = qcol(f.name)
-        gate_in = F.regexp_replace(c, r"[a-zA-Z]+\s*$", "") if units_ok else c
-        per[f.name] = {"nn": F.count(c).cast("long"),
-                       "n_look": F.count_if(c.isNotNull() & looks_numeric(gate_in)).cast("long"),
-                       "n_conv": F.count_if(clean_numeric_string(c).isNotNull()).cast("long"),
-                       "n_nonbool": F.count_if(c.isNotNull() & ~in_bool_repair_set(c)).cast("long")}
-    if not per:
+    names = string_columns(df)
+    if not names:
         return df.sparkSession.createDataFrame(
             [], "column string, nn long, share_looks_numeric double, share_converted double, kind string")
-    t = one_row_long(df, per)
+    # one short expression for the cells of all columns: with one for each column the compiled code is too long to run fast
+    c = F.col("value")
+    counts = long_form(df, names).groupBy("column").agg(
+        F.count(c).cast("long").alias("nn"),
+        F.count_if(looks_numeric(c, units_ok)).cast("long").alias("n_look"),
+        F.count_if(clean_numeric_string(c).isNotNull()).cast("long").alias("n_conv"),
+        F.count_if(~in_bool_repair_set(c)).cast("long").alias("n_nonbool"))
+    t = df.sparkSession.createDataFrame([(n,) for n in names], "column string").join(counts, "column", "left").fillna(0)
     look = F.col("n_look") / F.col("nn")
     conv = F.col("n_conv") / F.col("nn")
     kind = (F.when(F.col("nn") == 0, "unchanged")
