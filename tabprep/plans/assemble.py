@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tabprep.config import DEFAULT_SETTINGS, Settings
 from tabprep.functions.exprs import numeric_columns
-from tabprep.functions.freq import frequency_table
 from tabprep.operators import clean as CL
 from tabprep.operators import encode as EN
 from tabprep.operators import profile as P
@@ -23,13 +22,12 @@ def profile_facts(df: DataFrame, target: str, s: Settings = DEFAULT_SETTINGS) ->
     """The profile facts the plan reads: any missing value, low-variance and
     high-cardinality columns (the profile includes the target column), task."""
     n = df.count()
-    freq = frequency_table(df, df.columns).persist()
-    card = P.cardinality(df, freq, n)
+    card = P.cardinality(df, None, n)
+    card = df.sparkSession.createDataFrame(card.collect(), card.schema)  # one row a column, read twice
     miss = P.missing(df).agg(F.sum("n_missing")).first()[0] or 0
     low = [r["column"] for r in P.low_variance(card).collect()]
     high = [r["column"] for r in P.high_cardinality(card, s).collect()]
     task = P.infer_task(df, target, s=s)
-    freq.unpersist()
     return {"any_missing": miss > 0, "low_variance": low, "high_cardinality": high, "task": task}
 
 
