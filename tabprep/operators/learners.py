@@ -404,7 +404,7 @@ class Learner:
     make: object  # callable(n, y_std, n_classes) -> Estimator
     grid: dict
     fast: bool
-    kind: str = "ml"  # ml | baseline | adaboost | knn | nb
+    kind: str = "ml"  # ml | baseline | adaboost | gbt | knn | nb
 
 
 def classification_learners(fast_only: bool = False, include_svm: bool = False) -> list[Learner]:
@@ -437,7 +437,7 @@ def classification_learners(fast_only: bool = False, include_svm: bool = False)
         Learner("random_forest", forest, {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20, 30],
                                           "minInstancesPerNode": [1, 2, 4]}, False),
         Learner("gradient_boosting", gbt, {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.3],
-                                           "maxDepth": [3, 5, 7]}, False),
+                                           "maxDepth": [3, 5, 7]}, False, "gbt"),
         Learner("adaboost", None, {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 1.0]}, False, "adaboost"),
     ]
     if include_svm:

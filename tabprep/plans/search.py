@@ -13,6 +13,7 @@ import random
 import threading
 import time
 import uuid
+from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -27,6 +28,7 @@ from pyspark.util import inheritable_thread_target
 from tabprep.config import DEFAULT_SETTINGS, Settings
 from tabprep.operators import boosting as B
 from tabprep.operators import evaluate as X
+from tabprep.operators import gradient as G
 from tabprep.operators import learners as L
 from tabprep.session import cut_lineage
 
@@ -103,6 +105,8 @@ class Predictor:
             a = vector_to_array(features)
             wide = df.select("*", *[a[i].alias(n) for i, n in enumerate(self.model.features)])
             return self.model.transform(wide).withColumn("probability", self.model.probability()).drop(*self.model.features)
+        if self.kind == "gbt":
+            return self.model.score(df, features)
         if self.kind == "adaboost" and classify:
             return B.predict(self.model, self.classes, df, features)
         if self.kind == "adaboost":
@@ -124,6 +128,11 @@ class Predictor:
 def fit_learner(lr, c: dict, rows: DataFrame, features: list[str], task: str, n: int, sd: float, classes: list[float]) -> Predictor:
     """One learner with parameters c on rows of (features, label)."""
     train = None
+    if lr.kind == "gbt":
+        found = G.search(rows.withColumn("__fold", F.lit(0)), [c], 0, classes, fold="__fold")
+        if found:
+            return Predictor(lr.name, lr.kind, task, features, classes, found[1], c)
+        lr = replace(lr, kind="ml")
     if lr.kind == "baseline":
         if task == "classification":
             counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -257,7 +266,10 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], task: s
                     if lr.kind == "adaboost" and task == "classification":  # search and final fit in one lock-step
                         best, stumps = B.search(tr, draw_candidates(lr.grid, s), s.search_folds, classes, fold=fold_col)
                         model = Predictor(lr.name, lr.kind, task, features, classes, stumps, best)
+                    elif lr.kind == "gbt" and (found := G.search(tr, draw_candidates(lr.grid, s), s.search_folds, classes, fold=fold_col)):
+                        best, model = found[0], Predictor(lr.name, lr.kind, task, features, classes, found[1], found[0])
                     else:
+                        lr = replace(lr, kind="ml") if lr.kind == "gbt" else lr  # too many cells: the library's learner
                         best = _search(lr, draw_candidates(lr.grid, s), tr, fold_col, features, task, s, n, sd, classes, parallelism)
                 except Exception as e:  # noqa: BLE001 - the defaults are trained instead
                     limit.check()
