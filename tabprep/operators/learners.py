@@ -146,6 +146,33 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(a, dtype=np.float64) for a in column])
 
 
+def _few(Q: np.ndarray, X: np.ndarray, k: int, metric: str):
+    """(start, rows of Q from there, rows of X, distances) of a few pairs that hold the k nearest of each row of Q, all ties of
+    the last included. Euclid's squares come by one matrix product and tell the pairs up to their rounding error; the
+    distances of those pairs are then computed from the differences. Where a distance isn't finite, all pairs are given."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares, own = (X * X).sum(axis=1), (Q * Q).sum(axis=1)
+    top = float(squares.max(initial=0.0))
+    if metric == "manhattan" or not np.isfinite(4 * (top + own.max(initial=0.0))):
+        for at, D in _distances(Q, X, metric):
+            with np.errstate(invalid="ignore"):
+                near = D <= np.partition(D, k - 1, axis=1)[:, k - 1:k]
+            r, c = np.nonzero(near | np.isnan(D).any(axis=1, keepdims=True))
+            yield at, r, c, D[r, c]
+        return
+    step, pairs = max(1, int(4e6 // max(1, len(X)))), max(1, int(4e6 // max(1, X.shape[1])))
+    for at in range(0, len(Q), step):
+        some = Q[at:at + step]
+        D = some @ X.T
+        D *= -2
+        D += squares
+        D += own[at:at + step, None]
+        wrong = 8 * (X.shape[1] + 8) * np.finfo(float).eps * (own[at:at + step] + top)
+        r, c = np.nonzero(D <= (np.partition(D, k - 1, axis=1)[:, k - 1] + 2 * wrong)[:, None])
+        d = np.concatenate([np.sqrt(((some[r[i:i + pairs]] - X[c[i:i + pairs]]) ** 2).sum(axis=1)) for i in range(0, len(r), pairs)])
+        yield at, r, c, d
+
+
 def _nearest(k: int, metric: str, key: str, vec: str):
     """The k nearest train rows of each test row of a pair of blocks, by (distance, train key)."""
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -153,11 +180,12 @@ def _nearest(k: int, metric: str, key: str, vec: str):
             return pd.DataFrame({key: q[key][:0], "_tid": t["_tid"][:0], "_d": np.zeros(0), "_y": t["_y"][:0]})
         place = np.unique(t["_tid"].to_numpy(), return_inverse=True)[1]
         kk, out = min(k, len(t)), []
-        for at, D in _distances(_matrix(q[vec]), _matrix(t[vec]), metric):
-            order = np.lexsort((np.broadcast_to(place, D.shape), D), axis=1)[:, :kk]
-            near = t.iloc[order.ravel()]
-            out.append(pd.DataFrame({key: np.repeat(q[key].to_numpy()[at:at + len(D)], kk), "_tid": near["_tid"].to_numpy(),
-                                     "_d": np.take_along_axis(D, order, axis=1).ravel(), "_y": near["_y"].to_numpy()}))
+        for at, r, c, d in _few(_matrix(q[vec]), _matrix(t[vec]), kk, metric):
+            order = np.lexsort((place[c], d, r))
+            r, c, d = r[order], c[order], d[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < kk
+            near = t.iloc[c[first]]
+            out.append(pd.DataFrame({key: q[key].to_numpy()[at + r[first]], "_tid": near["_tid"].to_numpy(), "_d": d[first], "_y": near["_y"].to_numpy()}))
         return pd.concat(out)
     return run
 
