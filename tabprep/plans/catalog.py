@@ -18,6 +18,7 @@ from tabprep.functions.freq import frequency_table, top_values
 from tabprep.operators import profile as P
 from tabprep.plans import file_queries
 from tabprep.plans.inputs import table
+from tabprep.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -689,7 +690,7 @@ def t26_fit_transform(spark, sf):
 
 
 def _doc_split(spark, sf):
-    d = table(spark, sf, "doc_feats")
+    d = cut_lineage(table(spark, sf, "doc_feats"))  # a few numbers a row: the texts are read once
     d = EN.NumericScaler(cols=["n_chars", "n_dots"]).fit(d).transform(d)
     d = M.fold_ids(M.train_test_split(d, F.col("doc_id")), F.col("doc_id"), label="label", k=3, method="stratified")
     return d.where(~F.col("is_test")), d.where(F.col("is_test"))
