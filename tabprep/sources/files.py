@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv
 import re
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tabprep.config import DEFAULT_SETTINGS, DELIMITER_ATTEMPTS, INVISIBLE_CHARS, Settings
 from tabprep.sources import cleanup as C
 from tabprep.sources import raw
-from tabprep.sources.records import Dialect, _kept_lines, table
+from tabprep.sources.records import NATIVE, Dialect, _kept_lines, closes, table, text_of
 
 OLE2_MAGIC_HEX = "D0CF11E0A1B11AE1"
 ZIP_MAGIC_HEX = "504B0304"
@@ -85,8 +86,17 @@ def sniff_bytes(content: Column, n_bytes: int = 1000) -> DataFrame | Column:
 
 
 def sniff_files(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(
-        "path", sniff_bytes(F.col("content"), s.sniff_bytes).alias("s")).select("path", "s.*")
+    """S2 for every file under ``path``, of which only the first bytes are read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    heads = []
+    for p, length in list_files(spark, path):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            heads.append((p, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(length, s.sniff_bytes)))))
+        finally:
+            stream.close()
+    return spark.createDataFrame(heads, "path string, content binary").select("path", sniff_bytes(F.col("content"), s.sniff_bytes).alias("s")).select("path", "s.*")
 
 
 # ------------------------------------------------------------------ S3 compression, S4 encoding
@@ -259,7 +269,20 @@ def read_files(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) -
         return None, findings
     kind, member = {d.path: d.kind for d in own}, {d.path: d.member for d in own if d.member is not None}
     lines = file_lines(spark, kind, member, {d.path: raw.line_feeds(d.encoding) for d in own})
-    return table(lines, own, names), findings
+    return table(lines, _closed(lines, own), names), findings
+
+
+def _closed(lines: DataFrame, own: list[Dialect]) -> list[Dialect]:
+    """Dialects that know whether all lines of their file close. Where every file with quotes is decoded by Spark, one pass
+    tells; otherwise none is known to."""
+    if not any(d.quotes for d in own) or not {d.encoding for d in own} <= set(NATIVE):
+        return own
+    delimiters = sorted({d.delimiter for d in own})
+    line, close = text_of(own), closes(F.col("line"), delimiters[0])
+    for delimiter in delimiters[1:]:
+        close = F.when(F.col("path").isin([d.path for d in own if d.delimiter == delimiter]), closes(F.col("line"), delimiter)).otherwise(close)
+    open_ones = {r.path for r in lines.select("path", line.alias("line")).where(~close).select("path").distinct().collect()}
+    return [replace(d, closed=d.path not in open_ones) for d in own]
 
 
 def ingest(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame | None, DataFrame]:

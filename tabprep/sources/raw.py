@@ -253,14 +253,16 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        paths, starts = batch.column("path").to_pylist(), batch.column("start").to_pylist()
-        cuts = [0, *[i for i in range(1, len(paths)) if paths[i] != paths[i - 1] or starts[i] != starts[i - 1]], len(paths)]
+        files, starts = batch.column("path").dictionary_encode(), batch.column("start").to_numpy()
+        file = files.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((file[1:] != file[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist(), len(file)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if (paths[a], starts[a]) != key:
+            now = files.dictionary[int(file[a])].as_py(), int(starts[a])
+            if now != key:
                 if key is not None:
                     yield row()
-                key, counts, head, quotes = (paths[a], starts[a]), np.zeros(len(_COUNTS), np.int64), [], 0
-                if starts[a] == 0:  # behind the first line feed both UTF-16 forms look alike
+                key, counts, head, quotes = now, np.zeros(len(_COUNTS), np.int64), [], 0
+                if now[1] == 0:  # behind the first line feed both UTF-16 forms look alike
                     first = batch.column("bytes")[a].as_py()
                     counts[-2:] = first[::2].count(0), first[1::2].count(0)
             lines = batch.column("bytes").slice(a, b - a)
@@ -276,8 +278,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(lines: pa.Array) -> np.ndarray:
-    joined = b"\n".join(lines.to_pylist())
-    seen = np.bincount(np.frombuffer(joined, np.uint8), minlength=256)
+    # the bytes of all lines lie one after the other
+    ends = np.frombuffer(lines.buffers()[1], np.int64 if pa.types.is_large_binary(lines.type) else np.int32)[lines.offset : lines.offset + len(lines) + 1]
+    data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    seen = np.bincount(data, minlength=256)
     high = bad = 0
     if seen[0x80:].any():
         for line in lines.to_pylist():
@@ -287,7 +291,7 @@ def _counts(lines: pa.Array) -> np.ndarray:
                     line.decode("utf-8")
                 except UnicodeDecodeError:
                     bad += 1
-    return np.array([len(lines), len(joined) + 1, high, bad, seen[0x80:].sum(), seen[0x80:0xA0].sum(), seen[_UNDEFINED].sum(), seen[_LETTERS].sum(), seen[ord('"')], seen[0], 0, 0])
+    return np.array([len(lines), len(data) + len(lines), high, bad, seen[0x80:].sum(), seen[0x80:0xA0].sum(), seen[_UNDEFINED].sum(), seen[_LETTERS].sum(), seen[ord('"')], seen[0], 0, 0])
 
 
 def byte_profiles(lines: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprep.sources import raw
@@ -40,6 +40,7 @@ class Dialect:
     kind: str = "plain"
     confidence: float = 1.0
     quotes: bool = True  # whether the file may hold any
+    closed: bool = False  # whether every line is known to ``close``
 
 
 def ends_inside(line: str, delimiter: str, inside: bool) -> bool:
@@ -95,16 +96,34 @@ def _marked(dialects: dict[str, Dialect]):
     return run
 
 
+def closes(line: Column, delimiter: str) -> Column:
+    """Whether every quoted field of a line is one piece between delimiters without quotes inside: begun outside of quotes,
+    such a line ends outside, and its fields are its pieces. (That may hold for other lines too.)"""
+    line = _without_return(line)
+    bare = lambda p: p.endswith('"') & ~F.substring(p, F.lit(2), F.char_length(p) - 2).contains('"')
+    pieces = F.forall(F.split(line, "\\" + delimiter, -1), lambda p: ~p.startswith('"') | ((F.char_length(p) > 1) & bare(p)))
+    return ~line.contains('"') | (~line.contains("\r") & pieces)
+
+
+def text_of(dialects: list[Dialect]) -> Column:
+    """Decoded lines of files that are UTF-8 or ISO 8859-1."""
+    text = F.make_valid_utf8(F.col("bytes").cast("string"))
+    if latin := [d.path for d in dialects if d.encoding != "utf-8"]:
+        text = F.when(F.col("path").isin(latin), F.decode(F.col("bytes"), "ISO-8859-1")).otherwise(text)
+    return text
+
+
+#: Encodings that Spark decodes itself.
+NATIVE = ("utf-8", "iso-8859-1")
+
+
 def records(lines: DataFrame, dialects: list[Dialect]) -> DataFrame:
     """(path, start, at, record) of every record that is not blank, from raw lines (path, start, bytes) in file order
-    within their splits. One small row for each split reaches the driver. Without any quotes every line is a record, and
-    Spark decodes the common encodings itself."""
+    within their splits. One small row for each split reaches the driver. Where all lines close every line is a
+    record, and Spark decodes the common encodings itself."""
     spark = lines.sparkSession
-    if not any(d.quotes for d in dialects) and {d.encoding for d in dialects} <= {"utf-8", "iso-8859-1"}:
-        text = F.make_valid_utf8(F.col("bytes").cast("string"))
-        if latin := [d.path for d in dialects if d.encoding != "utf-8"]:
-            text = F.when(F.col("path").isin(latin), F.decode(F.col("bytes"), "ISO-8859-1")).otherwise(text)
-        return _not_blank(lines.select("path", "start", F.lit(0).cast("long").alias("at"), text.alias("record")))
+    if not any(d.quotes and not d.closed for d in dialects) and {d.encoding for d in dialects} <= set(NATIVE):
+        return _not_blank(lines.select("path", "start", F.lit(0).cast("long").alias("at"), text_of(dialects).alias("record")))
     known = {d.path: d for d in dialects}
     shared = spark.sparkContext.broadcast(known)
     marked = lines.mapInArrow(lambda batches: _marked(shared.value)(batches), _MARKED)
@@ -144,8 +163,12 @@ def records(lines: DataFrame, dialects: list[Dialect]) -> DataFrame:
     return _not_blank(every)
 
 
+def _without_return(line: Column) -> Column:
+    return F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.char_length(line) - 1)).otherwise(line)
+
+
 def _not_blank(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("record", F.when(F.endswith("record", F.lit("\r")), F.expr("substring(record, 1, char_length(record) - 1)")).otherwise(F.col("record")))
+    rows = rows.withColumn("record", _without_return(F.col("record")))
     return rows.where(F.trim(F.translate("record", "\t\x0b\x0c\r", "    ")) != "")
 
 
@@ -168,17 +191,23 @@ def _kept_lines(record: str) -> list[str]:
 
 
 def fields(rows: DataFrame, dialects: list[Dialect]) -> DataFrame:
-    """``rows`` (path, record, ..) with the array fields. Records without quotes are split by Spark, the others in Arrow batches."""
+    """``rows`` (path, record, ..) with the array fields. Records without quotes, and those of files whose lines all close, are
+    split by Spark, the others in Arrow batches."""
     shared = rows.sparkSession.sparkContext.broadcast({d.path: d for d in dialects})
     quoted = F.col("record").contains('"')
-    plain = rows.where(~quoted)
+    split_all = not any(d.quotes and not d.closed for d in dialects)
+    plain = rows if split_all else rows.where(~quoted)
+    bare = lambda p: F.when(p.startswith('"'), F.substring(p, F.lit(2), F.char_length(p) - 2)).otherwise(p)
     out = None
     for delimiter in sorted({d.delimiter for d in dialects}):
         own = [d.path for d in dialects if d.delimiter == delimiter]
         some = plain if len(own) == len(dialects) else plain.join(F.broadcast(rows.sparkSession.createDataFrame([(p,) for p in own], "path string")), "path", "left_semi")
-        some = some.withColumn("fields", F.split("record", "\\" + delimiter, -1))
+        pieces = F.split("record", "\\" + delimiter, -1)
+        if any(d.quotes and d.closed for d in dialects):
+            pieces = F.when(quoted, F.transform(pieces, bare)).otherwise(pieces)
+        some = some.withColumn("fields", pieces)
         out = some if out is None else out.unionByName(some)
-    if not any(d.quotes for d in dialects):
+    if split_all:
         return out
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", fields array<string>"
     return out.unionByName(rows.where(quoted).mapInArrow(lambda batches: _parsed(shared.value)(batches), schema))

@@ -207,3 +207,36 @@ def test_split_of_utf_16_lines():
     data = "a਀b\n\u000ax".encode("utf-16-le")
     assert raw._split(data, b"\n\x00") == [p.encode("utf-16-le") for p in "a਀b\n\u000ax".split("\n")]
     assert struct.calcsize("<HHHHHIIIHH") == 26
+
+
+def test_lines_that_close_need_no_python(spark, tmp_path):
+    """Quotes that open and close within a piece: fields by Spark alone, equal to a plain reader's."""
+    text = 'a;b;c\n"";x;"two words"\n1;5" y;""\n"q";"a ""b""";z\n2;"";"é"\n'
+    simple = "".join(x + "\n" for x in text.splitlines() if '""b""' not in x)
+    for name, body, native in (("closed", simple, True), ("open", text, False), ("broken", simple + '3;"two\nlines";x\n', False), ("return", simple.replace("\n", "\r\n"), True)):
+        folder = tmp_path / name
+        folder.mkdir()
+        put(folder, "t.csv", body.encode())
+        df, _ = FS.read_files(spark, str(folder))
+        got = rows_of(df)
+        want = sorted(map(tuple, list(csv.reader(io.StringIO(body, newline=""), delimiter=";"))[1:]), key=str)
+        assert got == want, name
+        assert ("MapInArrow" not in df._jdf.queryExecution().toString()) == native, name
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=12).map(lambda b: b.replace(b"\n", b"")), min_size=1, max_size=8))
+def test_counts_of_bytes(lines):
+    import pyarrow as pa
+    whole = b"\n".join(lines) + b"\n"
+    got = raw._counts(pa.array([b"x\x80", *lines], pa.binary()).slice(1))
+    assert got[0] == len(lines) and got[1] == len(whole) and got[2] == sum(not x.isascii() for x in lines)
+    assert got[8] == whole.count(b'"') and got[9] == whole.count(b"\0") and got[4] == sum(c >= 0x80 for c in whole)
+
+
+def test_sniffing_reads_first_bytes_only(spark, tmp_path):
+    put(tmp_path, "t.csv", b"a,b\n" + b"1,2\n" * 400 + b"<html>")
+    put(tmp_path, "u.csv", b"<HTML>")
+    found = FS.sniff_files(spark, str(tmp_path))
+    assert {os.path.basename(r.path): r.is_html for r in found.collect()} == {"t.csv": False, "u.csv": True}
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
