@@ -11,8 +11,10 @@ customers of a dish out (a table goes with its last one) and seats them again, a
 a table of the dish or at a new one. A sweep does so for every dish of every
 restaurant at once, given the restaurants' totals of the sweep before. Totals of
 contexts stay in Spark: a range of words sends each range of the context space
-its contexts with their numbers, once each, and gets back the sums over all
-ranges. The driver sees a fixed number of other totals. After the burn-in each sweep gives a predictive distribution, and scores use their mean.
+its contexts once, then in every sweep their numbers alone, in the same order, and
+gets back the sums over all ranges. A sweep starts from the seats that the last one
+kept; the scores draw all sweeps once more, each from its own seed. The driver sees
+a fixed number of other totals. After the burn-in each sweep gives a predictive distribution, and scores use their mean.
 
 Work is split by word: a range of the word-hash space holds a word's tokens of
 all contexts. Chunks of texts send a range each (word, context) once with its
@@ -36,18 +38,22 @@ from pyspark.sql import functions as F
 
 from tabprep.llm.exchange import CHUNK_WORDS, chunk_name, edges, groups, ranges_for
 from tabprep.llm.words import SPACE, Words, mix, pack, ragged, slices, unpack
-from tabprep.session import cut_lineage
+from tabprep.session import cut_in_place, cut_lineage, release
 
 #: The hashes of the end of a text and of what stands before its first word.
 END, START = np.uint64(0xA5A5_1234_9876_0001), np.uint64(0x5A5A_4321_6789_0003)
-#: Rows of the sample that picks the words to spread, and how many at most; results don't depend on them.
-SAMPLE_ROWS, SPREAD_WORDS = 4000, 2048
+#: Rows of each task in the sample that picks the words to spread, and how many at most; results don't depend on them.
+SAMPLE_ROWS, SPREAD_WORDS = 500, 2048
+#: Tokens of a chunk, about: the larger, the fewer words and contexts are sent twice.
+CHUNK_TOKENS = 2 * CHUNK_WORDS
 #: Customers of a dish up to which the chance that one sits alone is exact.
 EXACT = 256
 #: Groups in which the customers of larger dishes are reseated, and how often a sweep does so.
 GROUPS, PASSES = 16, 4
 #: Chances that are held at once.
 DRAWN = 1 << 18
+#: What a range is told beside the contexts' tables after each sweep.
+TOKENS, STATE = -1, -2
 
 
 @dataclass
@@ -59,6 +65,7 @@ class Model:
     tokens: int = 0  # training tokens
     vocabulary: int = 0
     discount: float = 0.75  # of contexts
+    first_discount: float = 0.75  # of the parent in the first sweep
     parent_discount: float = 0.75
     strength: float = 1.0
     spread_tokens: np.ndarray | None = None  # training tokens of each spread word
@@ -109,8 +116,12 @@ def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Gene
 def draw(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes of 1 to EXACT customers, all of them seated anew: P(t) is proportional to S(c, t) * weight**t."""
     log_s, t = stirling(discount)[0], np.ones(len(c), np.int64)
-    for n in np.unique(c[c > 1]).tolist():
-        rows, k = np.flatnonzero(c == n), np.arange(1, n + 1)
+    by_size = np.argsort(c, kind="stable")
+    at, size = groups(c[by_size])
+    for lo, many, n in zip(at.tolist(), size.tolist(), c[by_size[at]].tolist(), strict=True):
+        if n < 2:
+            continue
+        rows, k = by_size[lo : lo + many], np.arange(1, n + 1)
         for lo in range(0, len(rows), max(1, DRAWN // n)):
             some = rows[lo : lo + max(1, DRAWN // n)]
             p = log_s[n, 1 : n + 1] + np.log(weight[some])[:, None] * k
@@ -135,16 +146,37 @@ def sweep(c: np.ndarray, t: np.ndarray, weight: np.ndarray, discount: float, rng
     return out
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Integers that are mostly small: as many bytes as the largest needs, place by place, compressed."""
+    v = np.asarray(values).astype(np.uint64)
+    width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+
+
+def expand(blob: bytes) -> np.ndarray:
+    """What ``squeeze`` was given."""
+    places = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((places.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = places.T
+    return out.view(np.int64).ravel()
+
+
 class Range:
     """The training counts of a range's words and pairs, and their seating."""
 
-    def __init__(self, number: int, words: bytes, runs: bytes, contexts: bytes, counts: bytes, names: bytes, totals: list[bytes] | None = None):
-        """Distinct sorted words, contexts that each was seen in, those contexts as places among the sorted ``names``,
-        training tokens of each pair; over all ranges, customers of each context and, for each sweep, its tables."""
-        self.number, self.words, self.n = number, unpack(words), unpack(runs).astype(np.int64)
-        self.context, self.count = unpack(contexts).astype(np.int64), unpack(counts).astype(np.int64)
-        self.names = unpack(names)
-        self.context_tokens, *self.tables = [unpack(x).astype(np.int64) for x in totals] if totals else [None]
+    def __init__(self, number: int, lines: pd.DataFrame, told: pd.DataFrame | None = None):
+        """The line of ``lines`` that is of no chunk: distinct sorted words, contexts that each was seen in, those contexts as places among the sorted ``names``,
+        training tokens of each pair. ``told``: over all ranges, customers of each context (sweep TOKENS) and its tables
+        after sweeps; the range's own seats (sweep STATE): tables of each pair, of each word in the parent."""
+        own = lines[lines.chunk < 0].iloc[0]
+        self.number, self.words, self.n = number, unpack(own.words), expand(own.runs)
+        self.context, self.count = unpack(own.contexts).astype(np.int64), expand(own["counts"])
+        self.names = unpack(own.names)
+        heard = {} if told is None else {int(x.sweep): x for x in told.itertuples()}
+        state = heard.pop(STATE, None)
+        self.seats = (None, None) if state is None else (expand(state.a), expand(state.b))
+        self.tables = {k: expand(x.a) for k, x in heard.items()}
+        self.context_tokens = self.tables.pop(TOKENS, None)
         self.at = np.cumsum(self.n) - self.n
         self.of = np.repeat(np.arange(len(self.n)), self.n)
 
@@ -155,31 +187,29 @@ class Range:
     def add(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.at) if len(self.at) else np.zeros(0, np.int64)
 
-    def sweeps(self, m: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each sweep up to the newest totals: tables of each pair, parent customers and tables of each word,
-        and the parent's chances that the pairs' seats were drawn with."""
-        rng = np.random.default_rng([20240817, self.number])
-        spread, index = self.spread(m)
-        own = self.add(self.count)
-        chance = np.where(spread, m.spread_tokens[index] if len(m.spread) else 0, own) + 0.5
-        chance = chance / (m.tokens + 0.5 * (m.vocabulary + 1))
-        tables = parent = None
-        for k in range(len(self.tables) + 1):
-            busy = m.strength + m.discount * (self.tables[k - 1] if k else first_tables(self.context_tokens, m.discount))
-            weight = busy[self.context] * chance[self.of]
-            if tables is None:
-                tables = seat(self.count, weight, m.discount, rng)
-            tables = sweep(self.count, tables, weight, m.discount, rng)
-            customers = self.add(tables)
-            base = (m.strength + m.parent_discount * (m.parent[k - 1][1] if k else m.vocabulary)) / (m.vocabulary + 1)
-            flat = np.full(len(customers), base)
-            if parent is None:
-                parent = seat(customers, flat, m.parent_discount, rng)
-            parent = np.minimum(np.maximum(parent, customers > 0), customers)
-            parent = sweep(customers, parent, flat, m.parent_discount, rng)
-            yield tables, np.where(spread, 0, customers), np.where(spread, 0, parent), self.add(tables)
-            if k < len(self.tables):
-                chance = self.chances(m, k, customers, parent)
+    def sweep(self, m: Model, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Seats all customers anew in sweep ``k``, given the totals and the seats after the one before; customers and
+        tables of each word in the parent. Its draws depend on the range and the sweep alone."""
+        rng = np.random.default_rng([20240817, self.number, k])
+        tables, parent = self.seats
+        if k:
+            chance = self.chances(m, k - 1, self.add(tables), parent)
+            busy = m.strength + m.discount * self.tables[k - 1]
+        else:
+            spread, index = self.spread(m)
+            own = np.where(spread, m.spread_tokens[index] if len(m.spread) else 0, self.add(self.count))
+            chance = (own + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1))
+            busy = m.strength + m.discount * first_tables(self.context_tokens, m.discount)
+        weight = busy[self.context] * chance[self.of]
+        tables = sweep(self.count, seat(self.count, weight, m.discount, rng) if tables is None else tables, weight, m.discount, rng)
+        customers = self.add(tables)
+        discount = m.parent_discount if k else m.first_discount
+        flat = np.full(len(customers), (m.strength + discount * (m.parent[k - 1][1] if k else m.vocabulary)) / (m.vocabulary + 1))
+        parent = seat(customers, flat, discount, rng) if parent is None else parent
+        parent = np.minimum(np.maximum(parent, customers > 0), customers)
+        parent = sweep(customers, parent, flat, discount, rng)
+        self.seats = tables, parent
+        return customers, parent
 
     def chances(self, m: Model, k: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The parent's chance of each word after sweep ``k``."""
@@ -194,10 +224,11 @@ class Range:
     def scores(self, m: Model, burn_in: int) -> np.ndarray:
         """log10 of each key's predictive probability, averaged over the sweeps after ``burn_in``."""
         total = np.zeros(len(self.context))
-        for k, (tables, customers, parent, _) in zip(range(len(self.tables)), self.sweeps(m)):
+        for k in range(len(self.tables)):
+            customers, parent = self.sweep(m, k)
             if k >= burn_in:
                 chance = self.chances(m, k, customers, parent)[self.of]
-                seated = np.maximum(self.count - m.discount * tables, 0)
+                seated = np.maximum(self.count - m.discount * self.seats[0], 0)
                 free = m.strength + m.discount * self.tables[k][self.context]
                 total += (seated + free * chance) / (m.strength + self.context_tokens[self.context])
         return np.log10(total / (len(self.tables) - burn_in))
@@ -236,14 +267,19 @@ def held_out(ids: list) -> np.ndarray:
 
 
 def _spread_words(rows: DataFrame) -> np.ndarray:
-    """Words with at least a 2000th of the tokens of a bounded sample: those that could fill a range."""
+    """Words with at least a 2000th of the tokens of a bounded sample of each task: those that could fill a range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in slices(batches, "text"):
+            if seen >= SAMPLE_ROWS:  # the rest is only passed over
+                continue
+            batch = batch.slice(0, SAMPLE_ROWS - seen)
+            seen += batch.num_rows
             word, n = np.unique(tokens_of(batch.column("text"))[0], return_counts=True)
             often = n * 4000 >= n.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often]), pa.array(np.full(int(often.sum()), n.sum()))], names=["w", "n", "all"])
+            yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], names=["w", "n"])
 
-    found = rows.select("text").limit(SAMPLE_ROWS).mapInArrow(run, "w long, n long, all long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(SPREAD_WORDS)
+    found = rows.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(SPREAD_WORDS)
     return np.sort(np.array([r.w for r in found.collect()], np.int64).view(np.uint64))
 
 
@@ -252,10 +288,30 @@ _SENT = _PAIRS + ", other int, ids binary, tokens binary, rows binary, times bin
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
 
 
+_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int32(), *[pa.binary()] * 4]
+
+
 def _line(part: int, chunk: int, **blobs) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int32(), *[pa.binary()] * 4]
     values = {"part": part, "chunk": chunk, **blobs}
-    return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(_NAMES, types, strict=True)], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array([values.get(n)], t) for n, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
+
+
+def _folded(lines: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(lines, pa.schema(list(zip(_NAMES, _TYPES, strict=True))), preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unfolded(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def _each_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("lines"):
+            yield from _unfolded(blob.as_buffer()).to_batches()
 
 
 def _send(batches: Iterator[pa.RecordBatch], parts: int, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -263,15 +319,24 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, spread: np.ndarray) ->
     part, which rows hold each pair of a range."""
     def flush(sequence: int) -> Iterator[pa.RecordBatch]:
         chunk = chunk_name(sequence)
-        token, context, count = (np.concatenate([k[i] for k in kept]) for i in (1, 2, 3))
+        token, count = (np.concatenate([k[i] for k in kept]) for i in (1, 2))
         ids = [i for k in kept for i in k[0]]
         out = held_out(ids)
         row = np.repeat(np.arange(len(count)), count)
         words, rank = np.unique(token, return_inverse=True)
-        names, context = np.unique(context, return_inverse=True)
-        key = rank * len(names) + context
-        order = np.argsort(key, kind="stable")  # rows ascend within a pair
-        key, row = key[order], row[order]
+        names = mix(np.append(words, START))  # a context is the word before
+        before = np.empty_like(rank)
+        before[1:] = rank[:-1]
+        before[np.cumsum(count) - count] = len(words)
+        by_name = np.argsort(names)
+        names, place = names[by_name], np.empty_like(by_name)
+        place[by_name] = np.arange(len(by_name))
+        key = rank * len(names) + place[before]
+        if len(words) * len(names) * len(count) < 1 << 63:  # rows ascend within a pair
+            key, row = np.divmod(np.sort(key * len(count) + row), len(count))
+        else:
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
         at, _ = groups(key)
         train = np.add.reduceat((~out[row]).astype(np.int64), at)
         held = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
@@ -286,103 +351,116 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, spread: np.ndarray) ->
         with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
             w.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["id"]))
         yield _line(-1 - chunk % parts, chunk, ids=sink.getvalue().to_pybytes(), tokens=pack(count))
-        for p in np.unique(part).tolist():
-            mine = np.flatnonzero(part == p)
+        by_part = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+        cuts, many = groups(part[by_part])
+        for lo, n in zip(cuts.tolist(), many.tolist(), strict=True):
+            mine = by_part[lo : lo + n]
+            p = int(part[mine[0]])
             first, n = groups(word[mine])
-            told, place = np.unique(context[mine], return_inverse=True)
-            yield _line(p, chunk, words=pack(words[word[mine][first]], True), runs=pack(n), contexts=pack(place), counts=pack(train[mine]), names=pack(names[told], True))
+            told, where = _places(context[mine], len(names))
+            yield _line(p, chunk, words=pack(words[word[mine][first]], True), runs=squeeze(n), contexts=pack(where), counts=squeeze(train[mine]), names=pack(names[told], True))
             pairs = ragged(begin[mine], rows_of_pair[mine])
-            yield _line(-1 - chunk % parts, chunk, other=p, counts=pack(rows_of_pair[mine]), rows=pack(row[held[pairs]]), times=pack(times[pairs]))
+            yield _line(-1 - chunk % parts, chunk, other=p, counts=squeeze(rows_of_pair[mine]), rows=pack(row[held[pairs]]), times=squeeze(times[pairs]))
 
     kept, size, sequence = [], 0, 0
     for batch in slices(batches, "text"):
-        token, context, count = tokens_of(batch.column("text"))
-        kept.append((batch.column("id").to_pylist(), token, context, count))
+        token, _, count = tokens_of(batch.column("text"))
+        kept.append((batch.column("id").to_pylist(), token, count))
         size += len(token)
-        if size >= CHUNK_WORDS:
+        if size >= CHUNK_TOKENS:
             yield from flush(sequence)
             kept, size, sequence = [], 0, sequence + 1
     if kept:
         yield from flush(sequence)
 
 
+def _places(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ``values`` below ``n``, and each value's place among them."""
+    if len(values) < n // 16:
+        return np.unique(values, return_inverse=True)
+    some = np.zeros(n, bool)
+    some[values] = True
+    return np.flatnonzero(some), (np.cumsum(some) - 1)[values]
+
+
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """A range's distinct pairs with training counts (chunk -1), and each chunk's pairs as places among them."""
+    """A range's distinct pairs with training counts (chunk -1), and each chunk's pairs as places among them. What chunks
+    keep of their rows stays as it is."""
+    if rows.part.iloc[0] < 0:
+        return rows
     own = [unpack(x) for x in rows.words]
-    runs = [unpack(x).astype(np.int64) for x in rows.runs]
+    runs = [expand(x) for x in rows.runs]
     words, rank = np.unique(np.concatenate(own), return_inverse=True)
     told = [unpack(x) for x in rows.names]
     names, place = np.unique(np.concatenate(told), return_inverse=True)
     begin = np.cumsum([0, *[len(x) for x in told]])
     context = np.concatenate([place[b + unpack(x).astype(np.int64)] for b, x in zip(begin[:-1], rows.contexts, strict=True)])
     key = np.repeat(rank, np.concatenate(runs)) * len(names) + context
-    count = np.concatenate([unpack(x) for x in rows.counts]).astype(np.int64)
+    count = np.concatenate([expand(x) for x in rows.counts])
     order = np.argsort(key, kind="stable")
     key = key[order]
     at, n = groups(key)
     place = np.empty(len(key), np.int64)
     place[order] = np.repeat(np.arange(len(at)), n)
     cuts = np.cumsum([0, *[r.sum() for r in runs]])
-    table = pd.DataFrame({"part": [rows.part.iloc[0]], "chunk": [-1], "words": [pack(words, True)], "runs": [pack(groups(key[at] // len(names))[1])],
-                          "contexts": [pack(key[at] % len(names))], "counts": [pack(np.add.reduceat(count[order], at))], "names": [pack(names, True)]})
-    answers = pd.DataFrame({"part": rows.part, "chunk": rows.chunk, "words": None, "runs": None, "contexts": None,
-                            "counts": [pack(place[a:b], True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "names": None})
-    return pd.concat([table, answers])
+    table = pd.DataFrame({"part": [rows.part.iloc[0]], "chunk": [-1], "words": [pack(words, True)], "runs": [squeeze(groups(key[at] // len(names))[1])],
+                          "contexts": [pack(key[at] % len(names))], "counts": [squeeze(np.add.reduceat(count[order], at))], "names": [pack(names, True)]})
+    answers = pd.DataFrame({"part": rows.part, "chunk": rows.chunk, "counts": [pack(place[a:b], True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+    return pd.concat([table, answers]).reindex(columns=_NAMES)
 
 
-def _totals(ranges: DataFrame, m: Model, work) -> tuple[DataFrame, dict[str, np.ndarray]]:
-    """What work(range, model) returns, summed over all ranges: the number of each context, as a packed row (part,
-    total) for each range in the order of its contexts; numbers of the spread words and scalars."""
-    shared = ranges.sparkSession.sparkContext.broadcast(m)
-    cuts = edges(m.parts, 64)
+def _merged(*columns: pd.Series) -> bytes:
+    return _folded(_merge(pd.DataFrame(dict(zip(_NAMES, columns, strict=True)))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                r = Range(*line)
-                context, spread, scalars = work(r, shared.value)
-                at = [0, *np.searchsorted(r.names, cuts).tolist(), len(r.names)]
-                for q, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    if lo < hi:
-                        yield _said("context", q, 0, r.number, pack(r.names[lo:hi], True), pack(context[lo:hi]))
-                for name, values in (("spread", spread), ("scalars", scalars)):
-                    for i in np.flatnonzero(values).tolist():
-                        yield _said(name, i, int(values[i]))
-
-    said = cut_lineage(ranges.mapInArrow(run, _SAID))
-    out = {"spread": np.zeros(len(m.spread), np.int64), "scalars": np.zeros(8, np.int64)}
-    for r in said.where("name <> 'context'").groupBy("name", "i").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.name][r.i] = r.n
-    sums = said.where("name = 'context'").groupBy("i").applyInPandas(_sum_contexts, "part int, i long, numbers binary")
-    return cut_lineage(sums.groupBy("part").applyInPandas(_in_order, "part int, total binary")), out
 
+_SAID = "name string, i long, n long, part int, a binary, b binary"
+_TOLD = "part int, sweep int, a binary, b binary"
 
-_SAID = "name string, i long, n long, part int, names binary, numbers binary"
 
+def _said(r: Range, m: Model, context: np.ndarray, spread: np.ndarray, scalars: np.ndarray, named: bool = False) -> pd.DataFrame:
+    """What a range says: the number of each of its contexts, for each range of contexts (``named``: with their names);
+    numbers of the spread words, scalars, and its seats if there are any."""
+    at = [0, *np.searchsorted(r.names, edges(m.parts, 64)).tolist(), len(r.names)]
+    out = [("context", q, 0, r.number, pack(r.names[lo:hi], True) if named else None, squeeze(context[lo:hi])) for q, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if lo < hi]
+    if not named:
+        out.append(("state", 0, 0, r.number, *map(squeeze, r.seats)))
+    for name, values in (("spread", spread), ("scalars", scalars)):
+        out += [(name, i, int(values[i]), r.number, None, None) for i in np.flatnonzero(values).tolist()]
+    return pd.DataFrame(out, columns=[x.split()[0] for x in _SAID.split(", ")])
 
-def _said(*values) -> pa.RecordBatch:
-    values = (*values, *[None] * (6 - len(values)))
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[x.split()[0] for x in _SAID.split(", ")])
 
+def _summed(said: DataFrame, m: Model) -> dict[str, np.ndarray]:
+    """The numbers of the spread words and the scalars over all ranges."""
+    out = {"spread": np.zeros(len(m.spread), np.int64), "scalars": np.zeros(8, np.int64)}
+    for r in said.where("name IN ('spread', 'scalars')").groupBy("name", "i").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.name][r.i] = r.n
+    return out
+
+
+def _first_sums(rows: pd.DataFrame) -> pd.DataFrame:
+    """A range of contexts: where each range of words has its contexts among all, and their numbers added up."""
+    told = [unpack(x) for x in rows.a]
+    place = np.unique(np.concatenate(told), return_inverse=True)[1]
+    cuts = np.cumsum([0, *[len(x) for x in told]])
+    places = [pack(place[a:b], True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return _sums(rows, pd.DataFrame({"part": rows.part, "places": places})).merge(pd.DataFrame({"part": rows.part, "places": places}), "left", "part")
 
-def _sum_contexts(rows: pd.DataFrame) -> pd.DataFrame:
-    """A range of contexts: their numbers added up, for each range of words that told them."""
-    told = [unpack(x) for x in rows.names]
-    names, place = np.unique(np.concatenate(told), return_inverse=True)
-    total = np.zeros(len(names), np.int64)
-    np.add.at(total, place, np.concatenate([unpack(x) for x in rows.numbers]).astype(np.int64))
-    at = np.cumsum([0, *[len(x) for x in told]])
-    return pd.DataFrame({"part": rows.part, "i": rows.i, "numbers": [pack(total[place[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]})
 
+def _sums(rows: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+    """A range of contexts: their numbers added up, for each range of words that told them."""
+    at = dict(zip(places.part, places.places, strict=True))
+    place = [unpack(at[p]).astype(np.int64) for p in rows.part]
+    total = np.bincount(np.concatenate(place), np.concatenate([expand(x) for x in rows.b])).astype(np.int64)
+    return pd.DataFrame({"part": rows.part, "i": rows.i, "numbers": [squeeze(total[x]) for x in place]})
 
-def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("i")
-    return pd.DataFrame({"part": rows.part.iloc[:1].to_numpy(), "total": [pack(np.concatenate([unpack(x) for x in rows.numbers]))]})
 
+def _told(sums: DataFrame, sweep: int) -> DataFrame:
+    """(part, sweep, numbers of all contexts of a range of words, in their order)."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        return pd.DataFrame({"part": rows.part.iloc[:1].to_numpy(), "sweep": sweep, "a": [squeeze(np.concatenate([expand(x) for x in rows.numbers]))], "b": None})
 
-def _with(totals: DataFrame, more: DataFrame) -> DataFrame:
-    return cut_lineage(totals.join(more, "part").select("part", F.concat("totals", F.array("total")).alias("totals")))
+    return cut_lineage(sums.select("part", "i", "numbers").groupBy("part").applyInPandas(run, _TOLD))
 
 
 def _by_context(r: Range, values: np.ndarray) -> np.ndarray:
@@ -398,20 +476,46 @@ def _count(r: Range, m: Model) -> tuple:
             np.array([own.sum(), ((own > 0) & ~spread).sum(), (r.count == 1).sum(), (r.count == 2).sum(), 0, 0, 0, 0]))
 
 
-def _seats(r: Range, m: Model) -> tuple:
-    for tables, customers, parent, sums in r.sweeps(m):
-        pass
+def _seats(r: Range, m: Model, k: int) -> tuple:
+    customers, parent = r.sweep(m, k)
     spread, index = r.spread(m)
     hot = np.zeros(len(m.spread), np.int64)
-    np.add.at(hot, index[spread], sums[spread])
-    return _by_context(r, tables), hot, np.array([customers.sum(), parent.sum(), (parent == 1).sum(), (customers == 1).sum(), (customers == 2).sum(), 0, 0, 0])
+    np.add.at(hot, index[spread], customers[spread])
+    customers, parent = customers[~spread], parent[~spread]
+    return _by_context(r, r.seats[0]), hot, np.array([customers.sum(), parent.sum(), (parent == 1).sum(), (customers == 1).sum(), (customers == 2).sum(), 0, 0, 0])
+
+
+def _counting(parts: int, spread: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(parts, spread)
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("lines"), strict=True):
+                r = Range(part, _unfolded(blob.as_buffer()).to_pandas())
+                yield pa.RecordBatch.from_pandas(_said(r, m, *_count(r, m), named=True), pa.schema(_SAID_TYPES), preserve_index=False)
+    return run
+
+
+_SAID_TYPES = [("name", pa.string()), ("i", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())]
+
+
+def _sweeping(shared, k: int):
+    def run(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        r = Range(int(rows.part.iloc[0]), _unfolded(rows.lines.iloc[0]).to_pandas(), told)
+        return _said(r, shared.value, *_seats(r, shared.value, k))
+    return run
 
 
-def fit(ranges: DataFrame, parts: int, spread: np.ndarray, sweeps: int, burn_in: int) -> tuple[Model, DataFrame]:
-    """The totals of every sweep, those of contexts as (part, totals). Discounts come from the numbers of dishes with one and with two customers."""
+def fit(ranges: DataFrame, parts: int, spread: np.ndarray, sweeps: int) -> tuple[Model, DataFrame]:
+    """The totals of every sweep, those of contexts as (part, sweep, numbers). Discounts come from the numbers of dishes with one
+    and with two customers."""
+    spark = ranges.sparkSession
     m = Model(parts, spread)
-    tokens, got = _totals(ranges, m, _count)
-    totals = tokens.select("part", F.array("total").alias("totals"))
+    said = cut_lineage(ranges.mapInArrow(_counting(parts, spread), _SAID))
+    got = _summed(said, m)
+    first = cut_lineage(said.where("name = 'context'").groupBy("i").applyInPandas(_first_sums, "part int, i long, numbers binary, places binary"))
+    history = tokens = told = _told(first, TOKENS)
+    places = first.select("i", "part", "places")
+    release(spark)
     m.spread_tokens = got["spread"]
     m.tokens = int(got["scalars"][0])
     m.vocabulary = int(got["scalars"][1] + (m.spread_tokens > 0).sum())
@@ -420,19 +524,26 @@ def fit(ranges: DataFrame, parts: int, spread: np.ndarray, sweeps: int, burn_in:
     rng = np.random.default_rng(20240817)
     hot = None
     for k in range(sweeps):
-        tables, got = _totals(ranges.join(totals, "part"), m, _seats)
-        totals = _with(totals, tables)
+        shared = spark.sparkContext.broadcast(m)
+        said = cut_lineage(ranges.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_sweeping(shared, k), _SAID))
+        got = _summed(said, m)
+        sums = said.where("name = 'context'").groupBy("i").cogroup(places.groupBy("i")).applyInPandas(_sums, "part int, i long, numbers binary")
+        newest = _told(sums, k)
+        del sums
+        release(spark)
+        told = tokens.unionByName(newest).unionByName(said.where("name = 'state'").select("part", F.lit(STATE).alias("sweep"), "a", "b"))
+        history = history.unionByName(newest)
         customers = got["spread"]
+        discount = m.first_discount if k == 0 else m.parent_discount
+        flat = np.full(len(customers), (m.strength + discount * (m.parent[-1][1] if k else m.vocabulary)) / (m.vocabulary + 1))
         if k == 0:
             one, two = got["scalars"][3:5]
             m.parent_discount = float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
-        base = (m.strength + m.parent_discount * (m.parent[-1][1] if k else m.vocabulary)) / (m.vocabulary + 1)
-        flat = np.full(len(customers), base)
-        hot = seat(customers, flat, m.parent_discount, rng) if hot is None else np.minimum(np.maximum(hot, customers > 0), customers)
-        hot = sweep(customers, hot, flat, m.parent_discount, rng)
+        hot = seat(customers, flat, discount, rng) if hot is None else np.minimum(np.maximum(hot, customers > 0), customers)
+        hot = sweep(customers, hot, flat, discount, rng)
         m.spread_seats.append((customers, hot))
         m.parent.append((int(got["scalars"][0] + customers.sum()), int(got["scalars"][1] + hot.sum())))
-    return m, totals
+    return m, history
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 4, burn_in: int = 1) -> DataFrame:
@@ -444,27 +555,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts, spread = ranges_for(rows, "text"), _spread_words(rows)
-    sent = cut_lineage(rows.mapInArrow(lambda b: _send(b, parts, spread), _SENT))
-    merged = cut_lineage(sent.where("part >= 0").select("part", "chunk", "words", "runs", "contexts", "counts", "names")
-                         .groupBy("part").applyInPandas(_merge, _PAIRS))
-    ranges = merged.where("chunk < 0").drop("chunk")
-    m, totals = fit(ranges, parts, spread, sweeps, burn_in)
+    sent = rows.mapInArrow(lambda b: _send(b, parts, spread), _SENT)
+    # a row for each part, which stays where it is: what joins it by part is sent there
+    tasks = max(2 * parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    merge = F.pandas_udf(_merged, "binary")
+    merged = cut_in_place(sent.repartition(tasks, "part").groupBy("part").agg(merge(*_NAMES).alias("lines")))
+    del sent
+    release(docs.sparkSession)
+    ranges = merged.where("part >= 0")
+    m, totals = fit(ranges, parts, spread, sweeps)
     model = docs.sparkSession.sparkContext.broadcast(m)
 
     def answer(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        table = rows[rows.chunk < 0].iloc[0]
-        r = Range(int(table.part), table.words, table.runs, table.contexts, table["counts"], table.names, list(told.totals.iloc[0]))
+        part = int(rows.part.iloc[0])
+        lines = _unfolded(rows.lines.iloc[0]).to_pandas()
+        r = Range(part, lines, told)
         score = r.scores(model.value, burn_in).astype(np.float32)
         spread, index = r.spread(model.value)
         seen = np.where(spread, model.value.spread_tokens[index] if len(model.value.spread) else 0, r.add(r.count))[r.of]
         out = []
-        for one in rows[rows.chunk >= 0].itertuples():
+        for one in lines[lines.chunk >= 0].itertuples():
             place = unpack(one.counts).astype(np.int64)
             run, n = groups(r.of[place])
-            out.append((one.chunk, one.part, score[place].tobytes(), pack(n), pack(seen[place][run])))
+            out.append((one.chunk, part, score[place].tobytes(), squeeze(n), squeeze(seen[place][run])))
         return pd.DataFrame(out, columns=["chunk", "part", "scores", "runs", "seen"])
 
-    answers = merged.groupBy("part").cogroup(totals.groupBy("part")).applyInPandas(answer, "chunk long, part int, scores binary, runs binary, seen binary")
+    answers = ranges.groupBy("part").cogroup(totals.groupBy("part")).applyInPandas(answer, "chunk long, part int, scores binary, runs binary, seen binary")
 
     def add_up(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         m = model.value
@@ -475,9 +591,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
         bodies = {int(x.other): x for x in rows[rows.tokens.isna()].itertuples()}
         for one in told.itertuples():
             body = bodies[one.part]
-            size = unpack(body.counts).astype(np.int64)
-            row, times = unpack(body.rows).astype(np.int64), unpack(body.times).astype(np.int64)
-            seen = np.repeat(unpack(one.seen).astype(np.float64), unpack(one.runs).astype(np.int64))
+            size = expand(body.counts)
+            row, times = unpack(body.rows).astype(np.int64), expand(body.times)
+            seen = np.repeat(expand(one.seen).astype(np.float64), expand(one.runs))
             plain = np.repeat(np.log10((seen + 1) / (m.tokens + m.vocabulary + 1)), size)
             own = np.repeat(np.frombuffer(one.scores, np.float32).astype(np.float64), size)
             total += np.bincount(row, own * times, len(count))
@@ -486,5 +602,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
         return pd.DataFrame({"id": pd.array(ids, "Int64"), "held_out": held_out(ids), "n_tokens": count, "n_known": known, "train_tokens": m.tokens,
                              "vocabulary": m.vocabulary, "base_score": base, "score": total, "perplexity": 10.0 ** np.minimum(-total / count, 300)})
 
-    chunks = sent.where("part < 0").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    chunks = merged.where("part < 0").mapInArrow(_each_line, _SENT).groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return chunks.applyInPandas(add_up, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double, perplexity double")
