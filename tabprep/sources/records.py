@@ -18,14 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.sources import raw
 
 csv.field_size_limit(1 << 31 - 1)
 
-_MARKED = "path string, start long, at long, line string, out_in boolean, out_end boolean, in_in boolean, in_end boolean"
+_MARKED = "path string, start long, at long, line string, out_in boolean, out_end boolean, in_in boolean, in_end boolean, out_from long, in_from long"
 
 
 @dataclass(frozen=True)
@@ -68,30 +68,34 @@ def ends_inside(line: str, delimiter: str, inside: bool) -> bool:
 
 def _marked(dialects: dict[str, Dialect]):
     """Decoded lines with their place in the split, and for a split that begins outside (out) or inside (in) quotes whether
-    the line begins and ends inside."""
+    the line begins and ends inside, and which line opened the record it is in (null: one of an earlier split)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, at, out, into = None, 0, False, True
+        key, at, out, into, opened = None, 0, False, True, [None, None]
         for batch in batches:
             paths, starts = batch.column("path").to_pylist(), batch.column("start").to_pylist()
             cuts = [0, *[i for i in range(1, len(paths)) if paths[i] != paths[i - 1] or starts[i] != starts[i - 1]], len(paths)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True) if paths else ():
                 d = dialects[paths[a]]
                 if (paths[a], starts[a]) != key:
-                    key, at, out, into = (paths[a], starts[a]), 0, False, True
+                    key, at, out, into, opened = (paths[a], starts[a]), 0, False, True, [None, None]
                 lines = raw.decoded(batch.column("bytes").slice(a, b - a), d.encoding)
                 if at == 0 and starts[a] == 0 and lines and lines[0][:1] == "\ufeff":
                     lines[0] = lines[0][1:]
                 quoted = raw.has_quotes(lines).tolist()
                 marks: list[list[bool]] = [[], [], [], []]
-                for line, some in zip(lines, quoted, strict=True):
+                openers: list[list] = [[], []]
+                for place, (line, some) in enumerate(zip(lines, quoted, strict=True), at):
                     before = (out, into)
+                    opened = [o if inside else place for o, inside in zip(opened, before, strict=True)]
+                    openers[0].append(opened[0])
+                    openers[1].append(opened[1])
                     if some:
                         out, into = ends_inside(line, d.delimiter, out), ends_inside(line, d.delimiter, into)
                     for m, v in zip(marks, (before[0], out, before[1], into), strict=True):
                         m.append(v)
                 n = b - a
-                yield pa.RecordBatch.from_arrays([pa.array(paths[a:b]), pa.array(starts[a:b], pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(lines, pa.string()), *[pa.array(m, pa.bool_()) for m in marks]],
-                                                 names=["path", "start", "at", "line", "out_in", "out_end", "in_in", "in_end"])
+                yield pa.RecordBatch.from_arrays([pa.array(paths[a:b]), pa.array(starts[a:b], pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array(lines, pa.string()), *[pa.array(m, pa.bool_()) for m in marks], *[pa.array(o, pa.int64()) for o in openers]],
+                                                 names=["path", "start", "at", "line", "out_in", "out_end", "in_in", "in_end", "out_from", "in_from"])
                 at += n
     return run
 
@@ -153,10 +157,7 @@ def records(lines: DataFrame, dialects: list[Dialect]) -> DataFrame:
     alone = F.coalesce(loose, F.lit(False)) | (~F.col("begin") & ~F.col("end"))
     whole = told.where(alone).select("path", "start", "at", F.col("line").alias("record"))
     # lines of longer records meet by the line that opens them: in their own split the last one that begins outside
-    parts = told.where(~alone).select("path", "start", "at", "line", "begin", "from_start", "from_at")
-    upto = Window.partitionBy("path", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    opener = F.max(F.when(~F.col("begin"), F.col("at"))).over(upto)
-    parts = parts.withColumn("own", opener)
+    parts = told.where(~alone).withColumn("own", F.when(F.col("inside"), F.col("in_from")).otherwise(F.col("out_from")))
     parts = parts.select("path", F.when(F.col("own").isNotNull(), F.col("start")).otherwise(F.col("from_start")).alias("s"), F.coalesce("own", "from_at").alias("a"), F.struct("start", "at", "line").alias("part"))
     long = parts.groupBy("path", "s", "a").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["line"]), "\n").alias("record"))
     every = whole.unionByName(long.select("path", F.col("s").alias("start"), F.col("a").alias("at"), "record"))
