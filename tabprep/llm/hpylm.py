@@ -161,6 +161,20 @@ def expand(blob: bytes) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def climb(values: np.ndarray, runs: np.ndarray) -> bytes:
+    """Values that ascend within runs of the given lengths: a run's first value, then its steps, which are small."""
+    steps, at = np.diff(values, prepend=0), np.cumsum(runs) - runs
+    steps[at] = values[at]
+    return squeeze(steps)
+
+
+def climbed(blob: bytes, runs: np.ndarray) -> np.ndarray:
+    """What ``climb`` was given."""
+    steps, at = expand(blob), np.cumsum(runs) - runs
+    total = np.cumsum(steps)
+    return total - np.repeat(total[at] - steps[at], runs)
+
+
 class Range:
     """The training counts of a range's words and pairs, and their seating."""
 
@@ -170,7 +184,7 @@ class Range:
         after sweeps; the range's own seats (sweep STATE): tables of each pair, of each word in the parent."""
         own = lines[lines.chunk < 0].iloc[0]
         self.number, self.words, self.n = number, unpack(own.words), expand(own.runs)
-        self.context, self.count = unpack(own.contexts).astype(np.int64), expand(own["counts"])
+        self.context, self.count = climbed(own.contexts, self.n), expand(own["counts"])
         self.names = unpack(own.names)
         heard = {} if told is None else {int(x.sweep): x for x in told.itertuples()}
         state = heard.pop(STATE, None)
@@ -358,9 +372,9 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, spread: np.ndarray) ->
             p = int(part[mine[0]])
             first, n = groups(word[mine])
             told, where = _places(context[mine], len(names))
-            yield _line(p, chunk, words=pack(words[word[mine][first]], True), runs=squeeze(n), contexts=pack(where), counts=squeeze(train[mine]), names=pack(names[told], True))
+            yield _line(p, chunk, words=pack(words[word[mine][first]], True), runs=squeeze(n), contexts=climb(where, n), counts=squeeze(train[mine]), names=pack(names[told], True))
             pairs = ragged(begin[mine], rows_of_pair[mine])
-            yield _line(-1 - chunk % parts, chunk, other=p, counts=squeeze(rows_of_pair[mine]), rows=pack(row[held[pairs]]), times=squeeze(times[pairs]))
+            yield _line(-1 - chunk % parts, chunk, other=p, counts=squeeze(rows_of_pair[mine]), rows=squeeze(row[held[pairs]]), times=squeeze(times[pairs]))
 
     kept, size, sequence = [], 0, 0
     for batch in slices(batches, "text"):
@@ -394,7 +408,7 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     told = [unpack(x) for x in rows.names]
     names, place = np.unique(np.concatenate(told), return_inverse=True)
     begin = np.cumsum([0, *[len(x) for x in told]])
-    context = np.concatenate([place[b + unpack(x).astype(np.int64)] for b, x in zip(begin[:-1], rows.contexts, strict=True)])
+    context = np.concatenate([place[b + climbed(x, n)] for b, x, n in zip(begin[:-1], rows.contexts, runs, strict=True)])
     key = np.repeat(rank, np.concatenate(runs)) * len(names) + context
     count = np.concatenate([expand(x) for x in rows.counts])
     order = np.argsort(key, kind="stable")
@@ -403,9 +417,11 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     place = np.empty(len(key), np.int64)
     place[order] = np.repeat(np.arange(len(at)), n)
     cuts = np.cumsum([0, *[r.sum() for r in runs]])
-    table = pd.DataFrame({"part": [rows.part.iloc[0]], "chunk": [-1], "words": [pack(words, True)], "runs": [squeeze(groups(key[at] // len(names))[1])],
-                          "contexts": [pack(key[at] % len(names))], "counts": [squeeze(np.add.reduceat(count[order], at))], "names": [pack(names, True)]})
-    answers = pd.DataFrame({"part": rows.part, "chunk": rows.chunk, "counts": [pack(place[a:b], True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+    word, context = np.divmod(key[at], len(names))
+    runs = groups(word)[1]
+    table = pd.DataFrame({"part": [rows.part.iloc[0]], "chunk": [-1], "words": [pack(words, True)], "runs": [squeeze(runs)],
+                          "contexts": [climb(context, runs)], "counts": [squeeze(np.add.reduceat(count[order], at))], "names": [pack(names, True)]})
+    answers = pd.DataFrame({"part": rows.part, "chunk": rows.chunk, "counts": [squeeze(np.diff(place[a:b], prepend=0)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
     return pd.concat([table, answers]).reindex(columns=_NAMES)
 
 
@@ -575,7 +591,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
         seen = np.where(spread, model.value.spread_tokens[index] if len(model.value.spread) else 0, r.add(r.count))[r.of]
         out = []
         for one in lines[lines.chunk >= 0].itertuples():
-            place = unpack(one.counts).astype(np.int64)
+            place = np.cumsum(expand(one.counts))
             run, n = groups(r.of[place])
             out.append((one.chunk, part, score[place].tobytes(), squeeze(n), squeeze(seen[place][run])))
         return pd.DataFrame(out, columns=["chunk", "part", "scores", "runs", "seen"])
@@ -592,7 +608,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweep
         for one in told.itertuples():
             body = bodies[one.part]
             size = expand(body.counts)
-            row, times = unpack(body.rows).astype(np.int64), expand(body.times)
+            row, times = expand(body.rows), expand(body.times)
             seen = np.repeat(expand(one.seen).astype(np.float64), expand(one.runs))
             plain = np.repeat(np.log10((seen + 1) / (m.tokens + m.vocabulary + 1)), size)
             own = np.repeat(np.frombuffer(one.scores, np.float32).astype(np.float64), size)
