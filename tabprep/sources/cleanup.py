@@ -114,8 +114,9 @@ def cleanup(df: DataFrame, s: Settings = DEFAULT_SETTINGS) -> tuple[DataFrame, D
     Returns (typed table, decisions (column, action, detail))."""
     from pyspark import StorageLevel
     spark = df.sparkSession
-    # scanned by the census aggregate and by the typed projection: persist once
-    stage = drop_empty_rows(na_tokens_to_null(drop_repeated_headers(df), s)).persist(StorageLevel.MEMORY_AND_DISK)
+    # scanned by the census aggregate and by the typed projection: persist once. Empty rows are dropped from what is kept:
+    # before it, Spark would work out every cell a second time to filter it, in one method too long for the JVM to compile
+    stage = drop_empty_rows(na_tokens_to_null(drop_repeated_headers(df), s).persist(StorageLevel.MEMORY_AND_DISK))
     census = column_census(stage)
     drop = empty_columns(census, s)
     kept = stage.drop(*drop)
