@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tabprep.config import DEFAULT_SETTINGS, DELIMITER_ATTEMPTS, INVISIBLE_CHARS, Settings
 from tabprep.sources import cleanup as C
 from tabprep.sources import raw
-from tabprep.sources.records import NATIVE, Dialect, _kept_lines, closes, table, text_of
+from tabprep.sources.records import Dialect, _kept_lines, closes, table, text
 
 OLE2_MAGIC_HEX = "D0CF11E0A1B11AE1"
 ZIP_MAGIC_HEX = "504B0304"
@@ -113,16 +113,18 @@ def _kind(first: Column) -> Column:
     return F.when(head == ZIP_MAGIC_HEX, "zip").when(head.startswith(GZIP_MAGIC_HEX), "gzip").otherwise("plain")
 
 
-def file_lines(spark: SparkSession, found: dict[str, str], members: dict[str, str | None], feeds: dict[str, str] | None = None) -> DataFrame:
-    """(path, start, bytes) of every line of plain files, chosen zip members and gzip streams, in file order within splits."""
+def file_lines(spark: SparkSession, found: dict[str, str], members: dict[str, str | None], encodings: dict[str, str] | None = None) -> DataFrame:
+    """(path, start, bytes, encoding) of every line of plain files, chosen zip members and gzip streams, in file order within
+    splits. Files of one encoding are read together."""
     parts = []
-    for feed in ("UTF-8", "UTF-16LE", "UTF-16BE"):
-        own = [p for p in found if (feeds or {}).get(p, "UTF-8") == feed]
+    told = {p: (encodings or {}).get(p, "utf-8") for p in found}
+    for encoding in sorted(set(told.values())):
+        own, feed, name = [p for p in found if told[p] == encoding], raw.line_feeds(encoding), F.lit(encoding).alias("encoding")
         if plain := [p for p in own if found[p] == "plain"]:
-            parts.append(raw.stored_lines(spark, plain, feed))
+            parts.append(raw.stored_lines(spark, plain, feed).select("*", name))
         if packed := {p: members.get(p) for p in own if found[p] == "gzip" or members.get(p) is not None}:
-            parts.append(raw.inflated_lines(spark, packed, feed))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], raw.LINES)
+            parts.append(raw.inflated_lines(spark, packed, feed).select("*", name))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], raw.LINES + ", encoding string")
 
 
 def zip_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -139,8 +141,7 @@ def zip_lines(spark: SparkSession, path: str) -> DataFrame:
 def _profiled(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str], dict[str, str | None]]:
     """Byte profiles of every file, archives by what is inflated from them; kinds, and chosen members of zip archives. One
     pass over all files, and one more over archives."""
-    stored = raw.encodings(raw.byte_profiles(raw.stored_lines(spark, path))).withColumn("kind", _kind(F.element_at("head", 1)))
-    stored = stored.persist()  # a row a file
+    stored = raw.encodings(raw.stored_profiles(spark, path)).withColumn("kind", _kind(F.element_at("head", 1)))
     found = {r.path: r.kind for r in stored.select("path", "kind").collect()}
     archives = [p for p, k in found.items() if k == "zip"]
     members = raw.choose_members(spark, archives) if archives else {}
@@ -227,7 +228,7 @@ def dialects(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) ->
     archives = [p for p, k in found.items() if k == "zip"]
     findings = [("zip", p, "no member that is a table") for p in archives if members[p] is None]
     findings += [("zip", p, f"using {members[p]}") for p in archives if members[p] is not None]
-    told = profiles.select("path", "encoding", "confidence", "head", "n_quotes").collect()
+    told = profiles.select("path", "encoding", "confidence", "head", "n_quotes", "n_wide").collect()
     heads = {r.path: _head_text(r.head or [], r.encoding) for r in told}
     lines = [(p, line) for p, text in heads.items() for line in text.split("\n")[: s.delimiter_sample_lines]]
     best = {r.path: r.delimiter for r in delimiter_scores(spark.createDataFrame(lines, "path string, line string"), "path").collect()} if lines else {}
@@ -235,10 +236,15 @@ def dialects(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) ->
     for r in told:
         delimiter = best.get(r.path, ",")
         rows = (row for row in csv.reader(_kept_lines(heads[r.path]), delimiter=delimiter) if any(c.strip() for c in row))
-        out.append(Dialect(r.path, r.encoding, delimiter, tuple(next(rows, ())), members.get(r.path), found[r.path], r.confidence, r.n_quotes > 0))
+        out.append(Dialect(r.path, r.encoding, delimiter, tuple(next(rows, ())), members.get(r.path), found[r.path], r.confidence, r.n_quotes > 0, rare=r.n_wide > _marked(r.head)))
     return sorted(out, key=lambda d: d.path), findings
 
 
+def _marked(head: list[bytes] | None) -> bool:
+    """Whether a file begins with a byte order mark of UTF-16."""
+    return bool(head) and bytes(head[0][:2]) in (b"\xff\xfe", b"\xfe\xff")
+
+
 def _head_text(head: list[bytes], encoding: str) -> str:
     """The first lines of a file; lines of UTF-16 were cut at one of the two bytes of their line feed."""
     text = b"\n".join(map(bytes, head))
@@ -254,7 +260,7 @@ def safe_read(spark: SparkSession, path: str, encoding: str, delimiter: str, hea
     archives = [p for p, k in found.items() if k == "zip"]
     members = raw.choose_members(spark, archives) if archives else {}
     own = [Dialect(p, encoding, delimiter, tuple(header), members.get(p), k) for p, k in found.items()]
-    lines = file_lines(spark, found, members, {p: raw.line_feeds(encoding) for p in found})
+    lines = file_lines(spark, found, members, dict.fromkeys(found, encoding))
     return table(lines, own, {p: list(header) for p in found}, keep_headers=True)
 
 
@@ -268,17 +274,17 @@ def read_files(spark: SparkSession, path: str, s: Settings = DEFAULT_SETTINGS) -
     if not any(names.values()):
         return None, findings
     kind, member = {d.path: d.kind for d in own}, {d.path: d.member for d in own if d.member is not None}
-    lines = file_lines(spark, kind, member, {d.path: raw.line_feeds(d.encoding) for d in own})
+    lines = file_lines(spark, kind, member, {d.path: d.encoding for d in own})
     return table(lines, _closed(lines, own), names), findings
 
 
 def _closed(lines: DataFrame, own: list[Dialect]) -> list[Dialect]:
     """Dialects that know whether all lines of their file close. Where every file with quotes is decoded by Spark, one pass
     tells; otherwise none is known to."""
-    if not any(d.quotes for d in own) or not {d.encoding for d in own} <= set(NATIVE):
+    if not any(d.quotes for d in own) or not all(d.native for d in own):
         return own
     delimiters = sorted({d.delimiter for d in own})
-    line, close = text_of(own), closes(F.col("line"), delimiters[0])
+    line, close = text(), closes(F.col("line"), delimiters[0])
     for delimiter in delimiters[1:]:
         close = F.when(F.col("path").isin([d.path for d in own if d.delimiter == delimiter]), closes(F.col("line"), delimiter)).otherwise(close)
     open_ones = {r.path for r in lines.select("path", line.alias("line")).where(~close).select("path").distinct().collect()}

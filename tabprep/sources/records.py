@@ -16,6 +16,7 @@ import csv
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,12 @@ class Dialect:
     confidence: float = 1.0
     quotes: bool = True  # whether the file may hold any
     closed: bool = False  # whether every line is known to ``close``
+    rare: bool = True  # whether UTF-16 may have surrogates, U+FFFE, or U+FEFF behind its beginning
+
+    @property
+    def native(self) -> bool:
+        """Whether Spark decodes the lines itself, as Python would."""
+        return self.encoding in ("utf-8", "iso-8859-1", "cp1252") or (self.encoding in ("utf-16-le", "utf-16-be") and not self.rare)
 
 
 def ends_inside(line: str, delimiter: str, inside: bool) -> bool:
@@ -109,28 +116,42 @@ def closes(line: Column, delimiter: str) -> Column:
     return ~line.contains('"') | (~line.contains("\r") & pieces)
 
 
-def text_of(dialects: list[Dialect]) -> Column:
-    """Decoded lines of files that are UTF-8 or ISO 8859-1."""
-    text = F.make_valid_utf8(F.col("bytes").cast("string"))
-    if latin := [d.path for d in dialects if d.encoding != "utf-8"]:
-        text = F.when(F.col("path").isin(latin), F.decode(F.col("bytes"), "ISO-8859-1")).otherwise(text)
-    return text
+#: Characters of code page 1252 from 80 to 9F; U+FFFD: none.
+WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+
+
+def text() -> Column:
+    """Decoded lines (bytes, encoding) of files that are ``native``."""
+    plain, n, encoding = F.col("bytes").cast("string"), F.octet_length("bytes"), F.col("encoding")
+    latin = F.decode("bytes", "ISO-8859-1")
+    single = lambda decoded: F.when(raw.is_ascii(), plain).otherwise(decoded)
 
+    def wide(charset: str) -> Column:
+        """Half a character at the end becomes U+FFFD; the mark at the beginning goes."""
+        whole = F.when(n % 2 == 0, F.decode("bytes", charset)).otherwise(F.concat(F.decode(F.substring("bytes", F.lit(1), n - 1), charset), F.lit("\ufffd")))
+        return F.when((F.col("start") == 0) & whole.startswith("\ufeff"), F.substring(whole, F.lit(2), n)).otherwise(whole)
 
-#: Encodings that Spark decodes itself.
-NATIVE = ("utf-8", "iso-8859-1")
+    return (F.when(encoding == "utf-8", F.make_valid_utf8(plain)).when(encoding == "iso-8859-1", single(latin))
+            .when(encoding == "cp1252", single(F.translate(latin, "".join(map(chr, range(0x80, 0xA0))), WINDOWS)))
+            .when(encoding == "utf-16-le", wide("UTF-16LE")).when(encoding == "utf-16-be", wide("UTF-16BE")))
+
+
+def _once(value: Column) -> Column:
+    """A column that is worked out once for each row, however often it is used: Spark would repeat what it stands for in every
+    filter behind."""
+    return F.explode(F.array(value))
 
 
 def records(lines: DataFrame, dialects: list[Dialect]) -> DataFrame:
-    """(path, start, at, record) of every record that is not blank, from raw lines (path, start, bytes) in file order
+    """(path, start, at, record) of every record that is not blank, from raw lines (path, start, bytes, encoding) in file order
     within their splits. One small row for each split reaches the driver. Where all lines close every line is a
     record, and Spark decodes the common encodings itself."""
     spark = lines.sparkSession
-    if not any(d.quotes and not d.closed for d in dialects) and {d.encoding for d in dialects} <= set(NATIVE):
-        return _not_blank(lines.select("path", "start", F.lit(0).cast("long").alias("at"), text_of(dialects).alias("record")))
+    if not any(d.quotes and not d.closed for d in dialects) and all(d.native for d in dialects):
+        return _not_blank(lines.select("path", "start", F.lit(0).cast("long").alias("at"), _once(text()).alias("record")))
     known = {d.path: d for d in dialects}
     shared = spark.sparkContext.broadcast(known)
-    marked = lines.mapInArrow(lambda batches: _marked(shared.value)(batches), _MARKED)
+    marked = lines.drop("encoding").mapInArrow(lambda batches: _marked(shared.value)(batches), _MARKED)
     last = F.struct("at", "out_end", "in_end")
     opened = lambda begins: F.max(F.when(~F.col(begins), F.col("at")))
     splits = marked.groupBy("path", "start").agg(F.max(last).alias("last"), opened("out_in").alias("out_open"), opened("in_in").alias("in_open")).collect()
@@ -170,7 +191,7 @@ def _without_return(line: Column) -> Column:
 
 def _not_blank(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("record", _without_return(F.col("record")))
-    return rows.where(F.trim(F.translate("record", "\t\x0b\x0c\r", "    ")) != "")
+    return rows.where(F.ltrim("record", F.lit(" \t\x0b\x0c\r")) != "")
 
 
 def _parsed(dialects: dict[str, Dialect]):
@@ -206,7 +227,7 @@ def fields(rows: DataFrame, dialects: list[Dialect]) -> DataFrame:
         pieces = F.split("record", "\\" + delimiter, -1)
         if any(d.quotes and d.closed for d in dialects):
             pieces = F.when(quoted, F.transform(pieces, bare)).otherwise(pieces)
-        some = some.withColumn("fields", pieces)
+        some = some.select("*", _once(pieces).alias("fields"))
         out = some if out is None else out.unionByName(some)
     if split_all:
         return out
@@ -226,7 +247,7 @@ def table(lines: DataFrame, dialects: list[Dialect], names: dict[str, list[str]]
     alike = len({(tuple(names[d.path]), d.header) for d in dialects}) == 1
     tidy = lambda header: [h.strip().lower() for h in header]
     if alike:  # nothing depends on the file
-        width, header = F.lit(len(columns)), F.array(*[F.lit(h) for h in tidy(dialects[0].header)]).cast("array<string>")
+        width, header = F.lit(len(columns)), tidy(dialects[0].header)
         cell = lambda i: F.get("fields", F.lit(i))
     else:
         places = [(d.path, [names[d.path].index(c) if c in names[d.path] else -1 for c in columns], len(names[d.path]), tidy(d.header)) for d in dialects]
@@ -236,7 +257,11 @@ def table(lines: DataFrame, dialects: list[Dialect], names: dict[str, list[str]]
         cell = lambda i: F.get("fields", F.get("places", F.lit(i)))
     rows = rows.where(F.size("fields") <= width)
     if not keep_headers:
-        plain = lambda x: F.lower(F.trim(F.translate(x, "\ufeff", "")))
-        first = plain(F.get("fields", F.lit(0))) == F.get(header, F.lit(0))
-        rows = rows.where(~(F.coalesce(first, F.lit(False)) & (F.transform("fields", plain) == header)))
+        plain = lambda x: F.lower(F.trim(F.replace(x, F.lit("\ufeff"), F.lit(""))))
+        if alike:
+            same = reduce(Column.__and__, [plain(F.get("fields", F.lit(i))) == h for i, h in enumerate(header)], F.size("fields") == len(header))
+        else:
+            first = plain(F.get("fields", F.lit(0))) == F.get(header, F.lit(0))
+            same = F.coalesce(first, F.lit(False)) & (F.transform("fields", plain) == header)
+        rows = rows.where(~F.coalesce(same, F.lit(False)))
     return rows.select(*[cell(i).alias(c) for i, c in enumerate(columns)])
