@@ -361,6 +361,7 @@ class Solved:
 
 
 _ENCODED = "id long, ids array<int>, n_pieces long, scores array<double>, second array<int>, text_sha256 string"
+_PATHS = ", paths array<array<int>>"
 
 
 def _own_pieces(size: np.ndarray, bytes_of: list[int], path: list[int]) -> list[list[int]]:
@@ -394,8 +395,17 @@ def encode(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str =
     their own; an empty table gives an empty result; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model_file))
-    schema = _ENCODED + (", paths array<array<int>>" if paths else "")
-    names_out = [x.split()[0] for x in schema.split(", ")]
+    schema = _ENCODED + (_PATHS if paths else "")
+    return _texts(docs, id_col, text_col).mapInArrow(_encoder(shared, n, model_file, paths), schema)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _encoder(shared, n: int, model_file: str, paths: bool):
+    """What ``encode`` does to the batches of a task."""
+    names_out = [x.split()[0] for x in (_ENCODED + (_PATHS if paths else "")).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, alternatives = shared.value, {}
@@ -450,8 +460,7 @@ def encode(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str =
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, every)]), pa.int32()), inner))
             yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return run
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL) -> DataFrame:
@@ -463,21 +472,35 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL) ->
     held = "_".join(["ids", *keep])  # no other column's name
     rows = encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(ids_col).cast("array<int>").alias(held))
 
+    schema = encoded.select(*[F.col(f"`{c}`") for c in keep]).schema.add("text", "string")
+    return rows.mapInArrow(lambda batches: _decoded(batches, shared.value), schema)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], table: list) -> Iterator[pa.RecordBatch]:
+    """Batches with a column text in place of the last one, pieces."""
+    size = np.array([len(b) for b in table])
+    start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            column = part.columns[-1]
+            lists = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            count = np.array([len(x) if x.is_valid else 0 for x in column]) if column.null_count else np.diff(np.asarray(column.offsets))
+            raw = flat[ragged(start[lists], size[lists])].tobytes()
+            ends = np.concatenate([[0], np.cumsum(size[lists])])[np.cumsum([0, *count])].tolist()
+            texts = [raw[a:b][1 if raw[a : a + 1] == b" " else 0 :].decode("utf-8", "replace") if ok else None
+                     for a, b, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "text"])
+
+
+def round_trip(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL) -> DataFrame:
+    """``decode`` of ``encode`` with all paths, both in the same task: the columns of ``encode`` and text, decoded from ids. Pieces
+    don't go to Spark and back in between, so that a task holds those of a few texts only."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(model_file))
+    encoder = _encoder(shared, n, model_file, True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        size = np.array([len(b) for b in table])
-        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                column = part.column(held)
-                lists = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                count = np.array([len(x) if x.is_valid else 0 for x in column]) if column.null_count else np.diff(np.asarray(column.offsets))
-                raw = flat[ragged(start[lists], size[lists])].tobytes()
-                ends = np.concatenate([[0], np.cumsum(size[lists])])[np.cumsum([0, *count])].tolist()
-                texts = [raw[a:b][1 if raw[a : a + 1] == b" " else 0 :].decode("utf-8", "replace") if ok else None
-                         for a, b, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], "text"])
+        encoded = (pa.RecordBatch.from_arrays([*b.columns, b.column("ids")], names=[*b.schema.names, "held"]) for b in encoder(batches))
+        return _decoded(encoded, shared.value.decoded)
 
-    schema = encoded.select(*[F.col(f"`{c}`") for c in keep]).schema.add("text", "string")
-    return rows.mapInArrow(run, schema)
+    return _texts(docs, id_col, text_col).mapInArrow(run, _ENCODED + _PATHS + ", text string")

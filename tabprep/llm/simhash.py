@@ -63,16 +63,16 @@ def bits_of(column: pa.Array, shingle: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, bits): SimHash of each row. Words are runs of non-white-space, A-Z lower-cased;
+    """(id, digest, bits): xxhash64 of each row's text, and its SimHash. Words are runs of non-white-space, A-Z lower-cased;
     a text of fewer words than a shingle is one shingle; null, empty and wordless texts get zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             bits = bits_of(batch.column("text"), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits.view(np.int64))], names=["id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(bits.view(np.int64))], names=["id", "digest", "bits"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, bits long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
+    return rows.mapInArrow(run, "id long, digest long, bits long")
 
 
 def _cells(table: DataFrame, count, cells: int) -> np.ndarray:
@@ -213,11 +213,12 @@ def links(classes: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
-    """One row per row of ``docs``: id, bits (SimHash as a signed long), component (smallest id that links reach).
+    """One row per row of ``docs``: id, digest (xxhash64 of the text), bits (SimHash as a signed long), root (the same for all rows
+    that links reach), component (their smallest id).
 
     Null, empty and wordless texts have fingerprint zero and are linked like any
-    other. Rows with a repeated id keep a row each. A null id is never a
-    component's name unless the component has no other. An empty table gives an
+    other. Rows with a repeated id keep a row each, and two components may then
+    have one name. A null id is never a component's name unless the component has no other. An empty table gives an
     empty result. Other columns are not read.
     """
     marked = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed))
@@ -225,5 +226,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(classes, distance))
     named = classes.join(roots.select(F.col("node").alias("bits"), "root"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     smallest = named.groupBy("root").agg(F.min("smallest").alias("component"))
-    owner = named.join(smallest, "root").select("bits", "component")
-    return marked.join(owner, "bits").select("id", "bits", "component")
+    owner = named.join(smallest, "root").select("bits", "root", "component")
+    return marked.join(owner, "bits").select("id", "digest", "bits", "root", "component")

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabprep.llm.exchange import CHUNK_WORDS, SCHEMA, chunk_name, groups, passes, ranges_for, row, row_filter, send
 from tabprep.llm.words import Words, covered, pack, ragged, rolling, slices, unpack
@@ -198,19 +199,20 @@ def _strip(column: pa.Array, places: list, window: int) -> tuple[list, list, lis
     return texts, words.count.tolist(), removed, shas
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, changed_only: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, keep: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, digest (xxhash64 of the text), text without the words of every window that a
     document with a smaller id holds, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     A text that loses nothing stays as it is; where words go, the white space after them goes too. Null texts stay null
     and count no words; texts of fewer than ``window`` words stay whole. Rows with the same id count as one document:
     none of them is smaller than another. A null id is in no order, so such rows neither lose nor take words. Other
-    columns are not read; an empty table gives an empty result. With ``changed_only`` only rows that lose words come.
+    columns are not read, but for ``keep``, which comes along as ``kept``; an empty table gives an empty result.
     """
     block = window // 2
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
+    also = [F.col(keep).alias("kept")] if keep else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *also).withColumn("digest", F.xxhash64("text"))
     parts = ranges_for(rows, "text")
-    texts = rows.where("id is not null and text is not null")
+    texts = rows.where("id is not null and text is not null").drop("kept")
     anchors = _exchange(texts, lambda b: _find_anchors(b, window, block, parts), _match_anchors)
     near = _only(texts, row_filter(anchors, "id", "digest"), True)
     repeats = _exchange(near.join(anchors, ["id", "digest"]), lambda b: _find_windows(b, window, block, parts), _match_windows)
@@ -221,23 +223,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             places = batch.column("places").to_pylist() if "places" in batch.schema.names else [None] * batch.num_rows
             done = _strip(batch.column("text"), places, window)
             arrays = [batch.column("id"), batch.column("digest"), *map(pa.array, done, (pa.string(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "text", "n_words", "n_removed", "kept_sha256"])
+            arrays += [batch.column("kept")] if keep else []
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    if changed_only:
-        return _only(texts, bitmap, True).join(repeats, ["id", "digest"]).mapInArrow(finish, _OUT)
-    untouched = _only(rows, bitmap, False).mapInArrow(finish, _OUT)
-    changed = _only(rows, bitmap, True).join(repeats, ["id", "digest"], "left").mapInArrow(finish, _OUT)
+    out = T.StructType([*T.StructType.fromDDL(_OUT).fields, *(f for f in rows.schema.fields if f.name == "kept")])
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    untouched = _keyed(rows).mapInArrow(lambda batches: finish(_passing(batches, shared.value, False)), out)  # the filter and the rest in one task
+    changed = _only(rows, bitmap, True).join(repeats, ["id", "digest"], "left").mapInArrow(finish, out)
     return untouched.unionByName(changed)
 
 
 def _only(rows: DataFrame, bitmap: np.ndarray, inside: bool) -> DataFrame:
     """Rows that may be (or, if not ``inside``, surely aren't) in the filter."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    shared, keyed = rows.sparkSession.sparkContext.broadcast(bitmap), _keyed(rows)
+    return keyed.mapInArrow(lambda batches: _passing(batches, shared.value, inside), keyed.schema).drop("key")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("key", F.xxhash64("id", "digest"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("key").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(passes(shared.value, ids) == inside))
 
-    keyed = rows.withColumn("key", F.xxhash64("id", "digest"))
-    return keyed.mapInArrow(run, keyed.schema).drop("key")
+def _passing(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("key").to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(passes(bitmap, ids) == inside))

@@ -145,3 +145,34 @@ def test_stages_take_odd_rows(spark, make_docs):
     for stage in (C.near_duplicates, C.substring_dedup, C.benchmark_decontamination):
         assert stage(spark, docs, SF).columns == docs.columns
     assert C.near_duplicates(spark, docs, SF).where("doc_id = 1").count() == 1
+
+
+def test_encoding_gives_all_paths(spark, make_docs):
+    """The last stage has the pieces of every path that operator 10 finds, not of the best alone."""
+    rows = [(1, "the cat   sat on the mat"), (2, ""), (None, "naïve " * 40), (3, None)]
+    want = {r.id: r for r in pieces.encode(make_docs(rows), paths=True).collect()}
+    got = {r.doc_id: r for r in C.piece_encoding(spark, make_docs(rows), SF).collect()}
+    assert set(got) == set(want)
+    for i, w in want.items():
+        assert (got[i].ids, got[i].paths, got[i].scores, got[i].n_pieces, got[i].exact) == (w.ids, w.paths, w.scores, w.n_pieces, True)
+    assert len(got[1].paths) == 4
+
+
+def test_near_copies_under_one_id(spark, make_docs):
+    """Rows are judged each by its own text, whatever other rows have their id."""
+    one, two = (" ".join(f"{c}{i}" for i in range(120)) for c in "uv")
+    fresh = " ".join(f"w{i}" for i in range(120))
+    docs = [(0, one), (1, one.upper()), (1, two), (1, two.upper()), (2, two), (None, one), (None, fresh), (None, fresh), (4, None), (4, "")]
+    got = sorted(((r.doc_id, r.text) for r in C.near_duplicates(spark, make_docs(docs), SF).collect()), key=str)
+    assert [r[0] for r in got] == [0, 1, 4, None] and got[0][1] == one and got[1][1] in (two, two.upper()) and got[3][1] == fresh
+
+
+def test_every_document_goes_through_the_substring_operator(spark, make_docs):
+    """All rows come out of operator 9, changed or not, each with its own columns."""
+    long = " ".join(f"w{i}" for i in range(90))
+    docs = make_docs([(1, long), (2, "a " + long + " b"), (3, long), (None, long), (4, None), (5, ""), (6, "x  y"), (7, long), (7, long + " z")])
+    want = {(r.id, r.digest): r for r in substrings.remove_repeats(docs).collect()}
+    got = [(r.doc_id, r.text, r.n_words) for r in C.substring_dedup(spark, docs, SF).collect()]
+    left = [(r.id, r.text, "x") for r in want.values() if r.n_removed == 0 or r.n_removed < r.n_words]
+    assert sorted(got, key=str) == sorted(left, key=str) and len(left) == 7
+    assert len(substrings.remove_repeats(docs.withColumn("own", F.col("bits") + 1), keep="own").where("kept = 2").collect()) == docs.count()
